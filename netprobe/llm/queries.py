@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netprobe.llm import quality
+from netprobe.llm import licenses, mixing, quality
 from netprobe.llm.common import read_table
 
 
@@ -16,11 +16,14 @@ def _documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, s
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": _documents(licenses.query),
+        "op5_mixing": _documents(mixing.query),
         "op6_quality_rules": _documents(quality.query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": licenses.ORACLE,
         "op6_quality_rules": quality.ORACLE,
     }
