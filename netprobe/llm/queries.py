@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netprobe.llm import licenses, mixing, quality
+from netprobe.llm import licenses, media, mixing, quality, urlfilter
 from netprobe.llm.common import read_table
 
 
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": _documents(licenses.query),
         "op5_mixing": _documents(mixing.query),
         "op6_quality_rules": _documents(quality.query),
+        "op7_media_columns": _documents(media.query),
+        "op8_url_filter": urlfilter.query,
     }
 
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licenses.ORACLE,
         "op6_quality_rules": quality.ORACLE,
+        "op8_url_filter": urlfilter.ORACLE,
     }
