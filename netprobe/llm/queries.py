@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netprobe.llm import licenses, media, mixing, quality, urlfilter
+from netprobe.llm import licenses, media, mixing, neardup, quality, urlfilter
 from netprobe.llm.common import read_table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": _documents(quality.query),
         "op7_media_columns": _documents(media.query),
         "op8_url_filter": urlfilter.query,
+        "op10_minhash_neardup": _documents(neardup.query),
     }
 
 
