@@ -65,8 +65,7 @@ def measure(docs: DataFrame) -> DataFrame:
     text, words = text_or_empty(), F.col("_words")
     plain = F.translate(F.col("_text"), WS_CHARS, "")
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda line: F.trim(line, F.lit(WS_CHARS)) != "")
-    stops = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
-    tidy = F.transform(words, lambda w: F.trim(F.lower(w), F.lit(".,;:!?\"'()")))
+    stops = sorted(set(STOP_WORDS))
     out = docs.withColumn("_text", text).withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", lines)
     return out.withColumns(
         {
@@ -76,7 +75,7 @@ def measure(docs: DataFrame) -> DataFrame:
             "n_shouts": (F.char_length("_text") - F.char_length(F.translate(F.col("_text"), "!", ""))).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_stops": F.size(F.filter(tidy, lambda w: F.array_contains(stops, w))).cast("long"),
+            "n_stops": F.size(F.filter(words, lambda w: F.lower(w).isin(stops))).cast("long"),
             "n_repeat_words": _repeat_words(words),
         }
     ).drop("_text", "_words", "_lines")
@@ -141,7 +140,7 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
     coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
     (length(t) - length(replace(t, '!', '')))::BIGINT AS n_shouts,
     len(lines)::BIGINT AS n_lines,
-    len(list_filter(words, lambda x: list_contains([{', '.join(f"'{s}'" for s in sorted(set(STOP_WORDS)))}], trim(lower(x), '.,;:!?"''()'))))::BIGINT AS n_stops
+    len(list_filter(words, lambda x: list_contains([{', '.join(f"'{s}'" for s in sorted(set(STOP_WORDS)))}], lower(x))))::BIGINT AS n_stops
     FROM w LEFT JOIN cov USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed
