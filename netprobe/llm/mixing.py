@@ -43,7 +43,7 @@ def _before(df: DataFrame, keys: list[str], order: list[str], group: str, value:
     totals = totals.withColumn("_base", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
     own = W.partitionBy(*keys, group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inner = df.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0)))
-    return inner.join(totals, [*keys, group]).withColumn(out, F.col("_base") + F.col("_own")).drop("_base", "_own")
+    return inner.join(totals.hint("merge"), [*keys, group]).withColumn(out, F.col("_base") + F.col("_own")).drop("_base", "_own")
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -84,15 +84,18 @@ def draw_counts(sources: DataFrame) -> DataFrame:
     last = F.max("high").over(W.partitionBy("cell")) == F.col("high")
     begins = F.min("low").over(W.partitionBy("cell")) == F.col("low")
     cells = cells.select("cell", "skey", F.when(begins, -1.0).otherwise(F.col("low")).alias("low"), F.when(last, 2.0).otherwise(F.lead("low").over(W.partitionBy("cell").orderBy("low"))).alias("high"))
-    drawn = slots.join(cells, "cell").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    drawn = slots.join(cells.hint("shuffle_hash"), "cell").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
     return drawn.groupBy("shard", "skey").agg(F.count("*").alias("n"))
 
 
 def taken_blocks(sources: DataFrame) -> DataFrame:
-    """skey, block, passes (which passes over the source take it): the joined slots."""
+    """skey, block, passes (which passes over the source take it): the joined slots.
+
+    The planner sees only the small table of sources that all slots grow from, and would broadcast the
+    slots; hence the join hints here and where blocks are joined."""
     counts = draw_counts(sources).withColumn("_g", F.floor(F.col("shard") / _GROUP))
     numbered = _before(counts, ["skey"], ["shard"], "_g", "n", "first")
-    numbered = numbered.join(sources.select("skey", "n_blocks", "quota"), "skey")
+    numbered = numbered.join(sources.select("skey", "n_blocks", "quota").hint("merge"), "skey")
     drawn = numbered.groupBy("skey").agg(F.sum("n").alias("n"))
     # the correction: slots over the quota are given up, those short of it follow in runs of a shard
     short = sources.join(drawn, "skey", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).filter("quota > n")
@@ -124,7 +127,7 @@ def _pieces(placed: DataFrame, blocks: DataFrame) -> DataFrame:
     span = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / BLOCK_WORDS), F.floor((F.col("off") + F.col("size") - 1) / BLOCK_WORDS))))
     begin = F.greatest(F.col("block") * BLOCK_WORDS - F.col("off"), F.lit(0))
     end = F.least((F.col("block") + 1) * BLOCK_WORDS - F.col("off"), F.col("size"))
-    return span.withColumn("begin", begin).withColumn("len", end - begin).join(blocks, ["skey", "block"], "left")
+    return span.withColumn("begin", begin).withColumn("len", end - begin).join(blocks.hint("merge"), ["skey", "block"], "left")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -163,7 +166,7 @@ def mix(docs: DataFrame) -> DataFrame:
     cut = pieces.groupBy(*keys, "_pass").agg(F.sort_array(F.collect_list(F.struct("begin", "len"))).alias("_ranges"), F.sum("len").alias("_kept"))
     words = words_of(text_or_empty())
     parts = F.transform("_ranges", lambda r: F.array_join(F.slice(F.col("_words"), (r["begin"] + 1).cast("int"), r["len"].cast("int")), " "))
-    out = rows.filter("size > 0").join(cut, keys)
+    out = rows.filter("size > 0").join(cut.hint("merge"), keys)
     out = out.withColumn("_words", F.when(F.col("_kept") < F.col("size"), words))
     out = out.withColumn("text", F.when(F.col("_kept") < F.col("size"), F.array_join(parts, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
