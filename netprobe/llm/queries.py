@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netprobe.llm import langid, licenses, media, mixing, neardup, quality, urlfilter
+from netprobe.llm import langid, licenses, media, mixing, neardup, packing, quality, tokenfiles, urlfilter
 from netprobe.llm.common import read_table
 
 
@@ -18,10 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": _documents(licenses.query),
         "op2_language_id": _documents(langid.query),
+        "op3_packing": _documents(packing.query),
         "op5_mixing": _documents(mixing.query),
         "op6_quality_rules": _documents(quality.query),
         "op7_media_columns": _documents(media.query),
         "op8_url_filter": urlfilter.query,
+        "op9_token_files": _documents(tokenfiles.query),
         "op10_minhash_neardup": _documents(neardup.query),
     }
 
