@@ -29,6 +29,12 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_CLASS + "+"))
 
 
+def once(column: Column) -> Column:
+    """The same value, made in a projection that the optimizer neither merges into later ones nor pushes
+    filters through: without this, a column used inside a lambda may be computed again for every element."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, on arrays of uint64."""
     x = x ^ (x >> U64(30))

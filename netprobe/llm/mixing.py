@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netprobe.llm.common import text_or_empty, words_of
+from netprobe.llm.common import materialize, once, text_or_empty, words_of
 
 BLOCK_WORDS = 64
 SLOTS_PER_SHARD = 4096
@@ -141,8 +141,6 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    from netprobe.llm.common import materialize
-
     sized = materialize(_sized(docs.select("doc_id", "source", "text")).select("doc_id", "skey", "size"), "mix-sizes")
     sources = materialize(source_targets(sized), "mix-sources")
     pieces = _pieces(_placed(sized, ["doc_id", "size"]), taken_blocks(sources))
@@ -155,8 +153,6 @@ def query(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents: a row for each document and pass that takes words of it, its text cut down to
     those words (whole texts stay as they are), n_chars made to fit, all other columns kept."""
-    from netprobe.llm.common import materialize
-
     same = W.partitionBy("doc_id", "skey", "size").orderBy(F.xxhash64(text_or_empty()))
     rows = _sized(docs).withColumn("_occ", F.row_number().over(same))
     keys = ["doc_id", "skey", "size", "_occ"]
@@ -167,7 +163,7 @@ def mix(docs: DataFrame) -> DataFrame:
     words = words_of(text_or_empty())
     parts = F.transform("_ranges", lambda r: F.array_join(F.slice(F.col("_words"), (r["begin"] + 1).cast("int"), r["len"].cast("int")), " "))
     out = rows.filter("size > 0").join(cut.hint("merge"), keys)
-    out = out.withColumn("_words", F.when(F.col("_kept") < F.col("size"), words))
+    out = out.withColumn("_words", once(F.when(F.col("_kept") < F.col("size"), words)))
     out = out.withColumn("text", F.when(F.col("_kept") < F.col("size"), F.array_join(parts, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netprobe.llm.common import WS_CHARS, text_or_empty, words_of
+from netprobe.llm.common import WS_CHARS, once, text_or_empty, words_of
 
 # Common function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -66,7 +66,7 @@ def measure(docs: DataFrame) -> DataFrame:
     plain = F.translate(F.col("_text"), WS_CHARS, "")
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda line: F.trim(line, F.lit(WS_CHARS)) != "")
     stops = sorted(set(STOP_WORDS))
-    out = docs.withColumn("_text", text).withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", lines)
+    out = docs.withColumn("_text", text).withColumns({"_words": once(words_of(F.col("_text"))), "_lines": once(lines)})
     return out.withColumns(
         {
             "n_words": F.size(words).cast("long"),
