@@ -8,9 +8,11 @@
    buckets hold most documents, which is the original that copies were made from. Pairs are confirmed
    on the full sets, and links joined to components.
 4. A star may miss a link between two members that are both unlike the centre. So buckets that still
-   hold several components are searched for links across them, all pairs of different components; a
-   bucket where these are many is first cut by the members' other bands (a pair of similarity 0.75
-   shares 12 on average), so noise that shares one band only is not paired.
+   hold several components are searched for links across them, by comparing the members' bins (cut to
+   a byte each): pairs whose estimate is within five standard deviations of 0.75 go on to the full
+   sets. The largest component of a bucket is dealt out over tasks, the few others go to each of them.
+   A bucket with too many members outside its largest component is first cut by the members' other
+   bands (a pair of similarity 0.75 shares 12 on average), so noise that shares one band is not compared.
 
 Defined results: null or empty texts, or texts without words, have no shingles and are linked with
 nothing; texts under five words are one shingle; rows of one doc_id count as one document; rows
@@ -23,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ BANDS, ROWS = 51, 5
 BINS = BANDS * ROWS
 #: A bucket is searched pair by pair while its pairs across components are at most this many times its members.
 LIGHT = 64
+#: So many members of a bucket's largest component go to one task.
+DEALT = 2000
 DEPTH = 4
 _ATTEMPTS = 4096
 _MULT = stream64(WORDS, 21) | U64(1)
@@ -72,8 +77,8 @@ def _picks() -> np.ndarray:
 _PICKS = _picks()
 
 
-def band_keys(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) uint64; rows of texts without shingles mean nothing."""
+def band_keys(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (texts, BANDS) uint64 and bins cut to bytes (texts, BINS); rows of texts without shingles mean nothing."""
     n = len(begins) - 1
     owner = np.repeat(np.arange(n), np.diff(begins))
     spread = mix64(values ^ U64(0x5851F42D4C957F2D))
@@ -94,11 +99,11 @@ def band_keys(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
         keys = np.broadcast_to(stream64(BANDS, 23), (n, BANDS)).copy()
         for k in range(ROWS):
             keys = mix64(keys ^ (grid[:, k::ROWS] * U64(0x9E3779B97F4A7C15)))
-    return keys
+    return keys, (mix64(grid) & U64(255)).astype(np.uint8)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp1, fp2 (a fingerprint of the set) and the band keys."""
+    """doc_id, n, fp1, fp2 (a fingerprint of the set), the band keys and the bins as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +115,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                     for salt in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35):
                         total = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(values ^ U64(salt)), dtype=U64)])
                         sums.append((total[begins[1:]] - total[begins[:-1]]).view(np.int64))
-                keys = band_keys(values, begins).view(np.int64)
-                listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), listed], names=["doc_id", "n", "fp1", "fp2", "keys"])
+                keys, cut = band_keys(values, begins)
+                listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.view(np.int64).ravel())
+                bins = pa.array([row.tobytes() for row in cut], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), listed, bins], names=["doc_id", "n", "fp1", "fp2", "keys", "bins"])
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n long, fp1 long, fp2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n long, fp1 long, fp2 long, keys array<long>, bins binary")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -148,22 +154,44 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(one, "src").join(two, "dst").filter(linked).select("src", "dst")
 
 
-def _across(rows: DataFrame, depth: int = 1) -> DataFrame:
-    """(src, dst) of all pairs of different components in a bucket, of rows (key, id, n, comp, keys)."""
+def _similar(found: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (src < dst) of a member outside the largest component with one of another component, by their bins."""
+    ids, sizes, comps = found["id"].to_numpy(), found["n"].to_numpy(), found["comp"].to_numpy()
+    bins = np.frombuffer(b"".join(found["bins"]), np.uint8).reshape(-1, BINS)
+    src, dst = [], []
+    for i in np.flatnonzero(found["stray"].to_numpy()):
+        low, high = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+        maybe = np.flatnonzero((comps != comps[i]) & (100 * low >= PERCENT * high))
+        equal = (bins[maybe] == bins[i]).mean(axis=1)
+        least = PERCENT / 100 - 5 * np.sqrt(0.1875 / np.minimum(low[maybe], BINS))
+        good = maybe[equal >= least]
+        src.append(np.minimum(ids[good], ids[i]))
+        dst.append(np.maximum(ids[good], ids[i]))
+    none = np.zeros(0, ids.dtype)
+    return pd.DataFrame({"src": np.concatenate([none, *src]), "dst": np.concatenate([none, *dst])}).drop_duplicates()
+
+
+def _across(rows: DataFrame, reps: DataFrame, depth: int = 1) -> DataFrame:
+    """(src, dst) of likely pairs of different components in a bucket, of rows (key, id, n, comp)."""
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("own"))
-    per = per.groupBy("key").agg(F.sum("own").alias("members"), F.sum(F.col("own") * F.col("own")).alias("inner"))
+    per = per.groupBy("key").agg(F.sum("own").alias("members"), F.sum(F.col("own") * F.col("own")).alias("inner"), F.max(F.struct("own", "comp")).alias("main"))
     per = per.filter("members * members > inner").withColumn("light", F.expr(f"members * members - inner <= {2 * LIGHT} * members"))
-    marked = materialize(rows.join(per.select("key", "light"), "key"), "dup-across")
-    light = marked if depth >= DEPTH else marked.filter("light")
-    light = light.select("key", "id", "n", "comp")
-    other = light.select("key", F.col("id").alias("dst"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    pairs = light.join(other, "key").filter("id < dst AND comp <> other").filter(_may_link(F.col("n"), F.col("m"))).select(F.col("id").alias("src"), "dst").distinct()
-    heavy = marked.filter("NOT light")
-    if depth >= DEPTH or heavy.isEmpty():
+    per = per.select("key", "light", F.col("main.comp").alias("main"), F.ceil(F.col("main.own") / DEALT).alias("deals"))
+    marked = materialize(rows.join(per, "key").withColumn("stray", F.col("comp") != F.col("main")), "dup-across")
+    deal = F.when(F.col("stray"), F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("deals"))))
+    light = marked.filter("light").select("key", F.explode(deal).alias("deal"), "id", "n", "comp", "stray").join(reps.select("id", "bins"), "id")
+    kind = rows.schema["id"].dataType.simpleString()
+    pairs = light.groupBy("key", "deal").applyInPandas(_similar, f"src {kind}, dst {kind}").distinct()
+    heavy = marked.filter("NOT light").select("key", "id", "n", "comp")
+    if heavy.isEmpty():
         return pairs
-    cut = heavy.select("key", F.explode("keys").alias("more"), "id", "n", "comp", "keys")
+    if depth == DEPTH:  # equal in so many bands, yet in many components: pair them all
+        other = heavy.select("key", F.col("id").alias("dst"), F.col("n").alias("m"), F.col("comp").alias("other"))
+        near = heavy.join(other, "key").filter("id < dst AND comp <> other").filter(_may_link(F.col("n"), F.col("m")))
+        return pairs.unionByName(near.select(F.col("id").alias("src"), "dst")).distinct()
+    cut = heavy.join(reps.select("id", "keys"), "id").select("key", F.explode("keys").alias("more"), "id", "n", "comp")
     cut = cut.filter("more <> key").withColumn("key", F.xxhash64("key", "more")).drop("more")
-    return pairs.unionByName(_across(cut, depth + 1)).distinct()
+    return pairs.unionByName(_across(cut, reps, depth + 1)).distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -171,11 +199,11 @@ def components(docs: DataFrame) -> DataFrame:
     signed = materialize(signatures(docs), "dup-signatures")
     sets = ["n", "fp1", "fp2"]
     reps = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("id"))
-    reps = materialize(reps, "dup-reps")
-    buckets = signed.join(reps.select(F.col("id").alias("doc_id"), *sets), ["doc_id", *sets], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys")
-    rows = buckets.select(F.explode("keys").alias("key"), "id", "n", "keys")
+    one = signed.join(reps.select(F.col("id").alias("doc_id"), *sets), ["doc_id", *sets], "left_semi")
+    reps = materialize(one.select(F.col("doc_id").alias("id"), *sets, "keys", "bins"), "dup-reps")
+    rows = reps.select(F.explode("keys").alias("key"), "id", "n")
     crowded = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = materialize(rows.select("key", "id", "n").join(crowded, "key"), "dup-buckets")
+    shared = materialize(rows.join(crowded, "key"), "dup-buckets")
     central = shared.groupBy("id").agg(F.sum("members").alias("rank"))
     centre = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"), "n")).alias("c"))
     centre = centre.select("key", (-F.col("c.minus")).alias("dst"), F.col("c.n").alias("m"))
@@ -186,14 +214,14 @@ def components(docs: DataFrame) -> DataFrame:
     # second search: only buckets with several components
     labelled = shared.join(first.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    left = labelled.join(mixed, "key", "left_semi").join(buckets.select("id", "keys"), "id").select("key", "id", "n", "comp", "keys")
+    left = labelled.join(mixed, "key", "left_semi").select("key", "id", "n", "comp")
     tested = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    more = materialize(_across(left).join(tested, ["src", "dst"], "left_anti"), "dup-more")
+    more = materialize(_across(left, reps).join(tested, ["src", "dst"], "left_anti"), "dup-more")
     if not more.isEmpty():
         found = materialize(confirm(docs, more), "dup-found")
         if not found.isEmpty():
             first = connected_components(links.unionByName(found))
-    label = reps.join(first.select(F.col("node").alias("id"), "comp"), "id", "left").select(*sets, F.coalesce("comp", "id").alias("comp"))
+    label = reps.select(*sets, "id").join(first.select(F.col("node").alias("id"), "comp"), "id", "left").select(*sets, F.coalesce("comp", "id").alias("comp"))
     out = signed.select("doc_id", *sets).join(label, sets, "left")
     component = F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
