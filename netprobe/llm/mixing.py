@@ -103,6 +103,8 @@ def taken_blocks(sources: DataFrame) -> DataFrame:
     short = short.withColumn("n", F.lit(SLOTS_PER_SHARD).cast("long"))
     runs = numbered.select("skey", "n_blocks", "quota", "first", "n").unionByName(short.select("skey", "n_blocks", "quota", "first", "n"))
     runs = runs.withColumn("end", F.least(F.col("first") + F.col("n"), F.col("quota"))).filter("first < end")
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(tasks, "skey", "first")  # a few bytes that grow to thousands of rows each
     slots = runs.select("skey", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("j"))
     slots = slots.withColumn("pass", F.floor(F.col("j") / F.col("n_blocks"))).withColumn("i", F.col("j") % F.col("n_blocks"))
     pick = F.pmod(F.xxhash64(F.lit(SEED), "skey", "pass"), F.lit(len(PRIMES))) + 1
