@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netprobe.llm import langid, licenses, media, mixing, neardup, packing, quality, tokenfiles, urlfilter
+from netprobe.llm import langid, licenses, lmscore, media, mixing, neardup, packing, quality, tokenfiles, urlfilter
 from netprobe.llm.common import read_table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": _documents(licenses.query),
         "op2_language_id": _documents(langid.query),
         "op3_packing": _documents(packing.query),
+        "op4_lm_scoring": _documents(lmscore.query),
         "op5_mixing": _documents(mixing.query),
         "op6_quality_rules": _documents(quality.query),
         "op7_media_columns": _documents(media.query),
