@@ -150,7 +150,8 @@ def train(labelled: DataFrame) -> Model | None:
         return None
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     rank = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    sample = labelled.filter(rank < int(min(1.0, MAX_TRAIN / total) * (1 << 30)))
+    # equal texts hash alike: without distinct() a text copied a million times would come a million times
+    sample = labelled.filter(rank < int(min(1.0, MAX_TRAIN / total) * (1 << 30))).distinct()
     sample = sample.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(CALIBRATION_PARTS)))
     sample = materialize(sample.repartition(SHARDS, F.xxhash64(F.lit(5), "text")), "lang-sample")
     index = {lang: i for i, lang in enumerate(langs)}
