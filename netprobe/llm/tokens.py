@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -42,38 +43,45 @@ class Encoder:
         self.by_piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.parts: dict[str, bytes] = {}
 
-    def _known(self, parts: list[str]) -> dict[str, bytes]:
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, from the table or encoded now."""
         known = self.parts
         if len(known) > _MOST_PARTS:
             known.clear()
+        values = [known.get(p) for p in parts]
+        missing = [i for i, v in enumerate(values) if v is None]
         words, others, ended = [], [], []
-        for p in parts:
-            if p not in known:
-                plain = _WORD.fullmatch(p)
-                if not plain:
-                    others.append(p)
-                elif plain[2]:
-                    ended.append((p, plain[1], plain[2]))
-                else:
-                    words.append(p)
+        for i in missing:
+            p = parts[i]
+            plain = _WORD.fullmatch(p)
+            if not plain:
+                others.append(p)
+            elif plain[2]:
+                ended.append((p, plain[1], plain[2]))
+            else:
+                words.append(p)
         words += {core for _, core, _ in ended if core not in known}.difference(words)
         others += {mark for _, _, mark in ended if mark not in known}.difference(others)
         for tokenizer, new in ((self.by_piece, words), (self.tokenizer, others)):
             for i in range(0, len(new), 4096):
                 some = new[i : i + 4096]
                 found = tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                known.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(some, found, strict=True))
+                known.update((p, array(self.code, e.ids).tobytes()) for p, e in zip(some, found, strict=True))
         for p, core, mark in ended:
             known[p] = known[core] + known[mark]
-        return known
+        for i in missing:
+            values[i] = known[parts[i]]
+        return values
 
     def _one(self, text: str) -> np.ndarray:
         if _RARE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         parts = _PART.findall(text)
-        known = self._known(list(set(parts)))
+        own = list(set(parts))
+        known = dict(zip(own, self._known(own), strict=True))
         return np.frombuffer(b"".join([known[p] for p in parts]), self.dtype)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +94,19 @@ class Encoder:
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        edge = np.array([not w or w[0].isspace() or w[-1].isspace() or "\u180e" in w for w in words], bool)
+        words, code = coded.dictionary, coded.indices.to_numpy()
+        bare = pc.binary_length(pc.utf8_trim_whitespace(words))
+        edge = pc.or_(pc.or_(pc.equal(bare, 0), pc.not_equal(bare, pc.binary_length(words))), pc.match_substring(words, "\u180e")).to_numpy(zero_copy_only=False)
         odd = np.add.reduceat(edge[code], offsets[:-1]) > 0 if len(code) else np.zeros(0, bool)
-        code[offsets[:-1]] += len(words)  # a text's first part has no space before it
+        # every part but a text's first has its space before it
+        code = code.copy()
+        code[offsets[:-1]] += len(words)
         present = np.zeros(2 * len(words), bool)
         present[code] = True
         used = np.flatnonzero(present)
-        parts = [" " + words[c] if c < len(words) else words[c - len(words)] for c in used.tolist()]
-        known = self._known(parts)
-        values = [known[p] for p in parts]
+        spaced = words.take(pa.array(used[used < len(words)]))
+        spaced = pc.binary_join_element_wise("", spaced, " ").to_pylist()
+        values = self._known(spaced + words.take(pa.array(used[used >= len(words)] - len(words))).to_pylist())
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(values), self.dtype)
         rank = (np.cumsum(present) - 1)[code]
