@@ -45,9 +45,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def stream64(n: int, seed: int) -> np.ndarray:
-    """n pseudorandom uint64, the same everywhere."""
+    """n pseudorandom uint64, the same everywhere; seeds give streams apart for n up to 2^32."""
     with np.errstate(over="ignore"):
-        return mix64((np.arange(1, n + 1, dtype=U64) + U64(seed)) * U64(0x9E3779B97F4A7C15))
+        return mix64((np.arange(1, n + 1, dtype=U64) + (U64(seed) << U64(32))) * U64(0x9E3779B97F4A7C15))
 
 
 _IS_WS = np.zeros(256, bool)

@@ -77,7 +77,7 @@ RULES: list[tuple[str, list[str]]] = [
     ("Proprietary", ["RESERVED"]),
 ]
 #: Every known sentence holds one of these, so texts and sentences without any are passed over.
-CUES = ["licen", "copyright", "permission", "warranty", "redistribut", "rights reserved", "version 3", "version 2"]
+CUES = ["licen", "under", "copyright", "permission", "warranty", "redistribut", "rights reserved", "version 3", "version 2"]
 UNKNOWN = "?"
 
 

@@ -200,6 +200,7 @@ def components(docs: DataFrame) -> DataFrame:
     sets = ["n", "fp1", "fp2"]
     reps = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("id"))
     one = signed.join(reps.select(F.col("id").alias("doc_id"), *sets), ["doc_id", *sets], "left_semi")
+    one = one.dropDuplicates(["doc_id", *sets])  # repeated rows; dealt out by these keys already
     reps = materialize(one.select(F.col("doc_id").alias("id"), *sets, "keys", "bins"), "dup-reps")
     rows = reps.select(F.explode("keys").alias("key"), "id", "n")
     crowded = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
