@@ -8,9 +8,9 @@
    buckets hold most documents, which is the original that copies were made from. Pairs are confirmed
    on the full sets, and links joined to components.
 4. A star may miss a link between two members that are both unlike the centre. So buckets that still
-   hold several components are searched for links across them, by comparing the members' bins (cut to
-   a byte each): pairs whose estimate is within five standard deviations of 0.75 go on to the full
-   sets. The largest component of a bucket is dealt out over tasks, the few others go to each of them.
+   hold several components are searched for links across them, by comparing the members' shingles as
+   16-bit hashes, or the bins of large sets: what may reach 0.75 (for bins, within five standard
+   deviations) goes on to the full sets. The largest component of a bucket is dealt out over tasks, the few others go to each of them.
    A bucket with too many members outside its largest component is first cut by the members' other
    bands (a pair of similarity 0.75 shares 12 on average), so noise that shares one band is not compared.
 
@@ -37,9 +37,14 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 51, 5
 BINS = BANDS * ROWS
 #: A bucket is searched pair by pair while its pairs across components are at most this many times its members.
-LIGHT = 64
+LIGHT = 1000
 #: So many members of a bucket's largest component go to one task.
 DEALT = 2000
+#: Sets up to MOST_SHORT are compared by 16-bit hashes, which never understate what two sets share; if one of
+#: a pair is larger, both have LEAST_BINS at least and are compared by bins.
+MOST_SHORT, LEAST_BINS = 340, 192
+#: Of the likely partners of a small set in one other component, so many go on to the full sets: the most similar ones.
+PARTNERS = 8
 DEPTH = 4
 _ATTEMPTS = 4096
 _MULT = stream64(WORDS, 21) | U64(1)
@@ -103,7 +108,8 @@ def band_keys(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp1, fp2 (a fingerprint of the set), the band keys and the bins as bytes."""
+    """doc_id, n, fp1, fp2 (a fingerprint of the set), the band keys, and what estimates a similarity: the
+    bins as bytes, or for small sets all shingles as 16-bit hashes (sizes between have both)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +123,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                         sums.append((total[begins[1:]] - total[begins[:-1]]).view(np.int64))
                 keys, cut = band_keys(values, begins)
                 listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.view(np.int64).ravel())
-                bins = pa.array([row.tobytes() for row in cut], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), listed, bins], names=["doc_id", "n", "fp1", "fp2", "keys", "bins"])
+                short = (mix64(values) & U64(0xFFFF)).astype(np.uint16)
+                bins = pa.array([row.tobytes() if size >= LEAST_BINS else b"" for row, size in zip(cut, sizes, strict=True)], pa.binary())
+                hashes = pa.array([short[b:e].tobytes() if e - b <= MOST_SHORT else b"" for b, e in zip(begins[:-1], begins[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), listed, bins, hashes], names=["doc_id", "n", "fp1", "fp2", "keys", "bins", "hashes"])
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n long, fp1 long, fp2 long, keys array<long>, bins binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n long, fp1 long, fp2 long, keys array<long>, bins binary, hashes binary")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -155,18 +163,49 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _similar(found: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (src < dst) of a member outside the largest component with one of another component, by their bins."""
-    ids, sizes, comps = found["id"].to_numpy(), found["n"].to_numpy(), found["comp"].to_numpy()
-    bins = np.frombuffer(b"".join(found["bins"]), np.uint8).reshape(-1, BINS)
+    """Pairs (src < dst) of a member outside the largest component with likely partners in other components."""
+    ids, sizes, comps, stray = (found[c].to_numpy() for c in ("id", "n", "comp", "stray"))
+    short = np.flatnonzero(sizes <= MOST_SHORT)
+    hashes = np.frombuffer(b"".join(found["hashes"].iloc[short]), np.uint16)
+    first = np.concatenate([[0], np.cumsum(sizes[short])]).astype(np.int64)
+    binned = np.flatnonzero(sizes >= LEAST_BINS)
+    bins = np.frombuffer(b"".join(found["bins"].iloc[binned]), np.uint8).reshape(-1, BINS)
+    row = np.full(len(ids), -1)
+    row[binned] = np.arange(len(binned))
+    place = np.full(len(ids), -1)
+    place[short] = np.arange(len(short))
     src, dst = [], []
-    for i in np.flatnonzero(found["stray"].to_numpy()):
-        low, high = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-        maybe = np.flatnonzero((comps != comps[i]) & (100 * low >= PERCENT * high))
-        equal = (bins[maybe] == bins[i]).mean(axis=1)
-        least = PERCENT / 100 - 5 * np.sqrt(0.1875 / np.minimum(low[maybe], BINS))
-        good = maybe[equal >= least]
-        src.append(np.minimum(ids[good], ids[i]))
-        dst.append(np.maximum(ids[good], ids[i]))
+
+    def put(i: int, others: np.ndarray) -> None:
+        src.append(np.minimum(ids[others], ids[i]))
+        dst.append(np.maximum(ids[others], ids[i]))
+
+    def fits(i: int, others: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        return others[(comps[others] != comps[i]) & (100 * low >= PERCENT * high)]
+
+    inside = np.zeros(1 << 16, bool)
+    for i in np.flatnonzero(stray):
+        if sizes[i] <= MOST_SHORT:
+            own = hashes[first[place[i]] : first[place[i] + 1]]
+            inside[own] = True
+            most = np.minimum(np.add.reduceat(inside[hashes].astype(np.int64), first[:-1]), np.minimum(sizes[short], sizes[i]))
+            inside[own] = False
+            likely = short[100 * most >= PERCENT * (sizes[short] + sizes[i] - most)]
+            score = np.zeros(len(ids))
+            score[short] = most / np.maximum(sizes[short] + sizes[i] - most, 1)
+            likely = fits(i, likely)
+            if len(likely) > PARTNERS:  # the best of each component
+                likely = likely[np.lexsort((ids[likely], -score[likely], comps[likely]))]
+                begins = np.flatnonzero(np.concatenate([[True], comps[likely][1:] != comps[likely][:-1]]))
+                rank = np.arange(len(likely)) - np.repeat(begins, np.diff(np.append(begins, len(likely))))
+                likely = likely[rank < PARTNERS]
+            put(i, likely)
+        if sizes[i] >= LEAST_BINS:
+            others = fits(i, binned)
+            others = others[(sizes[others] > MOST_SHORT) | (sizes[i] > MOST_SHORT)]
+            equal = (bins[row[others]] == bins[row[i]]).mean(axis=1)
+            put(i, others[equal >= PERCENT / 100 - 5 * np.sqrt(0.1875 / BINS)])
     none = np.zeros(0, ids.dtype)
     return pd.DataFrame({"src": np.concatenate([none, *src]), "dst": np.concatenate([none, *dst])}).drop_duplicates()
 
@@ -179,7 +218,7 @@ def _across(rows: DataFrame, reps: DataFrame, depth: int = 1) -> DataFrame:
     per = per.select("key", "light", F.col("main.comp").alias("main"), F.ceil(F.col("main.own") / DEALT).alias("deals"))
     marked = materialize(rows.join(per, "key").withColumn("stray", F.col("comp") != F.col("main")), "dup-across")
     deal = F.when(F.col("stray"), F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("deals"))))
-    light = marked.filter("light").select("key", F.explode(deal).alias("deal"), "id", "n", "comp", "stray").join(reps.select("id", "bins"), "id")
+    light = marked.filter("light").select("key", F.explode(deal).alias("deal"), "id", "n", "comp", "stray").join(reps.select("id", "bins", "hashes"), "id")
     kind = rows.schema["id"].dataType.simpleString()
     pairs = light.groupBy("key", "deal").applyInPandas(_similar, f"src {kind}, dst {kind}").distinct()
     heavy = marked.filter("NOT light").select("key", "id", "n", "comp")
@@ -201,7 +240,7 @@ def components(docs: DataFrame) -> DataFrame:
     reps = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("id"))
     one = signed.join(reps.select(F.col("id").alias("doc_id"), *sets), ["doc_id", *sets], "left_semi")
     one = one.dropDuplicates(["doc_id", *sets])  # repeated rows; dealt out by these keys already
-    reps = materialize(one.select(F.col("doc_id").alias("id"), *sets, "keys", "bins"), "dup-reps")
+    reps = materialize(one.select(F.col("doc_id").alias("id"), *sets, "keys", "bins", "hashes"), "dup-reps")
     rows = reps.select(F.explode("keys").alias("key"), "id", "n")
     crowded = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = materialize(rows.join(crowded, "key"), "dup-buckets")
