@@ -13,6 +13,8 @@
    deviations) goes on to the full sets. The largest component of a bucket is dealt out over tasks, the few others go to each of them.
    A bucket with too many members outside its largest component is first cut by the members' other
    bands (a pair of similarity 0.75 shares 12 on average), so noise that shares one band is not compared.
+   Of many likely partners in one component the best few are tried first. Where none of them is confirmed,
+   the member is held against the full sets of that whole component, in blocks.
 
 Defined results: null or empty texts, or texts without words, have no shingles and are linked with
 nothing; texts under five words are one shingle; rows of one doc_id count as one document; rows
@@ -43,7 +45,8 @@ DEALT = 2000
 #: Sets up to MOST_SHORT are compared by 16-bit hashes, which never understate what two sets share; if one of
 #: a pair is larger, both have LEAST_BINS at least and are compared by bins.
 MOST_SHORT, LEAST_BINS = 340, 192
-#: Of the likely partners of a small set in one other component, so many go on to the full sets: the most similar ones.
+#: Of the likely partners of a small set in one other component, so many are tried first: the most similar ones.
+#: If none of them is confirmed, ``block_links`` searches the whole component.
 PARTNERS = 8
 DEPTH = 4
 _ATTEMPTS = 4096
@@ -163,7 +166,8 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _similar(found: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (src < dst) of a member outside the largest component with likely partners in other components."""
+    """Pairs of a member outside the largest component (src) with likely partners in other components (dst);
+    cut: src has more of them in the component of dst."""
     ids, sizes, comps, stray = (found[c].to_numpy() for c in ("id", "n", "comp", "stray"))
     short = np.flatnonzero(sizes <= MOST_SHORT)
     hashes = np.frombuffer(b"".join(found["hashes"].iloc[short]), np.uint16)
@@ -174,11 +178,12 @@ def _similar(found: pd.DataFrame) -> pd.DataFrame:
     row[binned] = np.arange(len(binned))
     place = np.full(len(ids), -1)
     place[short] = np.arange(len(short))
-    src, dst = [], []
+    src, dst, cut = [], [], []
 
-    def put(i: int, others: np.ndarray) -> None:
-        src.append(np.minimum(ids[others], ids[i]))
-        dst.append(np.maximum(ids[others], ids[i]))
+    def put(i: int, others: np.ndarray, more: np.ndarray) -> None:
+        src.append(np.full(len(others), ids[i]))
+        dst.append(ids[others])
+        cut.append(more)
 
     def fits(i: int, others: np.ndarray) -> np.ndarray:
         low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
@@ -195,23 +200,67 @@ def _similar(found: pd.DataFrame) -> pd.DataFrame:
             score = np.zeros(len(ids))
             score[short] = most / np.maximum(sizes[short] + sizes[i] - most, 1)
             likely = fits(i, likely)
+            more = np.zeros(len(likely), bool)
             if len(likely) > PARTNERS:  # the best of each component
                 likely = likely[np.lexsort((ids[likely], -score[likely], comps[likely]))]
                 begins = np.flatnonzero(np.concatenate([[True], comps[likely][1:] != comps[likely][:-1]]))
-                rank = np.arange(len(likely)) - np.repeat(begins, np.diff(np.append(begins, len(likely))))
-                likely = likely[rank < PARTNERS]
-            put(i, likely)
+                counts = np.diff(np.append(begins, len(likely)))
+                first_few = np.arange(len(likely)) - np.repeat(begins, counts) < PARTNERS
+                likely, more = likely[first_few], np.repeat(counts > PARTNERS, counts)[first_few]
+            put(i, likely, more)
         if sizes[i] >= LEAST_BINS:
             others = fits(i, binned)
             others = others[(sizes[others] > MOST_SHORT) | (sizes[i] > MOST_SHORT)]
             equal = (bins[row[others]] == bins[row[i]]).mean(axis=1)
-            put(i, others[equal >= PERCENT / 100 - 5 * np.sqrt(0.1875 / BINS)])
+            others = others[equal >= PERCENT / 100 - 5 * np.sqrt(0.1875 / BINS)]
+            put(i, others, np.zeros(len(others), bool))
     none = np.zeros(0, ids.dtype)
-    return pd.DataFrame({"src": np.concatenate([none, *src]), "dst": np.concatenate([none, *dst])}).drop_duplicates()
+    return pd.DataFrame({"src": np.concatenate([none, *src]), "dst": np.concatenate([none, *dst]), "cut": np.concatenate([np.zeros(0, bool), *cut])})
+
+
+def _block_links(found: pd.DataFrame) -> pd.DataFrame:
+    """For each seeker of a block, one member of the block whose full set is similar enough, if there is any."""
+    seek, held = found[found["seeker"]], found[~found["seeker"]]
+    src, dst = [], []
+    if len(held):
+        flat = np.concatenate(list(held["shingles"])).astype(np.int64)
+        sizes = held["shingles"].map(len).to_numpy()
+        owner = np.repeat(np.arange(len(held)), sizes)
+        low = (flat & 0xFFFF).astype(np.uint16)
+        ids, inside = held["id"].to_numpy(), np.zeros(1 << 16, bool)
+        for i, own in zip(seek["id"], seek["shingles"], strict=True):
+            cut = (own & 0xFFFF).astype(np.uint16)
+            inside[cut] = True
+            hit = np.flatnonzero(inside[low])
+            inside[cut] = False
+            both = np.bincount(owner[hit[np.isin(flat[hit], own)]], minlength=len(held))
+            linked = np.flatnonzero((100 * both >= PERCENT * (sizes + len(own) - both)) & (ids != i))
+            if len(linked):
+                src.append(i)
+                dst.append(ids[linked[0]])
+    none = np.zeros(0, found["id"].dtype)
+    return pd.DataFrame({"src": np.concatenate([none, src]).astype(none.dtype), "dst": np.concatenate([none, dst]).astype(none.dtype)})
+
+
+def block_links(docs: DataFrame, goals: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (src, dst) of each ``goals`` (id, comp) with members (id, comp) of that component, all of them
+    compared on full sets, DEALT by DEALT in a task; one link for each id and block is returned."""
+    wanted = goals.groupBy("comp").agg(F.ceil(F.count("*") / DEALT).alias("across"))
+    held = members.join(wanted, "comp")
+    down = held.groupBy("comp", "across").agg(F.ceil(F.count("*") / DEALT).alias("down"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    held = held.join(down.drop("across"), "comp").select("comp", dealt("down").alias("row"), every("across").alias("col"), "id", F.lit(False).alias("seeker"))
+    seek = goals.join(down, "comp").select("comp", every("down").alias("row"), dealt("across").alias("col"), "id", F.lit(True).alias("seeker"))
+    blocks = materialize(held.unionByName(seek), "dup-blocks")
+    ids = blocks.select(F.col("id").alias("doc_id")).distinct()
+    sets = full_sets(docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")).withColumnRenamed("doc_id", "id")
+    kind = blocks.schema["id"].dataType.simpleString()
+    return blocks.join(sets, "id").groupBy("comp", "row", "col").applyInPandas(_block_links, f"src {kind}, dst {kind}").distinct()
 
 
 def _across(rows: DataFrame, reps: DataFrame, depth: int = 1) -> DataFrame:
-    """(src, dst) of likely pairs of different components in a bucket, of rows (key, id, n, comp)."""
+    """(src, dst, cut) of likely pairs of different components in a bucket, of rows (key, id, n, comp)."""
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("own"))
     per = per.groupBy("key").agg(F.sum("own").alias("members"), F.sum(F.col("own") * F.col("own")).alias("inner"), F.max(F.struct("own", "comp")).alias("main"))
     per = per.filter("members * members > inner").withColumn("light", F.expr(f"members * members - inner <= {2 * LIGHT} * members"))
@@ -220,14 +269,14 @@ def _across(rows: DataFrame, reps: DataFrame, depth: int = 1) -> DataFrame:
     deal = F.when(F.col("stray"), F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("deals"))))
     light = marked.filter("light").select("key", F.explode(deal).alias("deal"), "id", "n", "comp", "stray").join(reps.select("id", "bins", "hashes"), "id")
     kind = rows.schema["id"].dataType.simpleString()
-    pairs = light.groupBy("key", "deal").applyInPandas(_similar, f"src {kind}, dst {kind}").distinct()
+    pairs = light.groupBy("key", "deal").applyInPandas(_similar, f"src {kind}, dst {kind}, cut boolean").distinct()
     heavy = marked.filter("NOT light").select("key", "id", "n", "comp")
     if heavy.isEmpty():
         return pairs
     if depth == DEPTH:  # equal in so many bands, yet in many components: pair them all
         other = heavy.select("key", F.col("id").alias("dst"), F.col("n").alias("m"), F.col("comp").alias("other"))
         near = heavy.join(other, "key").filter("id < dst AND comp <> other").filter(_may_link(F.col("n"), F.col("m")))
-        return pairs.unionByName(near.select(F.col("id").alias("src"), "dst")).distinct()
+        return pairs.unionByName(near.select(F.col("id").alias("src"), "dst", F.lit(False).alias("cut"))).distinct()
     cut = heavy.join(reps.select("id", "keys"), "id").select("key", F.explode("keys").alias("more"), "id", "n", "comp")
     cut = cut.filter("more <> key").withColumn("key", F.xxhash64("key", "more")).drop("more")
     return pairs.unionByName(_across(cut, reps, depth + 1)).distinct()
@@ -256,12 +305,26 @@ def components(docs: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
     left = labelled.join(mixed, "key", "left_semi").select("key", "id", "n", "comp")
     tested = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    more = materialize(_across(left, reps).join(tested, ["src", "dst"], "left_anti"), "dup-more")
+    likely = materialize(_across(left, reps), "dup-likely")
+    more = likely.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    more = materialize(more.join(tested, ["src", "dst"], "left_anti"), "dup-more")
     if not more.isEmpty():
         found = materialize(confirm(docs, more), "dup-found")
+        if not found.isEmpty():
+            links = materialize(links.unionByName(found), "dup-links")
+            first = connected_components(links)
+    # third search: members whose best partners in a component were not confirmed, against all of it
+    label = reps.select(*sets, "id").join(first.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    label = materialize(label, "dup-labels")
+    at = label.select("id", "comp")
+    goals = likely.filter("cut").join(at.select(F.col("id").alias("src"), F.col("comp").alias("own")), "src").join(at.withColumnRenamed("id", "dst"), "dst")
+    goals = materialize(goals.filter("own <> comp").select(F.col("src").alias("id"), "comp").distinct(), "dup-goals")
+    if not goals.isEmpty():
+        found = materialize(block_links(docs, goals, at), "dup-found")
         if not found.isEmpty():
             first = connected_components(links.unionByName(found))
-    label = reps.select(*sets, "id").join(first.select(F.col("node").alias("id"), "comp"), "id", "left").select(*sets, F.coalesce("comp", "id").alias("comp"))
+            label = label.drop("comp").join(first.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    label = label.select(*sets, "comp")
     out = signed.select("doc_id", *sets).join(label, sets, "left")
     component = F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

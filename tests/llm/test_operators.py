@@ -452,6 +452,27 @@ def test_heavy_buckets_are_cut_by_other_bands(spark, monkeypatch):
     test_links_that_no_star_holds(spark)
 
 
+def test_members_that_are_held_against_a_whole_component(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "DEALT", 7)
+    base = [f"t{i}" for i in range(100)]
+    texts = {i: " ".join([*base, f"n{i}"]) for i in range(30)}
+    texts[30] = " ".join([*base[:90], *[f"z{k}" for k in range(10)]])  # similar to all of them
+    texts[31] = " ".join([*base[:50], *[f"y{k}" for k in range(50)]])  # similar to none
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    goals = spark.createDataFrame([(30, 0), (31, 0)], "id long, comp long")
+    members = spark.createDataFrame([(i, 0) for i in range(30)] + [(30, 30), (31, 31)], "id long, comp long")
+    links = neardup.block_links(df, goals, members).toPandas()
+    assert set(links.src) == {30} and set(links.dst) <= set(range(30)) and len(links) >= 1
+    assert neardup.block_links(df, goals.filter("false"), members).count() == 0
+
+
+def test_only_first_partners_are_cut():
+    sets = [np.arange(s, s + 100, dtype=np.uint16) for s in [0, *[3 + (k % 3) for k in range(12)], 40]]
+    found = pd.DataFrame({"id": range(14), "n": 100, "comp": [0, *[1] * 12, 2], "stray": [True, *[False] * 13], "hashes": [h.tobytes() for h in sets], "bins": b""})
+    out = neardup._similar(found)
+    assert len(out) == neardup.PARTNERS and out.cut.all() and set(out.src) == {0} and not (out.dst == 13).any()
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     out = neardup.query(odd).toPandas()
     assert len(out) == odd.count()
