@@ -2,9 +2,9 @@
 
 Counting: tasks sum the one- and two-word sequences of their training texts, and buckets of the key
 space merge these sums. A bucket writes its segment of the filter: a sequence of quantised count q =
-1 + floor(log2 count) is entered at levels 1 to q. The filter has ``FILTER_BITS`` bits whatever the
-corpus; where all sequences do not fit at ``ENTRY_BITS`` bits an entry, a bucket leaves out its rarest
-ones (none in a corpus of a few hundred million words). The filter is what goes to every worker.
+1 + floor(log2 count) is entered at levels 1 to q. A segment has ``ROOM`` times ``ENTRY_BITS`` bits for each of
+its counted entries, so nothing is left out. Segments are files in the shared folder, which workers map into
+memory: only their names and sizes go with the tasks.
 
 Scoring: a worker probes rising levels until one is missing, which gives the count back within a
 factor of two, and smooths the pair's estimate with that of the word alone.
@@ -21,19 +21,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netprobe.llm.common import U64, materialize, mix64, slices, stream64, text_or_empty, word_hashes
+from netprobe.llm.common import U64, materialize, mix64, new_path, slices, stream64, text_or_empty, word_hashes
+from netprobe.llm.urlfilter import _local
 
-FILTER_BITS, ENTRY_BITS, PROBES = 1 << 28, 8, 3
-#: Of 8 parts of the filter, one holds words and the others pairs.
-WORD_PARTS = 1
+ENTRY_BITS, PROBES = 8, 3
+#: At twice the least bits an entry, a level is found by mistake with probability 0.005.
+ROOM = 2
 HOT = 1 << 18
 #: Weight of the single word's estimate, in occurrences of the word before.
 PRIOR = 2.0
@@ -76,7 +79,7 @@ def restored(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (3.0 * 2.0 ** (levels - 1) - 1) / 2, 0.0)
 
 
-def positions(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
+def positions(keys: np.ndarray, level: int, bits: int | np.ndarray) -> Iterator[np.ndarray]:
     with np.errstate(over="ignore"):
         h = keys ^ _LEVELS[level]
         for _ in range(PROBES):
@@ -84,9 +87,9 @@ def positions(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
             yield ((h >> U64(32)) * U64(bits) >> U64(32)).astype(np.int64)
 
 
-def segment_bits(kind: int, buckets: int) -> int:
-    share = FILTER_BITS // 8 * (WORD_PARTS if kind == WORD else 8 - WORD_PARTS)
-    return max(64, share // buckets // 8 * 8)
+def segment_bits(counts: np.ndarray) -> int:
+    """Room for every entry of sequences with these counts."""
+    return max(64, -(-int(quantised(counts).sum()) * ROOM * ENTRY_BITS // 8) * 8)
 
 
 def make_segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[bytes, int]:
@@ -104,10 +107,21 @@ def make_segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[bytes
     return np.packbits(own, bitorder="little").tobytes(), 1 << max(0, least - 1)
 
 
+@lru_cache(maxsize=1 << 14)
+def _open(path: str) -> np.ndarray:
+    """A segment's bytes, mapped into memory; from a store without local paths, loaded."""
+    if "://" not in path or path.startswith("file:"):
+        return np.memmap(_local(path), np.uint8, "r")
+    files, base = pafs.FileSystem.from_uri(path)
+    with files.open_input_file(base) as file:
+        return np.frombuffer(file.read(), np.uint8)
+
+
 @dataclass
 class Model:
     buckets: int
-    filters: dict[int, np.ndarray]  # bytes of all segments, by kind
+    #: By kind: the bytes of all segments of one size, or each bucket's file and its bytes ("" and 0 where it has no sequence).
+    filters: dict[int, np.ndarray | tuple[list[str], np.ndarray]]
     hot_keys: np.ndarray
     hot_counts: np.ndarray
     tokens: int  # N
@@ -115,19 +129,34 @@ class Model:
 
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Quantised counts by repeated probes of rising levels."""
-        bits = segment_bits(kind, self.buckets)
-        out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        data, base = self.filters[kind], bucket_of(keys, self.buckets) * bits
+        own = self.filters[kind]
+        if isinstance(own, tuple):
+            names, sizes = own
+            segment = lambda bucket: _open(names[bucket])
+        else:
+            sizes = np.full(self.buckets, len(own) // self.buckets)
+            segment = np.split(own, self.buckets).__getitem__
+        order = np.argsort(keys, kind="stable")  # buckets rise with the key
+        keys, out = keys[order], np.zeros(len(keys), np.int64)
+        owner = bucket_of(keys, self.buckets)
+        left = np.flatnonzero(sizes[owner] > 0)
         for level in range(1, 64):
-            hit = np.ones(len(left), bool)
-            for at in positions(keys[left], level, bits):
-                at = at + base[left]
-                hit &= (data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            left = left[hit]
             if not len(left):
                 break
+            bucket = owner[left]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            spans = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], [segment(k) for k in bucket[first].tolist()], strict=True))
+            hit = np.ones(len(left), bool)
+            for at in positions(keys[left], level, sizes[bucket] * 8):
+                byte, found = at >> 3, np.empty(len(at), np.uint8)
+                for b, e, data in spans:
+                    found[b:e] = data[byte[b:e]]
+                hit &= (found >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            left = left[hit]
             out[left] = level
-        return out
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def log10(self, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """log10 probability of every token, given the one before it."""
@@ -177,7 +206,7 @@ def _partial_sums(train: DataFrame, buckets: int) -> DataFrame:
     return train.select("text").mapInArrow(run, _SUMS)
 
 
-_MERGED = "kind int, bucket int, segment binary, least long, types long, tokens long, above array<long>, keys binary, counts binary"
+_MERGED = "kind int, bucket int, segment string, size long, types long, tokens long, above array<long>, keys binary, counts binary"
 
 
 def _merge(buckets: int):  # noqa: ANN202
@@ -189,10 +218,27 @@ def _merge(buckets: int):  # noqa: ANN202
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, counts = keys[first], np.add.reduceat(counts, first)
-        segment, least = make_segment(keys, counts, segment_bits(kind, buckets))
+        segment, _ = make_segment(keys, counts, segment_bits(counts))
         above = [int((counts >= 1 << k).sum()) for k in range(48)]
         own = kind == WORD
-        return pd.DataFrame({"kind": [kind], "bucket": [bucket], "segment": [segment], "least": [least], "types": [len(keys)], "tokens": [int(counts.sum())], "above": [above], "keys": [keys.tobytes() if own else None], "counts": [counts.tobytes() if own else None]})
+        return pd.DataFrame({"kind": [kind], "bucket": [bucket], "segment": [segment], "size": [len(segment)], "types": [len(keys)], "tokens": [int(counts.sum())], "above": [above], "keys": [keys.tobytes() if own else None], "counts": [counts.tobytes() if own else None]})
+
+    return run
+
+
+def _stored(buckets: int, folder: str):  # noqa: ANN202
+    """As ``_merge``, with each segment in a file of its own and its name in the row."""
+    merge = _merge(buckets)
+
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        out = merge(found)
+        files, base = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + _local(folder))
+        files.create_dir(base)
+        # a task that runs again writes under its own name; only the file it reports is read
+        name = f"{out['kind'].iloc[0]}-{out['bucket'].iloc[0]}-{np.random.SeedSequence().entropy:x}"
+        with files.open_output_stream(f"{base}/{name}") as file:
+            file.write(out.segment.iloc[0])
+        return out.assign(segment=[f"{folder}/{name}"])
 
     return run
 
@@ -216,13 +262,13 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     size = train.agg(F.coalesce(F.sum(F.octet_length(text_or_empty())), F.lit(0)).alias("n")).first()["n"]
     buckets = max(32, int(size) // BUCKET_BYTES)
     sums = _partial_sums(train, buckets).groupBy("kind", "bucket")
-    merged = materialize(sums.applyInPandas(_merge(buckets), _MERGED), "lm-buckets")
+    merged = materialize(sums.applyInPandas(_stored(buckets, new_path(spark, "lm-filter")), _MERGED), "lm-buckets")
     filters = {}
     for kind in (WORD, PAIR):
-        width = segment_bits(kind, buckets) // 8
-        filters[kind] = np.zeros(width * buckets, np.uint8)
-        for row in merged.filter(F.col("kind") == kind).select("bucket", "segment").toLocalIterator():  # FILTER_BITS in all
-            filters[kind][row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["segment"], np.uint8)
+        names, sizes = [""] * buckets, np.zeros(buckets, np.int64)
+        for row in merged.filter(F.col("kind") == kind).select("bucket", "segment", "size").collect():  # one row for each bucket
+            names[row["bucket"]], sizes[row["bucket"]] = row["segment"], row["size"]
+        filters[kind] = (names, sizes)
     words = merged.filter(F.col("kind") == WORD)
     total = words.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), *[F.sum(F.get("above", F.lit(k))).alias(f"a{k}") for k in range(48)]).first()
     level = next((k for k in range(48) if (total[f"a{k}"] or 0) <= HOT), 48)

@@ -222,6 +222,22 @@ def test_filter_gives_counts_back_within_a_factor_of_two():
     assert least > 1 and len(segment) == 1024
 
 
+def test_no_sequence_is_left_out_of_the_filter(docs, monkeypatch):
+    keys = common.stream64(2000, 5)
+    for kind in (lmscore.WORD, lmscore.PAIR):  # one of very many buckets, full of sequences seen once
+        merged = lmscore._merge(1 << 20)(pd.DataFrame({"kind": [kind], "bucket": [0], "keys": [keys.tobytes()], "counts": [np.ones(2000, np.uint32).tobytes()]}))
+        model = lmscore.Model(1, {kind: np.frombuffer(merged.segment[0], np.uint8)}, keys[:0], keys[:0], 1, 1)
+        assert (model.levels(keys, kind) > 0).all()
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 10_000)
+    train = docs.filter(lmscore.training(F.col("doc_id")))
+    model, _ = lmscore.fit(train)
+    own, _ = lmscore.tokens(pa.array([r.text for r in train.select("text").collect()]))
+    for kind, found in ((lmscore.WORD, own), (lmscore.PAIR, lmscore.pairs_of(own))):
+        found, counts = np.unique(found, return_counts=True)
+        levels = model.levels(found, kind)
+        assert (levels >= lmscore.quantised(counts)).all() and (levels == lmscore.quantised(counts)).mean() > 0.93
+
+
 # 5
 
 def brute_targets(sizes):
