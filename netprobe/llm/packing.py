@@ -1,11 +1,13 @@
 """Packing documents into training windows by lexical retrieval.
 
-Each task takes its documents in runs of ``SHARD_DOCS``. A document's full windows are sequences of
-their own; what is left of it is a unit of the run's BM25 inverted index. A seed (the first unit not
-used up) retrieves unused neighbours by its most telling terms, which fill the seed's window in order
-of score; the last one is cut where the window ends, and its rest seeds the next window. So windows
-are full, but for a run's last, which is cut into powers of two. No document leaves its task: nothing
-is shuffled, and a run's size bounds the memory.
+Document frequencies and the mean length are counted over all documents. Documents are then sorted over
+all tasks by their most telling terms that others share, so that lexical neighbours meet wherever they
+were stored, and each task packs its documents in runs of ``SHARD_DOCS``; a term with more documents than
+a run holds is ordered by the next terms. A document's full windows are sequences of their own; what is
+left of it is a unit, found by the terms of the whole document in the run's BM25 inverted index. A seed
+(the first unit not used up) retrieves unused neighbours by its most telling terms, which fill the seed's
+window in order of score; the last one is cut where the window ends, and its rest seeds the next window.
+So windows are full, but for a run's last, which is cut into powers of two.
 
 Defined results: null or empty texts are the end id alone; equal documents are packed each for itself;
 rows without a doc_id are packed like others; an empty table gives no pieces; other columns are ignored.
@@ -20,30 +22,66 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from netprobe.llm.common import slices
+from netprobe.llm.common import materialize, slices, utf8
 from netprobe.llm.tokens import encoder, vocabulary_path
 
 WINDOW, END_ID = 1024, 0
 SHARD_DOCS, QUERY_TERMS = 1024, 32
 K1, B = 1.2, 0.75
+#: Documents are sorted by so many of their most telling terms.
+ROUTE_TERMS = 3
+
+
+class Corpus:
+    """What BM25 needs of all documents: their number, mean length and each term's document frequency."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray) -> None:
+        self.mean, self.df = max(mean, 1), df
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def weight(self, terms: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / self.mean))
+
+
+def _counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """term, document, tf of every term of every document, by term, and the documents' lengths."""
+    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+    pairs = (np.concatenate(docs).astype(np.int64) << 32) | np.repeat(np.arange(len(docs)), lengths)
+    pairs, tf = np.unique(pairs, return_counts=True)
+    return pairs >> 32, pairs & 0xFFFFFFFF, tf, lengths
+
+
+def routes(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """Each document's most telling terms that other documents have too, in order; -1 where there are no more."""
+    term, doc, tf, lengths = _counted(docs)
+    shared = corpus.df[term] > 1
+    term, doc, tf = term[shared], doc[shared], tf[shared]
+    order = np.lexsort((term, -corpus.weight(term, tf, lengths[doc]), doc))
+    term, doc = term[order], doc[order]
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    out = np.full((len(docs), ROUTE_TERMS), -1, np.int64)
+    first = place < ROUTE_TERMS
+    out[doc[first], place[first]] = term[first]
+    return out
 
 
 class Index:
-    """BM25 postings of a run's units: by term, the units and their weights."""
+    """BM25 postings of a run's units: by term, the units and their weights. Without a corpus, the units are it."""
 
-    def __init__(self, units: list[np.ndarray]) -> None:
+    def __init__(self, units: list[np.ndarray], corpus: Corpus | None = None) -> None:
         n = len(units)
-        lengths = np.fromiter(map(len, units), np.int64, n)
-        pairs = (np.concatenate(units).astype(np.int64) << 32) | np.repeat(np.arange(n), lengths)
-        pairs, tf = np.unique(pairs, return_counts=True)
-        term, self.unit = pairs >> 32, pairs & 0xFFFFFFFF
+        term, self.unit, tf, lengths = _counted(units)
         self.terms, first = np.unique(term, return_index=True)
         self.first = np.append(first, len(term))
         df = np.diff(self.first)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         rank = np.repeat(np.arange(len(self.terms)), df)
-        self.weight = idf[rank] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.unit] / max(lengths.mean(), 1)))
+        if corpus is None:
+            every = np.zeros(int(self.terms.max(initial=0)) + 1, np.int64)
+            every[self.terms] = df
+            corpus = Corpus(n, lengths.mean(), every)
+        self.weight = corpus.weight(term, tf, lengths[self.unit])
         by_unit = np.argsort(self.unit, kind="stable")
         self.own_terms, self.own_weight = rank[by_unit], self.weight[by_unit]
         self.own_first = np.concatenate([[0], np.cumsum(np.bincount(self.unit, minlength=n))])
@@ -62,11 +100,11 @@ class Index:
         return left[np.argsort(-score[left], kind="stable")]
 
 
-def fill(units: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows as lists of (unit, begin, end); all are full but the last."""
+def fill(units: list[np.ndarray], window: int, texts: list[np.ndarray] | None = None, corpus: Corpus | None = None) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows as lists of (unit, begin, end); all are full but the last. Units are found by their ``texts``."""
     if not units:
         return
-    index, unused = Index(units), np.ones(len(units), bool)
+    index, unused = Index(texts or units, corpus), np.ones(len(units), bool)
     begin, seed = np.zeros(len(units), np.int64), 0
     while True:
         space, out = window, []
@@ -115,12 +153,71 @@ def in_powers(pieces: list[tuple[int, int, int]], window: int) -> Iterator[list[
 _FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
+def arrays_of(ids: pa.Array) -> list[np.ndarray]:
+    data, offsets = utf8(ids)
+    return [np.frombuffer(data[b:e].tobytes(), "<u4") for b, e in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """doc_id and ids (4 bytes each, the end id last) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary)
+        for batch in batches:
+            for part in slices(batch):
+                ids, begins = encode.encode(part.column("text"))
+                ids = ids.astype("<u4")
+                own = [np.append(ids[b:e], np.uint32(end_id)).tobytes() for b, e in zip(begins[:-1], begins[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "ids"])
+
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, ids binary")
+
+
+def _corpus(ids: DataFrame) -> Corpus:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for part in slices(batch, "ids"):
+                term, _, _, lengths = _counted(arrays_of(part.column("ids")))
+                own = np.bincount(term, minlength=len(df))
+                own[: len(df)] += df
+                df, n, total = own, n + len(part), total + int(lengths.sum())
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, total, *df[at].tolist()], pa.int64())], names=["term", "n"])
+
+    found = ids.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    count = dict(zip(found.term.tolist(), found.n.tolist(), strict=True))
+    n, total = count.pop(-2, 0), count.pop(-1, 0)
+    df = np.zeros(max(count, default=0) + 1, np.int64)
+    df[list(count)] = list(count.values())
+    return Corpus(n, total / max(n, 1), df)
+
+
+def _routed(ids: DataFrame, state) -> DataFrame:  # noqa: ANN001
+    names = [f"t{i}" for i in range(ROUTE_TERMS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "ids"):
+                found = routes(arrays_of(part.column("ids")), state.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(found[:, i]) for i in range(ROUTE_TERMS)]], names=[*part.schema.names, *names])
+
+    return ids.mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, ids binary, " + ", ".join(f"{k} long" for k in names))
+
+
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) of every piece."""
-    vocabulary = vocabulary or vocabulary_path()
+    spark = docs.sparkSession
+    ids = materialize(_encoded(docs, vocabulary or vocabulary_path(), end_id), "pack-ids")
+    corpus = _corpus(ids)
+    state = spark.sparkContext.broadcast(corpus)  # a number for each term of the vocabulary
+    dealt = materialize(_routed(ids, state), "pack-routes")
+    order = [*[f"t{i}" for i in range(ROUTE_TERMS)], "_h"]
+    dealt = dealt.withColumn("_h", F.xxhash64("doc_id", F.crc32("ids")))
+    dealt = dealt.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
         sequence = TaskContext.get().partitionId() << 40
         docs_of: list[pa.Array] = []
         whole: list[np.ndarray] = []
@@ -134,7 +231,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
                 nonlocal sequence
                 offset = 0
                 for owner, b, e in pieces:
-                    own = whole[owner][b:e].astype("<u4")
+                    own = whole[owner][b:e]
                     rows.append((owner, b, e - b, zlib.crc32(own), len(whole[owner]), sequence, offset))
                     if with_ids:
                         ids.append(own.tobytes())
@@ -149,7 +246,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
                 if full < len(doc):
                     units.append(doc[full:])
                     owners.append((i, full))
-            for pieces in fill(units, window):
+            for pieces in fill(units, window, [whole[i] for i, _ in owners], state.value):
                 for part in in_powers(pieces, window):
                     put([(owners[u][0], owners[u][1] + b, owners[u][1] + e) for u, b, e in part])
             columns = list(zip(*rows, strict=True))
@@ -159,13 +256,13 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *[k for k, _ in _FIELDS], *["ids"] * with_ids])
 
         for batch in batches:
-            for part in slices(batch):
-                ids, begins = encode.encode(part.column("text"))
+            for part in slices(batch, "ids"):
+                found = arrays_of(part.column("ids"))
                 at = 0
                 while at < len(part):
                     take = min(len(part) - at, SHARD_DOCS - len(whole))
                     docs_of.append(part.column("doc_id").slice(at, take))
-                    whole += [np.append(ids[begins[k] : begins[k + 1]], encode.dtype.type(end_id)) for k in range(at, at + take)]
+                    whole += found[at : at + take]
                     at += take
                     if len(whole) == SHARD_DOCS:
                         yield from packed()
@@ -173,7 +270,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
             yield from packed()
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    return dealt.select("doc_id", "ids").mapInArrow(run, f"doc_id {doc_id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -181,6 +181,24 @@ def test_neighbours_share_rare_terms():
     assert index.neighbours(0, np.array([False, True, True, True])).tolist()[0] == 2
 
 
+def test_neighbours_meet_wherever_they_are_stored(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 8)
+    topics = [f"{a}{b} " * 12 for a in ("zebra", "quartz", "violin", "harbor") for b in ("ish", "ness")]
+    rows = [(i, topics[i % 8] + f"the and of number {i}") for i in range(64)]  # each topic spread over the table
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    out = packing.pack(df, window=128).toPandas()
+    groups = [set(g.doc_id % 8 // 2) for _, g in out.groupby("sequence_id") if g.doc_id.nunique() > 1]
+    assert len(groups) > 4 and sum(map(len, groups)) / len(groups) < 2
+
+
+def test_units_are_found_by_the_whole_document():
+    rng = np.random.default_rng(2)
+    body = rng.integers(100, 5000, 1024)
+    texts = [np.append(body, [7, 8]), np.append(rng.integers(6000, 9000, 1024), [7, 9]), np.append(body, [10, 11])]
+    first = next(iter(packing.fill([t[1024:] for t in texts], 4, texts)))
+    assert [u for u, _, _ in first] == [0, 2]
+
+
 # 4
 
 def check_scores(df, out):
