@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -54,44 +55,79 @@ def seed_sample(edges: DataFrame, holders: DataFrame, k: int, seed: int = 0) ->
     return ego_expand(edges, seeds), seeds
 
 
-def walk(edges: DataFrame, starts: DataFrame, steps: int, jump: float = 0.15, seed: int = 0, nodes: DataFrame | None = None) -> DataFrame:
-    """(walker, step, node, jumped) of walkers (walker, node) that step to a random neighbour, or jump to a
-    random node with probability ``jump`` and where there is no neighbour. A row per walker and step."""
+def _mover(edges: DataFrame, jump: float, seed: int, nodes: DataFrame | None) -> Callable[[DataFrame, int], DataFrame]:
     nbrs = materialize(neighbor_sets(edges, nodes), "walk-nbrs")
     places = materialize(dense_rank_by(nbrs.select("node"), hash_key(seed, "place", F.col("node")), "place"), "walk-places")
     n = places.count()
-    now = starts.select("walker", "node").withColumns({"step": F.lit(0), "jumped": F.lit(1)})
-    out = now
-    for step in range(1, steps + 1):
+
+    def move(now: DataFrame, step: int) -> DataFrame:
         drawn = now.join(nbrs, "node").withColumn("k", F.size("nbrs"))
         leave = (uniform(seed, "jump", F.col("walker"), step) < jump) | (F.col("k") == 0)
         place = (hash_int(seed, "to", F.col("walker"), step) % n).cast("int")
         pick = F.get("nbrs", (hash_int(seed, "nbr", F.col("walker"), step) % F.greatest("k", F.lit(1))).cast("int"))
         drawn = drawn.select("walker", leave.cast("int").alias("jumped"), F.when(leave, place).alias("place"), F.when(~leave, pick).alias("next"))
         moved = drawn.join(places.withColumnRenamed("node", "landed"), "place", "left")
-        now = materialize(moved.select("walker", F.coalesce("next", "landed").alias("node"), F.lit(step).alias("step"), "jumped"), "walk-step")
+        return materialize(moved.select("walker", F.coalesce("next", "landed").alias("node"), F.lit(step).alias("step"), "jumped"), "walk-step")
+
+    return move
+
+
+def walk(edges: DataFrame, starts: DataFrame, steps: int, jump: float = 0.15, seed: int = 0, nodes: DataFrame | None = None) -> DataFrame:
+    """(walker, step, node, jumped) of walkers (walker, node) that step to a random neighbour, or jump to a
+    random node with probability ``jump`` and where there is no neighbour. A row per walker and step."""
+    move = _mover(edges, jump, seed, nodes)
+    now = starts.select("walker", "node").withColumns({"step": F.lit(0), "jumped": F.lit(1)})
+    out = now
+    for step in range(1, steps + 1):
+        now = move(now, step)
         out = out.unionByName(now)
     return out
 
 
+def _first(found: DataFrame, want: int) -> DataFrame:
+    """The first ``want`` rows by f = (step, walker), which no two rows share."""
+    marked = found.withColumn("_g", F.struct(F.col("f.step").alias("step"), F.floor(F.col("f.walker") / _GROUP).alias("part")))
+    before = W.partitionBy(F.lit(0)).orderBy("_g").rowsBetween(W.unboundedPreceding, -1)  # one row for each step and 4096 walkers
+    base = marked.groupBy("_g").agg(F.count("*").alias("_n")).select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inner = F.row_number().over(W.partitionBy("_g").orderBy("f"))
+    return marked.withColumn("_own", inner).join(base, "_g").filter(F.col("_base") + F.col("_own") <= want).drop("_g", "_own", "_base")
+
+
+def _crossed(path: DataFrame) -> DataFrame:
+    last = path.select("walker", (F.col("step") + 1).alias("step"), F.col("node").alias("src"))
+    crossed = path.filter("jumped = 0").select("walker", "step", F.col("node").alias("dst")).join(last, ["walker", "step"])
+    return crossed.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.struct("step", "walker").alias("f")).groupBy("src", "dst").agg(F.min("f").alias("f"))
+
+
+#: A walk that crosses nothing new in so many rounds cannot reach its target.
+STALLED = 64
+
+
 def walk_sample(edges: DataFrame, p: float, walkers: int, steps: int, jump: float = 0.15, stop: str = "edges", seed: int = 0) -> DataFrame:
-    """The first int(p E) distinct edges (or edges among the first int(p n) nodes) that the walkers cross."""
-    nodes = node_set(edges)
-    starts = nodes.orderBy(hash_key(seed, "start", F.col("node")), "node").limit(walkers)
-    starts = starts.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy(hash_key(seed, "start", F.col("node")), "node")) - 1).alias("walker"), "node")
-    path = materialize(walk(edges, starts, steps, jump, seed, nodes), "walk-path")
-    if stop == "nodes":
-        want = math.floor(p * nodes.count() + 1e-9)
-        first = path.groupBy("node").agg(F.min(F.struct("step", "walker")).alias("f")).orderBy("f").limit(want)
-        own = path.join(first.select("node"), "node", "left_semi")
-    else:
-        own = path
-    last = own.select("walker", (F.col("step") + 1).alias("step"), F.col("node").alias("src"))
-    crossed = own.filter("jumped = 0").select("walker", "step", F.col("node").alias("dst")).join(last, ["walker", "step"])
-    ranked = crossed.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.struct("step", "walker").alias("f")).groupBy("src", "dst").agg(F.min("f").alias("f"))
-    if stop == "edges":
-        ranked = ranked.orderBy("f").limit(math.floor(p * edges.count() + 1e-9))
-    return canonical_edges(ranked)
+    """The first int(p E) distinct edges (or edges among the first int(p n) nodes) that the walkers cross.
+
+    At least ``walkers`` walkers, and as many as the target needs, go on in rounds of ``steps`` steps until it is reached."""
+    nodes = materialize(node_set(edges), "walk-nodes")
+    want = math.floor(p * (nodes if stop == "nodes" else edges).count() + 1e-9)
+    ranks = dense_rank_by(nodes, hash_key(seed, "start", F.col("node")), "walker")
+    starts = ranks.filter(F.col("walker") < max(walkers, -(-want // steps))).select("walker", "node")
+    now = materialize(starts.withColumns({"step": F.lit(0), "jumped": F.lit(1)}), "walk-step")
+    move, path, step, reached, stalled = _mover(edges, jump, seed, nodes), now, 0, -1, 0
+    while reached < want:
+        for _ in range(steps):
+            step += 1
+            now = move(now, step)
+            path = path.unionByName(now)
+        path = materialize(path, "walk-path")
+        seen = path.groupBy("node").agg(F.min(F.struct("step", "walker")).alias("f")) if stop == "nodes" else _crossed(path)
+        seen = materialize(seen, "walk-seen")
+        found = seen.count()
+        stalled = stalled + 1 if found == reached else 0
+        if stalled == STALLED:
+            raise RuntimeError(f"the walk reaches {found} of {want} {stop}")
+        reached = found
+    first = _first(seen, want)
+    return canonical_edges(_crossed(path.join(first.select("node"), "node", "left_semi")) if stop == "nodes" else first)
 
 
 def generate_sample(method: str, edges: DataFrame, p: float = 0.01, **options) -> DataFrame:  # noqa: ANN003

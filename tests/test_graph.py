@@ -111,6 +111,19 @@ def test_samples(spark, toy):
     assert sum(drawn.values()) == 400 and 1 not in drawn and 60 < drawn[2] < 140
 
 
+@pytest.mark.parametrize("n", [400, 4000])
+def test_walks_go_on_until_the_sample_is_full(spark, n, monkeypatch):
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    edges = graph.canonical_edges(ring.unionByName(spark.range(n).select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % n).alias("dst"))))
+    out = sampling.walk_sample(edges, 0.25, 4, 4)
+    assert out.count() == edges.count() // 4 and out.join(edges, ["src", "dst"], "left_anti").isEmpty()
+    few = sampling.generate_sample("iknn", edges, 0.1, walkers=4, steps=4)
+    assert 0 < graph.node_set(few).count() <= n // 10
+    monkeypatch.setattr(sampling, "STALLED", 1)
+    with pytest.raises(RuntimeError, match="reaches"):
+        sampling.walk_sample(spark.createDataFrame([(1, 2), (3, 4)], "src long, dst long"), 1, 1, 8, jump=0)
+
+
 def test_policies(spark):
     scored = spark.createDataFrame([(i, float(i % 3), int(i < 4)) for i in range(9)], "node long, value double, is_initial int")
     assert [r.node for r in policies.choose_top(scored, 3).orderBy("rank").collect()] == [2, 5, 8]
