@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netprobe.functions.hashing import hash_key, uniform
+from netprobe.functions.tables import materialize
 
 #: Group size that a regression of the median of means uses at most; a fixed value of the method.
 MOST_ROWS = 2000
@@ -149,28 +150,37 @@ def score_linreg(rows: DataFrame, samples: DataFrame, size: int) -> DataFrame:
     return rows.join(fit, "run_id").withColumn("value", dot(F.col("features"), F.col("theta"))).drop("theta")
 
 
+#: Rows and samples that one task holds against one another, and rows of one matrix.
+KNN_ROWS, KNN_SAMPLES, KNN_STEP = 8192, 2048, 16
+
+
 def score_knn(rows: DataFrame, samples: DataFrame, k: int = 5) -> DataFrame:
     """Adds ``value``: the share of label 1 among the k nearest of a run's samples (id, features, label).
 
-    The samples of a model are bounded by the probes made; they go to every task as blocks of a matrix."""
-    block = samples.orderBy("id").toPandas()
-    x = np.array(block.features.tolist(), float).reshape(len(block), -1)
-    label, ids = block.label.to_numpy(float), block.id.to_numpy()
-    state = rows.sparkSession.sparkContext.broadcast((x, label, ids))
-
-    def run(batches):  # noqa: ANN001, ANN202
-        x, label, ids = state.value
-        for batch in batches:
-            own = np.array(batch.features.tolist(), float).reshape(len(batch), -1)
-            value = np.zeros(len(batch))
-            for i in range(0, len(own), 256):
-                gap = np.round(((own[i : i + 256, None, :] - x[None]) ** 2).sum(axis=2), 9)
-                near = np.lexsort((np.broadcast_to(ids, gap.shape), gap), axis=1)[:, :k]
-                value[i : i + 256] = label[near].mean(axis=1)
-            yield batch.assign(value=value)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{fields}, value double")
+    Blocks of rows meet blocks of samples in tasks; each row's k nearest of every block are merged, ties by sample id."""
+    own = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "knn-rows")
+    known = materialize(samples.select("id", "features", F.col("label").cast("double").alias("label")), "knn-samples")
+    n_own, n_known = max(1, -(-own.count() // KNN_ROWS)), max(1, -(-known.count() // KNN_SAMPLES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.select("_row", "features", F.pmod(F.xxhash64("_row"), F.lit(n_own)).cast("int").alias("_q"), every(n_known).alias("_s"))
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_known)).cast("int")
+    right = known.withColumn("_s", spread).withColumn("_q", every(n_own))
+
+    def run(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        q, x = (np.array(d.features.tolist(), float).reshape(len(d), -1) for d in (own, block))
+        label, ids, found = block.label.to_numpy(float), block.id.to_numpy(), []
+        for i in range(0, len(q) if len(x) else 0, KNN_STEP):
+            gap = np.round(((q[i : i + KNN_STEP, None, :] - x[None]) ** 2).sum(axis=2), 9)
+            near = np.lexsort((np.broadcast_to(ids, gap.shape), gap), axis=1)[:, :k]
+            row = np.repeat(own._row.to_numpy()[i : i + KNN_STEP], near.shape[1])
+            found.append(pd.DataFrame({"_row": row, "gap": np.take_along_axis(gap, near, axis=1).ravel(), "id": ids[near].ravel(), "label": label[near].ravel()}))
+        return pd.concat(found) if found else pd.DataFrame({"_row": [], "gap": [], "id": [], "label": []})
+
+    fields = f"_row long, gap double, id {samples.schema['id'].dataType.simpleString()}, label double"
+    near = left.groupBy("_q", "_s").cogroup(right.groupBy("_q", "_s")).applyInPandas(run, fields)
+    best = near.groupBy("_row").agg(F.slice(F.sort_array(F.collect_list(F.struct("gap", "id", "label"))), 1, k).alias("_best"))
+    total = F.aggregate("_best", F.lit(0.0), lambda acc, b: acc + b["label"])
+    return own.join(best, "_row", "left").withColumn("value", total / F.size("_best")).select(*rows.columns, "value")
 
 
 def _ml_frame(df: DataFrame, label: str | None) -> DataFrame:

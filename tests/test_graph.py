@@ -159,6 +159,20 @@ def test_learning_against_numpy(spark):
         assert got[i] == pytest.approx((y[order] > 0).mean())
 
 
+def test_nearest_samples_stay_out_of_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(3).integers(0, 4, (50, 2)).astype(float)  # many ties
+    rows_ = spark.createDataFrame([(i, x[i].tolist(), i % 3 % 2) for i in range(50)], "id long, features array<double>, label int")
+    monkeypatch.setattr(type(rows_), "toPandas", lambda _: pytest.fail("the driver collects the samples"))
+    for name in ("KNN_ROWS", "KNN_SAMPLES"):
+        monkeypatch.setattr(learning, name, 7, raising=False)
+    got = {r.id: r.value for r in learning.score_knn(rows_.select("id", "features"), rows_, 5).collect()}
+    for i in range(50):
+        order = np.argsort(((x - x[i]) ** 2).sum(axis=1), kind="stable")[:5]
+        assert got[i] == pytest.approx((order % 3 % 2).mean())
+
+
 def test_communities_find_two_cliques(spark):
     edges = [(a, b) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10)]
     df = spark.createDataFrame(edges, "src long, dst long")
