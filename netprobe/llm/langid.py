@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from netprobe.llm.common import U64, materialize, mix64
 
@@ -205,8 +206,8 @@ def score_text(text: str, model: Model) -> np.ndarray:
     return value @ model.weights[found] + model.bias
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) from the texts alone."""
+def predict(docs: DataFrame, model: Model | None, carried: str = "doc_id") -> DataFrame:
+    """(doc_id, lang_pred, score) from the texts alone; or with another column carried in place of doc_id."""
     state = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +223,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best = int(p.argmax())
                 langs.append(m.langs[best])
                 scores.append(float(p[best]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(carried), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[carried, "lang_pred", "score"])
 
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, lang_pred string, score double")
+    rows = docs.select(carried, "text")
+    schema = StructType([rows.schema[carried], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -239,6 +241,6 @@ def query(docs: DataFrame) -> DataFrame:
 
 def filter_language(docs: DataFrame) -> DataFrame:
     """The documents whose language is recognised, by a model of their own labels."""
-    tagged = predict(docs, train(docs)).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < MIN_SCORE))
-    gone = tagged.select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_all"), "text")
+    tagged = predict(rows, train(docs), "_all").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return tagged.select("_all.*")

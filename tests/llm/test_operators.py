@@ -104,6 +104,14 @@ def test_languages(docs, odd, empty, spark):
     assert kept.columns == odd.columns and kept.filter("doc_id = 8").count() == 2 and kept.filter("doc_id = 1").isEmpty()
 
 
+def test_languages_are_filtered_by_row(docs):
+    own = docs.withColumn("doc_id", F.lit(1).cast(docs.schema["doc_id"].dataType)).limit(200)
+    bad = own.limit(2).withColumn("text", F.lit("123 456"))
+    nameless = bad.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    kept = langid.filter_language(own.unionByName(bad).unionByName(nameless)).toPandas()
+    assert len(kept) > 150 and not (kept.text == "123 456").any() and kept.doc_id.notna().all()
+
+
 def test_temperature_is_that_of_least_loss():
     rng = np.random.default_rng(0)
     logits = rng.normal(size=(4000, 3)) * 2
