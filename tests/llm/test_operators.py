@@ -9,6 +9,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from netprobe.llm import langid, licenses, lmscore, media, mixing, neardup, packing, quality, tokenfiles, tokens, urlfilter
 from netprobe.llm import common
@@ -122,8 +124,13 @@ def test_temperature_is_that_of_least_loss():
 
 # 3 and 9
 
+@cache
+def untouched():
+    return Tokenizer.from_file(tokens.vocabulary_path())
+
+
 def reference_ids(text):
-    return tokens.encoder(tokens.vocabulary_path()).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return untouched().encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
@@ -183,10 +190,93 @@ def test_packing(which, request):
     assert packing.pack(df.filter("false")).count() == 0
 
 
-def test_neighbours_share_rare_terms():
-    units = [np.array([1, 2, 3, 50]), np.array([7, 8, 9]), np.array([50, 3, 4]), np.array([1, 8])]
-    index = packing.Index(units)
-    assert index.neighbours(0, np.array([False, True, True, True])).tolist()[0] == 2
+def test_strings_of_special_tokens_are_their_ids():
+    some = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  <|endoftext|>\n z"]
+    ids, begins = tokens.encoder(tokens.vocabulary_path()).encode(pa.array(some))
+    assert ids[begins[0] : begins[1]].tolist() == [64, 220, 50256, 275]
+    assert [ids[b:e].tolist() for b, e in zip(begins[:-1], begins[1:], strict=True)] == [reference_ids(t) for t in some]
+
+
+def test_table_of_parts_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_IDS", 500)
+    own = tokens.Encoder(tokens.vocabulary_path())
+    for k in range(6):
+        some = ["q" * 3000 + f" {k}", " ".join(f"w{k}x{i}" for i in range(400))]
+        ids, begins = own.encode(pa.array(some))
+        assert [ids[b:e].tolist() for b, e in zip(begins[:-1], begins[1:], strict=True)] == [reference_ids(t) for t in some]
+        assert own.n_ids < 6000 and all(len(p) <= tokens.LONGEST_PART for p in own.plain)
+
+
+def plain_bm25(units, seed, n, mean, df):
+    """By the formula, a term of the seed at a time."""
+    out = []
+    for unit in units:
+        tf = Counter(unit.tolist())
+        idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in set(units[seed].tolist())}
+        norm = packing.K1 * (1 - packing.B + packing.B * len(unit) / mean)
+        out.append(sum(idf[t] * tf[t] * (packing.K1 + 1) / (tf[t] + norm) for t in idf))
+    return out
+
+
+def random_units(rng, n=60):
+    return [np.minimum(rng.zipf(1.3, rng.integers(1, 200)), 5000).astype(np.uint16) for _ in range(n)]
+
+
+def laid_out(units):
+    return np.concatenate(units), np.concatenate([[0], np.cumsum([len(u) for u in units])])
+
+
+def test_scores_are_bm25_over_all_terms():
+    units = random_units(np.random.default_rng(1))
+    df = Counter(t for u in units for t in set(u.tolist()))
+    index = packing.Index(*laid_out(units))
+    for seed in range(len(units)):
+        assert index.scores(seed) == pytest.approx(plain_bm25(units, seed, len(units), np.mean([len(u) for u in units]), df), abs=1e-8)
+
+
+def test_windows_take_the_best_unused_units():
+    """Against a greedy fill written plainly."""
+    units = random_units(np.random.default_rng(2))
+    index = packing.Index(*laid_out(units))
+    left, got, seed = {i: len(u) for i, u in enumerate(units)}, [], 0
+    while left:
+        space, window = 256, []
+        scores = index.scores(seed)
+        queue = [seed, *sorted((i for i in left if i != seed), key=lambda i: (-scores[i], i))]
+        for i in queue:
+            take = min(space, left[i])
+            begin = len(units[i]) - left[i]
+            window.append((i, begin, begin + take))
+            space -= take
+            left[i] -= take
+            if not left[i]:
+                del left[i]
+            if not space:
+                break
+        got.append(window)
+        seed = window[-1][0] if window[-1][0] in left else min(left, default=None)
+    assert got == list(packing.fill(np.array([len(u) for u in units]), index, 256))
+
+
+def test_documents_are_routed_by_their_most_telling_terms():
+    units = random_units(np.random.default_rng(3), 40)
+    n, mean = len(units), np.mean([len(u) for u in units])
+    df = np.bincount([t for u in units for t in set(u.tolist())], minlength=5001)
+    found = packing.routes(*laid_out(units), packing.Corpus(n, mean, df))
+    for i, u in enumerate(units):
+        tf = Counter(u.tolist())
+        weight = {t: packing.Corpus(n, mean, df).weight(np.array([t]), np.array([c]), np.array([len(u)]))[0] for t, c in tf.items() if df[t] > 1}
+        want = sorted(weight, key=lambda t: (-weight[t], t))[: packing.ROUTE_TERMS]
+        assert [t for t in found[i].tolist() if t >= 0] == want
+
+
+def test_few_sequences_are_short(docs, spark):
+    """However many partitions there are, a task's last window alone is cut."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    lengths = packing.pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas().n
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (lengths < 1024).sum() <= 10 and len(lengths) > 100
 
 
 def test_neighbours_meet_wherever_they_are_stored(spark, monkeypatch):
