@@ -2,25 +2,31 @@
 
 Counting: tasks sum the one- and two-word sequences of their training texts, and buckets of the key
 space merge these sums. A bucket writes its segment of the filter: a sequence of quantised count q =
-1 + floor(log2 count) is entered at levels 1 to q. A segment has ``ROOM`` times ``ENTRY_BITS`` bits for each of
-its counted entries, so nothing is left out. Segments are files in the shared folder, which workers map into
-memory: only their names and sizes go with the tasks.
+1 + floor(STEPS * log2 count) is entered at levels 1 to q. A segment has ``ROOM`` times ``ENTRY_BITS`` bits for each of
+its counted entries, so nothing is left out. Segments are files in the shared folder, named by kind and bucket,
+which workers map into memory: only the folder's name goes with the tasks.
 
-Scoring: a worker probes rising levels until one is missing, which gives the count back within a
-factor of two, and smooths the pair's estimate with that of the word alone.
+Scoring: a worker probes rising levels until one is missing, which gives the least and the most that the
+count can be: a factor of 1.19 apart for words, 2 for pairs. With c- and c+ for these,
+
+    P(w) = (c-(w) + 1) / (N + V + 1)        P(w | v) = (c-(v w) + PRIOR P(w)) / (c+(v) + PRIOR)
+
+so that the probabilities of all words after v sum to 1 at most, but for sequences that the filter holds by
+mistake; each is 1 at most in any case.
 
 The exact base needs exact counts. Words above a count that at most ``HOT`` words reach go to every
 worker; the occurrences of all rarer ones are joined with their counts.
 
 Defined results: null or empty texts are the end alone; without training texts N is 0 and every word
-unknown; repeated rows are scored each for itself; an empty table gives an empty table; other columns
-are ignored.
+unknown; rows without a doc_id count as the empty id, so they train; repeated rows are scored each for
+itself; very long texts are counted in runs; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -42,12 +48,14 @@ HOT = 1 << 18
 PRIOR = 2.0
 FLUSH_TOKENS, BUCKET_BYTES = 2_000_000, 8_000_000
 END = stream64(1, 31)[0]
-_LEVELS = stream64(64, 32)
+_LEVELS = stream64(256, 32)
 WORD, PAIR = 1, 2
+#: Levels for each doubling of a count.
+STEPS = {WORD: 4, PAIR: 1}
 
 
 def training(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) != 2
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +78,18 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
 
-def quantised(counts: np.ndarray) -> np.ndarray:
-    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+def quantised(counts: np.ndarray, kind: int) -> np.ndarray:
+    return 1 + np.floor(STEPS[kind] * np.log2(counts) + 1e-9).astype(np.int64)
+
+
+def least_count(levels: np.ndarray, kind: int) -> np.ndarray:
+    """The least count of a level; 0 at level 0."""
+    return np.where(levels > 0, np.ceil(2.0 ** ((levels - 1) / STEPS[kind]) - 1e-6), 0.0)
 
 
-def restored(levels: np.ndarray) -> np.ndarray:
-    """The middle of the counts that share a level."""
-    return np.where(levels > 0, (3.0 * 2.0 ** (levels - 1) - 1) / 2, 0.0)
+def most_count(levels: np.ndarray, kind: int) -> np.ndarray:
+    """The most that a level's count can be; 0 at level 0."""
+    return np.where(levels > 0, least_count(levels + 1, kind) - 1, 0.0)
 
 
 def positions(keys: np.ndarray, level: int, bits: int | np.ndarray) -> Iterator[np.ndarray]:
@@ -87,70 +100,65 @@ def positions(keys: np.ndarray, level: int, bits: int | np.ndarray) -> Iterator[
             yield ((h >> U64(32)) * U64(bits) >> U64(32)).astype(np.int64)
 
 
-def segment_bits(counts: np.ndarray) -> int:
-    """Room for every entry of sequences with these counts."""
-    return max(64, -(-int(quantised(counts).sum()) * ROOM * ENTRY_BITS // 8) * 8)
-
-
-def make_segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[bytes, int]:
-    """The filter's segment, and the least count that it holds."""
-    levels = quantised(counts)
-    entries = np.bincount(levels, levels)[::-1].cumsum()[::-1]  # entries of sequences at each level or above
-    fitting = np.flatnonzero(entries * ENTRY_BITS <= bits)
-    least = int(fitting[0]) if len(fitting) else len(entries)
+def make_segment(keys: np.ndarray, counts: np.ndarray, kind: int) -> bytes:
+    """The filter's segment, with room for every entry of these sequences."""
+    levels = quantised(counts, kind)
+    bits = max(64, -(-int(levels.sum()) * ROOM * ENTRY_BITS // 8) * 8)
     own = np.zeros(bits, bool)
-    keep = levels >= least
-    keys, levels = keys[keep], levels[keep]
     for level in range(1, int(levels.max(initial=0)) + 1):
         for at in positions(keys[levels >= level], level, bits):
             own[at] = True
-    return np.packbits(own, bitorder="little").tobytes(), 1 << max(0, least - 1)
+    return np.packbits(own, bitorder="little").tobytes()
 
 
 @lru_cache(maxsize=1 << 14)
 def _open(path: str) -> np.ndarray:
-    """A segment's bytes, mapped into memory; from a store without local paths, loaded."""
-    if "://" not in path or path.startswith("file:"):
-        return np.memmap(_local(path), np.uint8, "r")
-    files, base = pafs.FileSystem.from_uri(path)
-    with files.open_input_file(base) as file:
-        return np.frombuffer(file.read(), np.uint8)
+    """A segment's bytes, mapped into memory; from a store without local paths, loaded. Without a file, there is no sequence."""
+    with contextlib.suppress(FileNotFoundError):
+        if "://" not in path or path.startswith("file:"):
+            return np.memmap(_local(path), np.uint8, "r")
+        files, base = pafs.FileSystem.from_uri(path)
+        with files.open_input_file(base) as file:
+            return np.frombuffer(file.read(), np.uint8)
+    return np.zeros(0, np.uint8)
 
 
 @dataclass
 class Model:
     buckets: int
-    #: By kind: the bytes of all segments of one size, or each bucket's file and its bytes ("" and 0 where it has no sequence).
-    filters: dict[int, np.ndarray | tuple[list[str], np.ndarray]]
+    folder: str
     hot_keys: np.ndarray
     hot_counts: np.ndarray
     tokens: int  # N
     types: int  # V
+    #: Segments held in memory instead of the folder, by kind and bucket.
+    held: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
+
+    def _segment(self, kind: int, bucket: int) -> np.ndarray:
+        return self.held[kind, bucket] if self.held else _open(f"{self.folder}/{kind}-{bucket}")
 
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Quantised counts by repeated probes of rising levels."""
-        own = self.filters[kind]
-        if isinstance(own, tuple):
-            names, sizes = own
-            segment = lambda bucket: _open(names[bucket])
-        else:
-            sizes = np.full(self.buckets, len(own) // self.buckets)
-            segment = np.split(own, self.buckets).__getitem__
         order = np.argsort(keys, kind="stable")  # buckets rise with the key
         keys, out = keys[order], np.zeros(len(keys), np.int64)
         owner = bucket_of(keys, self.buckets)
-        left = np.flatnonzero(sizes[owner] > 0)
-        for level in range(1, 64):
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        data = [self._segment(kind, k) for k in owner[first].tolist()]
+        counts = np.diff(np.append(first, len(keys)))
+        bits = np.repeat(np.array([8 * len(d) for d in data], np.int64), counts)
+        place = np.repeat(np.arange(len(first)), counts)
+        left = np.flatnonzero(bits > 0)
+        for level in range(1, len(_LEVELS)):
             if not len(left):
                 break
-            bucket = owner[left]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            spans = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], [segment(k) for k in bucket[first].tolist()], strict=True))
+            own = place[left]
+            begins = np.flatnonzero(np.diff(own, prepend=-1))
+            spans = list(zip(begins.tolist(), np.append(begins[1:], len(own)).tolist(), [data[k] for k in own[begins].tolist()], strict=True))
             hit = np.ones(len(left), bool)
-            for at in positions(keys[left], level, sizes[bucket] * 8):
+            for at in positions(keys[left], level, bits[left]):
                 byte, found = at >> 3, np.empty(len(at), np.uint8)
-                for b, e, data in spans:
-                    found[b:e] = data[byte[b:e]]
+                for b, e, d in spans:
+                    found[b:e] = d[byte[b:e]]
                 hit &= (found >> (at & 7).astype(np.uint8) & 1).astype(bool)
             left = left[hit]
             out[left] = level
@@ -160,14 +168,13 @@ class Model:
 
     def log10(self, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """log10 probability of every token, given the one before it."""
-        words, place = np.unique(keys, return_inverse=True)
-        alone = restored(self.levels(words, WORD))
+        words, place = np.unique(np.append(keys, END), return_inverse=True)
+        levels = self.levels(words, WORD)
         both, pair_place = np.unique(pairs, return_inverse=True)
-        joint = restored(self.levels(both, PAIR))[pair_place]
-        end = restored(self.levels(np.array([END], U64), WORD))
-        own = alone[place]
-        before = np.concatenate([end, own[:-1]])[: len(own)]
-        single = (own + 1) / (self.tokens + self.types + 1)
+        joint = least_count(self.levels(both, PAIR), PAIR)[pair_place]
+        most = most_count(levels, WORD)[place]
+        before = np.concatenate([most[-1:], most[:-2]])[: len(keys)]  # before a text stands the end
+        single = (np.minimum(least_count(levels, WORD)[place[:-1]], self.tokens) + 1) / (self.tokens + self.types + 1)
         return np.log10((np.minimum(joint, before) + PRIOR * single) / (before + PRIOR))
 
 
@@ -206,7 +213,7 @@ def _partial_sums(train: DataFrame, buckets: int) -> DataFrame:
     return train.select("text").mapInArrow(run, _SUMS)
 
 
-_MERGED = "kind int, bucket int, segment string, size long, types long, tokens long, above array<long>, keys binary, counts binary"
+_MERGED = "kind int, bucket int, segment binary, types long, tokens long, above array<long>, keys binary, counts binary"
 
 
 def _merge(buckets: int):  # noqa: ANN202
@@ -218,27 +225,34 @@ def _merge(buckets: int):  # noqa: ANN202
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, counts = keys[first], np.add.reduceat(counts, first)
-        segment, _ = make_segment(keys, counts, segment_bits(counts))
+        segment = make_segment(keys, counts, kind)
         above = [int((counts >= 1 << k).sum()) for k in range(48)]
         own = kind == WORD
-        return pd.DataFrame({"kind": [kind], "bucket": [bucket], "segment": [segment], "size": [len(segment)], "types": [len(keys)], "tokens": [int(counts.sum())], "above": [above], "keys": [keys.tobytes() if own else None], "counts": [counts.tobytes() if own else None]})
+        return pd.DataFrame({"kind": [kind], "bucket": [bucket], "segment": [segment], "types": [len(keys)], "tokens": [int(counts.sum())], "above": [above], "keys": [keys.tobytes() if own else None], "counts": [counts.tobytes() if own else None]})
 
     return run
 
 
 def _stored(buckets: int, folder: str):  # noqa: ANN202
-    """As ``_merge``, with each segment in a file of its own and its name in the row."""
+    """As ``_merge``, with each segment in a file of the folder and not in the row."""
     merge = _merge(buckets)
 
     def run(found: pd.DataFrame) -> pd.DataFrame:
         out = merge(found)
         files, base = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + _local(folder))
         files.create_dir(base)
-        # a task that runs again writes under its own name; only the file it reports is read
-        name = f"{out['kind'].iloc[0]}-{out['bucket'].iloc[0]}-{np.random.SeedSequence().entropy:x}"
-        with files.open_output_stream(f"{base}/{name}") as file:
+        # a task that runs again makes the same bytes under a name of its own, so either file may take the place
+        name = f"{base}/{out['kind'].iloc[0]}-{out['bucket'].iloc[0]}"
+        own = f"{name}.{np.random.SeedSequence().entropy:x}"
+        with files.open_output_stream(own) as file:
             file.write(out.segment.iloc[0])
-        return out.assign(segment=[f"{folder}/{name}"])
+        try:
+            files.move(own, name)
+        except OSError:
+            if files.get_file_info(name).type == pafs.FileType.NotFound:
+                raise
+            files.delete_file(own)
+        return out.assign(segment=None)
 
     return run
 
@@ -262,20 +276,15 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     size = train.agg(F.coalesce(F.sum(F.octet_length(text_or_empty())), F.lit(0)).alias("n")).first()["n"]
     buckets = max(32, int(size) // BUCKET_BYTES)
     sums = _partial_sums(train, buckets).groupBy("kind", "bucket")
-    merged = materialize(sums.applyInPandas(_stored(buckets, new_path(spark, "lm-filter")), _MERGED), "lm-buckets")
-    filters = {}
-    for kind in (WORD, PAIR):
-        names, sizes = [""] * buckets, np.zeros(buckets, np.int64)
-        for row in merged.filter(F.col("kind") == kind).select("bucket", "segment", "size").collect():  # one row for each bucket
-            names[row["bucket"]], sizes[row["bucket"]] = row["segment"], row["size"]
-        filters[kind] = (names, sizes)
+    folder = new_path(spark, "lm-filter")
+    merged = materialize(sums.applyInPandas(_stored(buckets, folder), _MERGED), "lm-buckets")
     words = merged.filter(F.col("kind") == WORD)
     total = words.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), *[F.sum(F.get("above", F.lit(k))).alias(f"a{k}") for k in range(48)]).first()
     level = next((k for k in range(48) if (total[f"a{k}"] or 0) <= HOT), 48)
     hot = _word_counts(merged, 1 << level, None).toPandas().sort_values("word")  # at most HOT rows
     keys = hot.word.to_numpy().astype(np.int64).view(U64)
     order = np.argsort(keys)
-    model = Model(buckets, filters, keys[order], hot.c.to_numpy()[order], total["tokens"] or 0, total["types"] or 0)
+    model = Model(buckets, folder, keys[order], hot.c.to_numpy()[order], total["tokens"] or 0, total["types"] or 0)
     return model, _word_counts(merged, 1, 1 << level)
 
 
