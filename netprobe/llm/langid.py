@@ -6,9 +6,11 @@ side from the same state, and their states are averaged after each round. A temp
 part of the sample that was not trained on, calibrates the probabilities.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; without any labelled
-training text everything is ``und``; equal texts get equal results; repeated rows are predicted each
-for itself; empty tables give empty tables; other columns are never read by ``predict``, and kept by
-``filter_language``.
+training text everything is ``und``; equal texts get equal results, and of languages that are equally
+likely the first by name; repeated rows are predicted each for itself, and any number of copies of a text
+counts once in the sample; very long texts are read whole, in runs; rows without a doc_id count as the
+empty id, so they are not held out; empty tables give empty tables; other columns are never read by
+``predict``, and kept by ``filter_language``. Beyond ``MAX_LANGS`` labels, those with fewest texts are not learned.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from netprobe.llm.common import U64, materialize, mix64
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: At most about this many labelled documents are trained on, in so many shards and rounds.
+#: At most about this many distinct labelled texts are trained on, as many of each language (or all it has),
+#: in so many shards and rounds.
 MAX_TRAIN, SHARDS, ROUNDS = 6000, 4, 3
+MAX_LANGS = 256
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
 #: Of 10 parts of the sample, this one only calibrates.
 CALIBRATION_PARTS = 10
@@ -141,18 +145,26 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(rows.df[rows.bucket < 0].sum())
 
 
+def training_sample(labelled: DataFrame) -> tuple[list[str], DataFrame]:
+    """The languages to learn, by name, and the texts (text, lang) to learn from.
+
+    Rates follow the distinct texts of each language, so neither copies nor a large language starve another."""
+    hashed = F.approx_count_distinct(F.xxhash64("text"))
+    counted = labelled.groupBy("lang").agg(hashed.alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    most = {r["lang"]: int(min(1.0, MAX_TRAIN / len(counted) / max(r["n"], 1)) * (1 << 30)) for r in counted}
+    table = F.create_map(*[F.lit(x) for pair in most.items() for x in pair]) if most else F.create_map().cast("map<string,int>")
+    rank = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    return sorted(most), labelled.filter(rank < F.try_element_at(table, F.col("lang"))).select("text", "lang").distinct()
+
+
 def train(labelled: DataFrame) -> Model | None:
-    """Fit on (text, lang) rows, null langs ignored."""
-    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    counted = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row for each language
-    langs, total = [r["lang"] for r in counted], sum(r["n"] for r in counted)
+    """Fit on (text, lang) rows; null langs, and texts without a letter, ignored."""
+    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    langs, sample = training_sample(labelled)
     df, n_docs = document_frequencies(labelled)
     if not langs or not n_docs:
         return None
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    rank = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    # equal texts hash alike: without distinct() a text copied a million times would come a million times
-    sample = labelled.filter(rank < int(min(1.0, MAX_TRAIN / total) * (1 << 30))).distinct()
     sample = sample.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(CALIBRATION_PARTS)))
     sample = materialize(sample.repartition(SHARDS, F.xxhash64(F.lit(5), "text")), "lang-sample")
     index = {lang: i for i, lang in enumerate(langs)}
@@ -231,7 +243,7 @@ def predict(docs: DataFrame, model: Model | None, carried: str = "doc_id") -> Da
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
 def query(docs: DataFrame) -> DataFrame:
