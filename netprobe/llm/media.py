@@ -1,14 +1,17 @@
 """Media columns: Netpbm and BMP bytes to numpy arrays, area-resized, as NPY tiles with difference hashes.
 
-Defined results: bytes that are null, empty, cut short or of another format decode to null (an image
-without pixels counts as such); null text is stored as empty text, one row of zeros; equal bytes give
-equal tiles and hashes; empty tables give empty tables; other columns are kept by ``add_tiles``.
+Defined results: bytes that are null, empty, cut short, of another format or not well formed (letters for
+numbers, a sample above the highest, sizes beyond the data) decode to null, as does an image without pixels;
+null text is stored as empty text, one row of zeros; equal bytes give equal tiles and hashes; very large
+images are summed in bands, so beside the image itself a few rows are held; empty tables give empty tables; ``add_tiles``
+keeps other columns and replaces those named like its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,8 +24,11 @@ from pyspark.sql import functions as F
 from netprobe.llm.common import materialize
 
 WIDTH, TILE = 64, 32
-_HEAD = re.compile(rb"P([1-6])" + rb"(?:\s|#[^\n]*\n)+(\d+)" * 2)
-_MORE = re.compile(rb"(?:\s|#[^\n]*\n)+(\d+)")
+_GAP = rb"(?:\s|#[^\n]*\n)+(\d{1,9})"
+_HEAD = re.compile(rb"P([1-6])" + _GAP * 2)
+_MORE = re.compile(_GAP)
+#: Pixels of which an integral image is made at once.
+BAND = 1 << 20
 
 
 def decode_netpbm(data: bytes) -> np.ndarray | None:
@@ -38,15 +44,20 @@ def decode_netpbm(data: bytes) -> np.ndarray | None:
             return None
         at, top = more.end(), int(more[1])
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
-    n = int(np.prod(shape))
-    if not n or not 1 <= top <= 65535:
+    n = math.prod(shape)
+    # no format stores more than 8 samples in a byte
+    if not n or not 1 <= top <= 65535 or n > 8 * len(data):
         return None
     if kind in (1, 2, 3):
         body = re.sub(rb"#[^\n]*", b"", data[at:])
+        if re.search(rb"[^01\s]" if kind == 1 else rb"[^0-9\s]|[0-9]{6}", body):
+            return None
         words = re.findall(rb"[01]", body) if kind == 1 else body.split()
         if len(words) < n:
             return None
         out = np.array(words[:n], dtype=np.int64).reshape(shape)
+        if out.max() > top:
+            return None
         return (1 - out).astype(np.uint8) * 255 if kind == 1 else out.astype(np.uint8 if top < 256 else np.uint16)
     at += 1  # a single white space ends the header
     if kind == 4:
@@ -68,7 +79,7 @@ def decode_bmp(data: bytes) -> np.ndarray | None:
     number = lambda at, size, signed=False: int.from_bytes(data[at : at + size], "little", signed=signed)
     begin, header, width, height, bits, packed = number(10, 4), number(14, 4), number(18, 4, True), number(22, 4, True), number(28, 2), number(30, 4)
     rows = abs(height)
-    if bits not in (8, 24, 32) or packed or width <= 0 or not rows:
+    if header < 40 or bits not in (8, 24, 32) or packed or width <= 0 or not rows:
         return None
     stride = (width * bits // 8 + 3) // 4 * 4
     if len(data) - begin < stride * rows:
@@ -76,8 +87,8 @@ def decode_bmp(data: bytes) -> np.ndarray | None:
     grid = np.frombuffer(data, np.uint8, stride * rows, begin).reshape(rows, stride)
     grid = grid if height < 0 else grid[::-1]
     if bits == 8:
-        colours = (number(46, 4) or 256) * 4
-        table = np.frombuffer(data[14 + header : 14 + header + colours], np.uint8).reshape(-1, 4)
+        raw = data[14 + header : 14 + header + (number(46, 4) or 256) * 4]
+        table = np.frombuffer(raw[: len(raw) // 4 * 4], np.uint8).reshape(-1, 4)
         index = grid[:, :width]
         return table[index][..., 2::-1] if len(table) > index.max() else None
     return grid[:, : width * bits // 8].reshape(rows, width, bits // 8)[..., 2::-1].copy()
@@ -103,14 +114,24 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over each target pixel's exact area: differences of the integral image at fractional edges."""
     if image.ndim == 3:
         return np.stack([area_resize(image[..., c], height, width) for c in range(image.shape[2])], axis=-1)
-    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
-    low, high, part = _weights(image.shape[0], height)
-    rows = total[low] + (total[high] - total[low]) * part[:, None]
-    low, high, part = _weights(image.shape[1], width)
-    at = rows[:, low] + (rows[:, high] - rows[:, low]) * part
+    (n, wide), tall = image.shape, height
+    low, high, part = _weights(n, tall)
+    # rows of the image summed downwards, kept only where the target's edges lie
+    sums, acc = {0: np.zeros(wide)}, np.zeros(wide)
+    wanted = np.union1d(low, high)
+    step = max(1, BAND // wide)
+    for begin in range(0, n, step):
+        down = np.cumsum(image[begin : begin + step], axis=0, dtype=np.float64) + acc
+        acc = down[-1]
+        for row in wanted[(wanted > begin) & (wanted <= begin + len(down))].tolist():
+            sums[row] = down[row - begin - 1].copy()
+    rows = np.stack([sums[a] + (sums[b] - sums[a]) * p for a, b, p in zip(low.tolist(), high.tolist(), part.tolist(), strict=True)])
+    total = np.zeros((tall + 1, wide + 1))
+    np.cumsum(rows, axis=1, out=total[:, 1:])
+    low, high, part = _weights(wide, width)
+    at = total[:, low] + (total[:, high] - total[:, low]) * part
     boxes = at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]
-    return boxes * (height * width / (image.shape[0] * image.shape[1]))
+    return boxes * (height * width / (n * wide))
 
 
 def grey(image: np.ndarray) -> np.ndarray:
@@ -129,19 +150,39 @@ def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
     return out.getvalue()
 
 
-def add_tiles(media: DataFrame, column: str = "media", side: int = TILE) -> DataFrame:
-    """Adds height, width, tile (NPY bytes) and dhash to rows with a binary column."""
+_TILE = [("height", pa.int32()), ("width", pa.int32()), ("tile", pa.binary()), ("dhash", pa.string())]
+_DIGEST = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("tile_sha256", pa.string())]
+_SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+
+
+def add_tiles(media: DataFrame, column: str = "media", side: int = TILE, digests: bool = False) -> DataFrame:
+    """Adds height, width, tile (NPY bytes) and dhash to rows with a binary column; columns of these names are replaced.
+
+    ``digests`` adds sums of the samples, of the stored bytes and of the tile, and leaves the bytes themselves out."""
+
+    def row(data: bytes | None) -> tuple:
+        image = decode(data)
+        if image is None:
+            return (None,) * (4 + 6 * digests)
+        tile = npy_tile(image, side)
+        out = (*image.shape[:2], None if digests else tile, difference_hash(image))
+        if digests:
+            payload = image.tobytes()
+            out += (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), hashlib.sha256(tile).hexdigest())
+        return out
+
+    added = _TILE + _DIGEST * digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [decode(x) for x in batch.column(column).to_pylist()]
-            get = lambda f: [None if x is None else f(x) for x in found]  # noqa: E731, B023
-            new = [pa.array(get(lambda x: x.shape[0]), pa.int32()), pa.array(get(lambda x: x.shape[1]), pa.int32()), pa.array(get(lambda x: npy_tile(x, side)), pa.binary()), pa.array(get(difference_hash), pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "height", "width", "tile", "dhash"])
+            rows = [row(x) for x in batch.column(column).to_pylist()]
+            kept = [(k, c) for k, c in zip(batch.schema.names, batch.columns, strict=True) if not (digests and k == column)]
+            new = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(added)]
+            yield pa.RecordBatch.from_arrays([*[c for _, c in kept], *new], names=[*[k for k, _ in kept], *[k for k, _ in added]])
 
-    own = media.drop("height", "width", "tile", "dhash")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return own.mapInArrow(run, f"{fields}, height int, width int, tile binary, dhash string")
+    own = media.drop(*[k for k, _ in added])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if not (digests and f.name == column)]
+    return own.mapInArrow(run, ", ".join([*fields, *[f"{k} {_SQL[t]}" for k, t in added]]))
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -162,18 +203,5 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    stored = store_texts(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = []
-            for data, tile in zip(batch.column("media").to_pylist(), batch.column("tile").to_pylist(), strict=True):
-                payload = decode(data).tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), hashlib.sha256(tile).hexdigest()))
-            new = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *new[:5], batch.column("dhash"), new[5]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"])
-
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return add_tiles(stored).mapInArrow(run, f"doc_id {doc_id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+    found = add_tiles(store_texts(docs), digests=True)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), "tile_sha256")
