@@ -6,8 +6,10 @@ arrays into memory, so that an index may exceed a worker's heap. A probe that hi
 the stored string, so colliding digests never decide.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule; a url
-that no rule fits gets the default verdict; duplicate rules count once, block before allow; an index
-without rules fits nothing; repeated rows are judged each for itself; other columns are ignored.
+that no rule fits gets the default verdict; of duplicate rules that differ block counts, and so does any
+verdict but ``allow``, null too; a rule without ``/`` fits nothing, a null rule is left out; an index without rules fits nothing;
+of rules of equal length on one url only one can fit, so there are no ties; very long urls are tried in full;
+repeated rows are judged each for itself; other columns are kept, but for those named like the new ones.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from netprobe.llm.common import materialize, new_path
 
 DEFAULT_VERDICT = "allow"
+RULES_PER_PART = 1 << 20
 #: Rules of the query: host and path prefix, verdict.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -42,35 +45,44 @@ def _local(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
 
 
-def build_index(rules: DataFrame, path: str, parts: int = 1) -> DataFrame:
-    """Write the index of (rule, verdict) under ``path``; returns its parts (a small table: path, n, longest path lengths)."""
-    clean = rules.filter("rule IS NOT NULL").groupBy("rule").agg(F.max("verdict").alias("verdict"))
+def digest(text: str) -> int:
+    """The unsigned value of Spark's xxhash64 of a string, so that rules are dealt by what is stored."""
+    return xxhash.xxh64_intdigest(text, seed=42)
+
+
+def build_index(rules: DataFrame, path: str, parts: int | None = None) -> DataFrame:
+    """Write the index of (rule, verdict) under ``path``; returns its parts (a small table: part, first and last
+    digest, lengths of the rules' paths). ``parts``: by default one for each RULES_PER_PART rules."""
+    clean = rules.filter("rule IS NOT NULL").groupBy("rule").agg(F.max(F.when(F.col("verdict") == "allow", "allow").otherwise("block")).alias("verdict"))
+    clean = materialize(clean.withColumn("order", F.xxhash64("rule").bitwiseXOR(F.lit(-(1 << 63)))), "url-rules")  # signed, in the digests' unsigned order
+    parts = parts or -(-clean.count() // RULES_PER_PART) or 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(xxhash.xxh64_intdigest(r), r, v) for b in batches for r, v in zip(b["rule"].to_pylist(), b["verdict"].to_pylist(), strict=True)]
-        if not rows:
+        keys, sizes, text, allow, lengths = [], [], [], [], set()
+        for b in batches:
+            names = b["rule"].to_pylist()
+            raw = [r.encode() for r in names]
+            keys.append(b["order"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63))
+            sizes.append(np.array([len(r) for r in raw], np.int64))
+            text.append(b"".join(raw))
+            allow.append(np.array([v == "allow" for v in b["verdict"].to_pylist()], bool))
+            lengths |= {len(r) - r.find("/") for r in names if "/" in r}
+        if not sum(map(len, keys)):
             return
-        rows.sort()
-        names = [r[1].encode() for r in rows]
+        arrays = {"keys": np.concatenate(keys), "ends": np.cumsum(np.concatenate(sizes)), "text": np.frombuffer(b"".join(text), np.uint8), "allow": np.concatenate(allow)}
         files, base = pafs.FileSystem.from_uri(path if "://" in path else "file://" + _local(path))
         # a task that runs again writes under its own name; only the part it reports is read
-        part = f"{base}/part-{xxhash.xxh64_hexdigest(names[0])}-{np.random.SeedSequence().entropy:x}"
+        part = f"{base}/part-{arrays['keys'][0]:016x}-{np.random.SeedSequence().entropy:x}"
         files.create_dir(part)
-        arrays = {
-            "keys": np.array([r[0] for r in rows], np.uint64),
-            "ends": np.cumsum([len(n) for n in names]),
-            "text": np.frombuffer(b"".join(names), np.uint8),
-            "allow": np.array([r[2] == "allow" for r in rows]),
-        }
         for k, a in arrays.items():
             with files.open_output_stream(f"{part}/{k}.npy") as out:
                 np.save(out, a)
-        lengths = sorted({len(r[1]) - r[1].find("/") for r in rows})
         uri = path[: path.index(":") + 3] if "://" in path else ""
-        yield pa.RecordBatch.from_pydict({"part": [uri + part], "first": [np.int64(rows[0][0] >> 1)], "lengths": [lengths]}, schema=pa.schema([("part", pa.string()), ("first", pa.int64()), ("lengths", pa.list_(pa.int32()))]))
+        ends = [pa.array([int(arrays["keys"][i] ^ np.uint64(1 << 63)) - (0 if arrays["keys"][i] >> np.uint64(63) else 1 << 64)], pa.int64()) for i in (0, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array([uri + part]), *ends, pa.array([sorted(lengths)], pa.list_(pa.int32()))], names=["part", "first", "last", "lengths"])
 
-    dealt = clean.repartition(1) if parts == 1 else clean.repartitionByRange(parts, F.shiftrightunsigned(F.xxhash64("rule"), 1))
-    return materialize(dealt.mapInArrow(write, "part string, first long, lengths array<int>"), "url-index")
+    dealt = clean.repartitionByRange(parts, "order").sortWithinPartitions("order", "rule")
+    return materialize(dealt.mapInArrow(write, "part string, first long, last long, lengths array<int>"), "url-index")
 
 
 @lru_cache(maxsize=64)
@@ -101,9 +113,10 @@ def _probe(part: dict[str, np.ndarray], keys: np.ndarray, texts: list[str]) -> n
 
 
 def judge(urls: DataFrame, index: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
-    """Adds host, path, rule, verdict to rows with a ``url``. The index's parts list (not the index) goes with the tasks."""
-    parts = [(r["part"], list(r["lengths"])) for r in index.orderBy("first").collect()]
-    lengths = sorted({n for _, own in parts for n in own})
+    """Adds host, path, rule, verdict to rows with a ``url``. The index's list of parts (not the index) goes with the tasks."""
+    rows = index.orderBy("first").collect()  # a row for each part
+    parts, first = [r["part"] for r in rows], np.array([r["first"] for r in rows], np.int64)
+    lengths = sorted({n for r in rows for n in r["lengths"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +129,17 @@ def judge(urls: DataFrame, index: DataFrame, default: str = DEFAULT_VERDICT) ->
                 found = [tail + path[:n] for tail in tails for n in lengths if n <= len(path)]
                 texts += found
                 owner += [row] * len(found)
-            known = {t: xxhash.xxh64_intdigest(t) for t in set(texts)}
+            known = {t: digest(t) for t in set(texts)}
             keys = np.fromiter((known[t] for t in texts), np.uint64, len(texts))
+            # each key goes to the one part whose range of digests holds it
+            route = np.searchsorted(first, (keys ^ np.uint64(1 << 63)).view(np.int64), "right") - 1
             best: dict[int, tuple[int, str, str]] = {}
-            for part, _ in parts:
-                arrays = _open(part)
-                hit = _probe(arrays, keys, texts)
-                for i in np.flatnonzero(hit >= 0):
-                    verdict = "allow" if arrays["allow"][hit[i]] else "block"
+            for part in np.unique(route[route >= 0]).tolist():
+                arrays, own = _open(parts[part]), np.flatnonzero(route == part)
+                hit = _probe(arrays, keys[own], [texts[i] for i in own.tolist()])
+                for k in np.flatnonzero(hit >= 0).tolist():
+                    i = int(own[k])
+                    verdict = "allow" if arrays["allow"][hit[k]] else "block"
                     best[owner[i]] = max(best.get(owner[i], (0, "", "")), (len(texts[i]), texts[i], verdict))
             rule = [best[i][1] if i in best else None for i in range(len(hosts))]
             verdict = [best[i][2] if i in best else default for i in range(len(hosts))]
