@@ -10,12 +10,17 @@
 4. A star may miss a link between two members that are both unlike the centre. So buckets that still
    hold several components are searched for links across them, by comparing the members' shingles as
    16-bit hashes, or the bins of large sets: what may reach 0.75 (for bins, within five standard
-   deviations) goes on to the full sets. The largest component of a bucket is dealt out over tasks, the few others go to each of them.
+   deviations) goes on to the full sets. The largest component of a bucket is dealt out over tasks, the others, at most
+   2 * LIGHT where the largest is dealt at all, go to each of them.
    A bucket with too many members outside its largest component is first cut by the members' other
-   bands (a pair of similarity 0.75 shares 12 on average), so noise that shares one band is not compared.
+   bands (a pair of similarity 0.75 shares 12 on average), so noise that shares one band is not compared; what is
+   left after DEPTH cuts is compared block against block, never written out as pairs.
    Of many likely partners in one component the best few are tried first. Where none of them is confirmed,
    the member is held against the full sets of that whole component, in blocks.
 
+Where a centre has very many copies, the joins on it are split by Spark's own handling of skewed joins: both
+their sides come from plain exchanges.
+
 Defined results: null or empty texts, or texts without words, have no shingles and are linked with
 nothing; texts under five words are one shingle; rows of one doc_id count as one document; rows
 without a doc_id are kept and linked with nothing; empty tables give empty tables; other columns are
@@ -259,24 +264,34 @@ def block_links(docs: DataFrame, goals: DataFrame, members: DataFrame) -> DataFr
     return blocks.join(sets, "id").groupBy("comp", "row", "col").applyInPandas(_block_links, f"src {kind}, dst {kind}").distinct()
 
 
+def _compared(dealt: DataFrame, reps: DataFrame) -> DataFrame:
+    """(src, dst, cut) of likely pairs in each (key, deal) of rows (key, deal, id, n, comp, stray).
+
+    A deal's work is not told by its bytes, so as many tasks as there are partitions share the deals; Spark would merge them."""
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.join(reps.select("id", "bins", "hashes"), "id").repartition(tasks, "key", "deal")
+    kind = dealt.schema["id"].dataType.simpleString()
+    return rows.groupBy("key", "deal").applyInPandas(_similar, f"src {kind}, dst {kind}, cut boolean").distinct()
+
+
 def _across(rows: DataFrame, reps: DataFrame, depth: int = 1) -> DataFrame:
     """(src, dst, cut) of likely pairs of different components in a bucket, of rows (key, id, n, comp)."""
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("own"))
     per = per.groupBy("key").agg(F.sum("own").alias("members"), F.sum(F.col("own") * F.col("own")).alias("inner"), F.max(F.struct("own", "comp")).alias("main"))
     per = per.filter("members * members > inner").withColumn("light", F.expr(f"members * members - inner <= {2 * LIGHT} * members"))
-    per = per.select("key", "light", F.col("main.comp").alias("main"), F.ceil(F.col("main.own") / DEALT).alias("deals"))
+    per = per.select("key", "light", "members", F.col("main.comp").alias("main"), F.ceil(F.col("main.own") / DEALT).alias("deals"))
     marked = materialize(rows.join(per, "key").withColumn("stray", F.col("comp") != F.col("main")), "dup-across")
     deal = F.when(F.col("stray"), F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("deals"))))
-    light = marked.filter("light").select("key", F.explode(deal).alias("deal"), "id", "n", "comp", "stray").join(reps.select("id", "bins", "hashes"), "id")
-    kind = rows.schema["id"].dataType.simpleString()
-    pairs = light.groupBy("key", "deal").applyInPandas(_similar, f"src {kind}, dst {kind}, cut boolean").distinct()
-    heavy = marked.filter("NOT light").select("key", "id", "n", "comp")
+    light = marked.filter("light").select("key", F.explode(deal).alias("deal"), "id", "n", "comp", "stray")
+    pairs = _compared(light, reps)
+    heavy = marked.filter("NOT light").select("key", "id", "n", "comp", "members")
     if heavy.isEmpty():
         return pairs
-    if depth == DEPTH:  # equal in so many bands, yet in many components: pair them all
-        other = heavy.select("key", F.col("id").alias("dst"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        near = heavy.join(other, "key").filter("id < dst AND comp <> other").filter(_may_link(F.col("n"), F.col("m")))
-        return pairs.unionByName(near.select(F.col("id").alias("src"), "dst", F.lit(False).alias("cut"))).distinct()
+    if depth == DEPTH:  # equal in so many bands, yet in many components: block against block, each in a task
+        own = heavy.withColumn("blocks", F.ceil(F.col("members") / DEALT)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        deal = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+        return pairs.unionByName(_compared(met.select("key", deal.alias("deal"), "id", "n", "comp", (F.col("own") <= F.col("other")).alias("stray")), reps)).distinct()
     cut = heavy.join(reps.select("id", "keys"), "id").select("key", F.explode("keys").alias("more"), "id", "n", "comp")
     cut = cut.filter("more <> key").withColumn("key", F.xxhash64("key", "more")).drop("more")
     return pairs.unionByName(_across(cut, reps, depth + 1)).distinct()
