@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netprobe.functions.tables import materialize
+from netprobe.functions.tables import discard, made, materialize
 from netprobe.llm import langid, mixing, neardup, packing, quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -54,8 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each but the last written out and read again."""
+    """All stages, each but the last written out and read again. A stage's own tables, and its predecessor's
+    result, are deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begin = made()
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = made()
+        out = stage(spark, docs, sf_dir)
+        docs = materialize(out, f"pipeline-{name}")
+        discard(spark, begin, kept)  # the predecessor's result
+        begin = made() - 1
+        discard(spark, kept, begin)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,18 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process made, oldest first.
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a new local folder."""
+    """spark.checkpoint.dir of the session; where it is unset and Spark runs in one process (tests), a new local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/netprobe/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/netprobe/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -27,3 +34,38 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     path = new_path(spark, label)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made() -> int:
+    """A mark for ``discard``: how many folders there are."""
+    return len(_MADE)
+
+
+def discard(spark: SparkSession, begin: int, end: int) -> None:
+    """Delete the folders made between two marks; no table that is still read may be among them."""
+    for path in _MADE[begin:end]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Parts:
+    """A table in the shared folder that grows by parts; its plan stays a single scan."""
+
+    def __init__(self, spark: SparkSession, label: str, schema: str | None = None) -> None:
+        self.spark, self.path = spark, new_path(spark, label)
+        self.schema = None
+        if schema is not None:
+            self.add(spark.createDataFrame([], schema))
+
+    @property
+    def columns(self) -> list[str]:
+        return self.schema.fieldNames()
+
+    def add(self, df: DataFrame) -> Parts:
+        """``df`` must not read from this table's newest state in a way that a rerun would see its own rows."""
+        self.schema = self.schema or df.schema
+        df.select(*self.columns).write.mode("append").parquet(self.path)
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)

@@ -2,81 +2,190 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netprobe.functions.hashing import hash_key
-from netprobe.functions.tables import materialize
+from netprobe.functions.hashing import uniform
+from netprobe.functions.tables import Parts, materialize
+from netprobe.operators import features as f
+from netprobe.operators import learning
 from netprobe.operators.components import connected_components
-from netprobe.operators.features import default_features
 from netprobe.operators.graph import candidates
-from netprobe.operators.learning import init_theta, regularize, sgd_update
-from netprobe.operators.policies import choose_top, score_linear_by_run
-from netprobe.operators.probing import init_state, probe, rewards
+from netprobe.operators.policies import choose_epsilon_greedy, choose_top
+from netprobe.operators.probing import first_edges, first_nodes, init_state, reveal, rewards
 
-FEATURES = ("degree_norm", "cc", "size_norm", "frac_probed", "reward_count_norm")
+HEURISTICS = ("high", "low", "rand", "mod")
+#: Policies whose weights are kept from round to round: online regression, and heavy-tailed regression.
+WEIGHTED = ("linear", "htr")
+#: Policies that are fitted anew to the samples of a run.
+FITTED = ("linreg", "logit", "svm", "knn")
+#: Columns of the feature sets.
+FEATURE_SETS: dict[str, tuple[str, ...]] = {
+    "default": ("degree_norm", "cc", "size_norm", "frac_probed", "reward_count_norm"),
+    "netdisc": ("degree_norm", "cc", "size_norm", "frac_probed"),
+    "knn": ("degree_norm", "probed_nbrs_norm", "mean_degree_norm", "median_degree_norm"),
+    "refex": tuple(f"{k}{c}_norm" for k in ("", "sum_", "median_", "min_", "max_") for c in f.REFEX_BASE) + ("size_norm",),
+}
+FEATURES = FEATURE_SETS["default"]
 
 
 def grow(
     complete: DataFrame, sample: DataFrame, budget: int, batch_size: int = 1, policy: str = "high", reward: str = "new_nodes",
     by: Sequence[str] = (), burn_in: int = 0, alpha: float = 0.01, regularization: str = "no", targets: DataFrame | None = None, seed: int = 0,
+    epsilon: float = 0.0, decay: bool = False, features: str = "default", k: int | str = "ln", seeds: DataFrame | None = None,
+    snapshot_gap: int = 0, snapshot_path: str | None = None,
 ) -> DataFrame:
-    """(by, seq, node, estimate, reward) of every probe. ``sample``: observed edges, with the columns ``by``.
+    """(by, seq, node, estimate, reward, delta, jump, p, theta) of every probe. ``sample``: observed edges, with the
+    columns ``by`` (none, or run_id).
 
-    Policies: high, low, rand, or linear (learned by online regression; needs a run column). A round
-    probes ``batch_size`` nodes of every run; shared finds belong to the lower seq, scores are those of
-    the round's start, so a batch of one is the sequential order. Each round's tables are written out."""
-    by = list(by)
-    edges, nodes = init_state(sample, by=by)
-    edges, nodes = materialize(edges, "grow-edges"), materialize(nodes, "grow-nodes")
-    log = None
-    thetas = materialize(init_theta(nodes, len(FEATURES), seed, by), "grow-theta") if policy == "linear" and by else None
-    done = 0
+    Policies: high, low, rand, mod (target neighbours); linear (online regression), htr (heavy-tailed regression in
+    ``k`` groups); linreg, logit, svm, knn (fitted to all samples of a run, for few runs). Until a run has samples, fitted
+    policies go by degree. Where all samples of a run are of one class, its unprobed nodes join as the other one.
+    A jump, with probability ``epsilon`` (falling with exp(-seq / budget) if ``decay``), takes a random node instead, one of
+    the first sample's as long as there are any. The first ``burn_in`` probes go by degree, or by target neighbours if
+    targets are rewarded. ``seeds`` (by, node) start as probed, with seq below 0 and reward 1.
+
+    A round probes ``batch_size`` nodes of every run; shared finds belong to the lower seq, scores are those of
+    the round's start, so a batch of one is the sequential order. Each round adds to tables in the shared folder.
+    Every ``snapshot_gap`` probes, the features go to a folder of ``snapshot_path``."""
+    if policy not in (*HEURISTICS, *WEIGHTED, *FITTED):
+        raise ValueError(f"unknown policy: {policy}")
+    if features not in FEATURE_SETS:
+        raise ValueError(f"unknown features: {features}")
+    if reward not in ("new_nodes", "new_edges", "target_hit"):
+        raise ValueError(f"unknown reward: {reward}")
+    if targets is None and (policy == "mod" or reward == "target_hit"):
+        raise ValueError("targets are needed")
+    if by and list(by) != ["run_id"]:
+        raise ValueError("runs are told apart by run_id")
+    given, by = list(by), ["run_id"]
+    lone = lambda df: df if given else df.withColumn("run_id", F.lit(0).cast("long"))
+    spark, columns = complete.sparkSession, FEATURE_SETS[features]
+    start = init_state(lone(sample), by=by)
+    edges, nodes = Parts(spark, "grow-edges").add(start[0]), Parts(spark, "grow-nodes").add(start[1])
+    run_type = nodes.read().schema["run_id"].dataType.simpleString()
+    node_type = nodes.read().schema["node"].dataType.simpleString()
+    log = Parts(spark, "grow-log", f"run_id {run_type}, seq int, node {node_type}, estimate double, reward double, delta double, jump int, p double, theta array<double>")
+    samples = Parts(spark, "grow-samples", f"run_id {run_type}, seq int, features array<double>, reward double")
+    learns = policy in (*WEIGHTED, *FITTED)
+    described = lambda: _features(features, columns, edges.read(), nodes.read(), log.read())
+    if seeds is not None:
+        order = F.row_number().over(W.partitionBy("run_id").orderBy("node"))
+        own = lone(seeds).select(*by, "node").distinct().join(nodes.read().select(*by, "node"), [*by, "node"]).withColumn("seq", (-order).cast("int"))
+        own = materialize(own, "grow-seeds")
+        if learns:
+            samples.add(described().join(own, [*by, "node"]).select("run_id", "seq", "features", F.lit(1.0).alias("reward")))
+        log.add(own.select("run_id", "seq", "node", F.lit(0.0).alias("estimate"), F.lit(1.0).alias("reward"), F.lit(0.0).alias("delta"), F.lit(0).alias("jump"), F.lit(0.0).alias("p"), F.lit(None).cast("array<double>").alias("theta")))
+    thetas = materialize(learning.init_theta(nodes.read(), len(columns), seed, by), "grow-theta") if policy in WEIGHTED else None
+    done, saved = 0, 0
     while done < budget:
-        left = nodes if log is None else candidates(nodes, log, by)
-        name = "high" if done < burn_in else policy
-        degree = F.count("*")
-        ends = edges.select(*by, F.explode(F.array("src", "dst")).alias("node")).groupBy(*by, "node").agg(degree.alias("value"))
-        scored = left.select(*by, "node").join(ends, [*by, "node"], "left").na.fill(0, ["value"])
-        features = None
-        if name == "rand":
-            scored = scored.withColumn("value", hash_key(seed, *[F.col(c) for c in by], F.col("node")))
-        elif name == "linear" and thetas is not None:
-            features = _features(complete, edges, nodes, log, by)
-            scored = score_linear_by_run(features, FEATURES, thetas, by).join(left.select(*by, "node"), [*by, "node"], "left_semi")
-        k = min(batch_size, budget - done)
-        chosen = choose_top(scored, k, by, lowest=name == "low").withColumn("seq", (F.col("rank") - 1 + done).cast("int"))
-        chosen = materialize(chosen.select(*by, "node", "seq", F.col("value").cast("string").alias("estimate")), "grow-chosen")
+        name = policy if done >= burn_in else "mod" if reward == "target_hit" else "high"
+        left = materialize(candidates(nodes.read(), log.read(), by).select(*by, "node", (F.col("seq") == -1).alias("is_initial")), "grow-left")
+        now = materialize(described(), "grow-features") if learns else None
+        scored = _scored(name, left, edges.read(), nodes.read(), now, samples.read(), thetas, targets, seed, done)
+        size = min(batch_size, budget - done)
+        p = epsilon * (math.exp(-done / budget) if decay else 1.0)
+        if p > 0 and name != "rand":
+            scored = materialize(scored, "grow-scored")
+            picked = choose_epsilon_greedy(scored, size, p, seed, done, by).join(scored.select(*by, "node", "value"), [*by, "node"])
+        else:
+            picked = choose_top(scored, size, by).withColumn("slot", F.col("rank") - 1).withColumn("jump", F.lit(int(name == "rand")))
+        value = F.lit(0.0) if name in ("high", "low", "rand", "mod") else F.col("value").cast("double")
+        chosen = materialize(picked.select(*by, "node", (F.col("slot") + done).cast("int").alias("seq"), value.alias("estimate"), F.col("jump").cast("int").alias("jump")), "grow-chosen")
         if chosen.isEmpty():
             break
-        gained = rewards(complete, edges, nodes, chosen, targets, by).select(*by, "seq", "node", F.col(reward).cast("double").alias("reward"))
-        step = materialize(chosen.join(gained, [*by, "seq", "node"]).select(*by, "seq", "node", "estimate", "reward"), "grow-log")
-        if features is not None:
-            x = features.select(*by, "node", F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("features"))
-            batch = step.join(x, [*by, "node"])
-            thetas = sgd_update(batch, thetas, len(FEATURES), alpha, by)
-            thetas = materialize(thetas.withColumn("theta", regularize(F.col("theta"), regularization)), "grow-theta")
-        new_edges, new_nodes = probe(complete, edges, nodes, chosen, by)
-        edges, nodes = materialize(new_edges, "grow-edges"), materialize(new_nodes, "grow-nodes")
-        log = step if log is None else log.unionByName(step)
-        done += k
-    return log
+        gained = rewards(complete, edges.read(), nodes.read(), chosen, targets, by)
+        train = F.col("train_reward") if reward == "target_hit" and name in WEIGHTED else F.col(reward)
+        step = materialize(chosen.join(gained.select(*by, "seq", F.col(reward).cast("double").alias("reward"), train.cast("double").alias("train")), [*by, "seq"]), "grow-step")
+        delta = F.col("train") - F.col("estimate") if learns and name == policy else F.lit(0.0)
+        entry = step.withColumn("delta", delta).withColumn("p", F.lit(float(p)))
+        entry = entry.join(thetas, by) if thetas is not None else entry.withColumn("theta", F.lit(None).cast("array<double>"))
+        entry = materialize(entry.select(*log.columns), "grow-entry")
+        if learns:
+            batch = materialize(step.join(now, [*by, "node"]).select("run_id", "seq", "features", F.col("train").alias("reward")), "grow-batch")
+            samples.add(batch)
+            if policy == "linear":
+                thetas = learning.sgd_update(batch, thetas, len(columns), alpha, by)
+            elif policy == "htr":
+                fitted = learning.htr_fit(samples.read(), len(columns), k, seed)
+                thetas = thetas.join(fitted.withColumnRenamed("theta", "_new"), by, "left").select(*by, F.coalesce("_new", "theta").alias("theta"))
+            if policy in WEIGHTED:
+                thetas = materialize(thetas.withColumn("theta", learning.regularize(F.col("theta"), regularization)), "grow-theta")
+        revealed = reveal(complete, chosen, by)
+        new_edges, new_nodes = (materialize(x, "grow-new") for x in (first_edges(revealed, edges.read(), by).select(*by, "src", "dst", "seq"), first_nodes(revealed, nodes.read(), by)))
+        edges.add(new_edges)
+        nodes.add(new_nodes)
+        log.add(entry)
+        done += size
+        if snapshot_gap and snapshot_path and done // snapshot_gap > saved:
+            saved = done // snapshot_gap
+            described().write.mode("overwrite").parquet(f"{snapshot_path}/query={done}")
+    return log.read().select(*given, *[c for c in log.columns if c != "run_id"])
+
+
+def _scored(name: str, left: DataFrame, edges: DataFrame, nodes: DataFrame, now: DataFrame | None, samples: DataFrame, thetas: DataFrame | None, targets: DataFrame | None, seed: int, step: int) -> DataFrame:
+    """(run_id, node, is_initial, value) of the candidates; the highest value is best."""
+    by = ["run_id"]
+    if name == "rand":
+        return left.withColumn("value", uniform(seed, F.col("run_id"), step, F.col("node")))
+    if name == "mod":
+        found = f.target_neighbors(edges, nodes, targets, by).select(*by, "node", F.col("n").cast("double").alias("value"))
+        return left.join(found, [*by, "node"])
+    degree = f.degrees(edges, nodes, by).select(*by, "node", F.col("degree").cast("double").alias("value"))
+    by_degree = left.join(degree, [*by, "node"])
+    if name in ("high", "low"):
+        return by_degree.withColumn("value", F.col("value") * (-1 if name == "low" else 1))
+    own = left.join(now, [*by, "node"])
+    if name in WEIGHTED:
+        return own.join(thetas, by).withColumn("value", learning.dot(F.col("features"), F.col("theta"))).drop("features", "theta")
+    found = []
+    for row in left.select("run_id").distinct().orderBy("run_id").collect():  # few runs: each has a model of its own
+        mine, known = own.filter(F.col("run_id") == row["run_id"]), samples.filter(F.col("run_id") == row["run_id"])
+        labels = [r["y"] for r in known.select((F.col("reward") > 0).alias("y")).distinct().collect()]
+        if not labels:
+            found.append(by_degree.filter(F.col("run_id") == row["run_id"]))
+            continue
+        class_of = (F.col("reward") > 0).cast("int")
+        train = known.select(F.col("seq").cast("long").alias("id"), "run_id", "features", "reward", class_of.alias("label"))
+        if len(labels) == 1 and name != "linreg":
+            other = F.lit(1 - int(labels[0]))
+            train = train.unionByName(mine.select(F.xxhash64("node").alias("id"), "run_id", "features", F.lit(0.0).alias("reward"), other.alias("label")))
+        train = materialize(train, "grow-train")
+        rows = mine.select("run_id", "node", "is_initial", "features")
+        if name == "linreg":
+            scored = learning.score_linreg(rows, train, len(mine.first()["features"]))
+        elif name == "knn":
+            scored = learning.score_knn(rows, train)
+        elif name == "svm":
+            scored = learning.score_svm(rows, train)
+        else:
+            scored, _ = learning.score_logit(rows, train)
+        found.append(scored.select("run_id", "node", "is_initial", F.col("value").cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, found) if found else by_degree
 
 
-def _features(complete: DataFrame, edges: DataFrame, nodes: DataFrame, log: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    """Default features of all runs: a run's nodes get labels of their own, so components stay apart."""
-    key = F.concat_ws(":", *by, "node")
+def _features(kind: str, columns: Sequence[str], edges: DataFrame, nodes: DataFrame, log: DataFrame) -> DataFrame:
+    """(run_id, node, features) of all runs: a run's nodes get labels of their own, so components stay apart."""
+    by = ["run_id"]
+    probes = log.select(*by, "node")
     label = lambda c: F.concat_ws(":", *by, c)
-    comps = connected_components(edges.select(label("src").alias("src"), label("dst").alias("dst")))
-    own = nodes.select(*by, "node", key.alias("_k")).join(comps.select(F.col("node").alias("_k"), "comp"), "_k", "left")
-    comps = own.select(*by, "node", F.coalesce("comp", "_k").alias("comp"))
-    probes = log.select(*by, "node") if log is not None else nodes.select(*by, "node").filter("false")
-    counts = edges.filter("seq >= 0")
-    if log is None:
-        counts = nodes.select(*by, "node", F.lit(0).cast("long").alias("n")).filter("false")
+    if kind != "knn":
+        comps = connected_components(edges.select(label("src").alias("src"), label("dst").alias("dst")))
+        own = nodes.select(*by, "node", label("node").alias("_k")).join(comps.select(F.col("node").alias("_k"), "comp"), "_k", "left")
+        comps = own.select(*by, "node", F.coalesce("comp", "_k").alias("comp"))
+    if kind == "knn":
+        out = f.knn_features(edges, nodes, probes, by)
+    elif kind == "refex":
+        out = f.refex_features(edges, nodes, probes, comps, by)
+    elif kind == "netdisc":
+        out = f.netdisc_features(edges, nodes, probes, comps, by=by)
     else:  # an edge found at seq was revealed to the end that was not probed then
-        found = counts.join(log.select(*by, "seq", F.col("node").alias("prober")), [*by, "seq"])
+        found = edges.filter("seq >= 0").join(log.select(*by, "seq", F.col("node").alias("prober")), [*by, "seq"])
         counts = found.select(*by, F.when(F.col("src") == F.col("prober"), F.col("dst")).otherwise(F.col("src")).alias("node")).groupBy(*by, "node").agg(F.count("*").alias("n"))
-    return default_features(edges, nodes, probes, comps, counts, by=by)
+        out = f.default_features(edges, nodes, probes, comps, counts, by=by)
+    return out.select(*by, "node", F.array(*[F.col(c).cast("double") for c in columns]).alias("features"))

@@ -200,7 +200,7 @@ def score_logit(rows: DataFrame, samples: DataFrame, max_iter: int = 50) -> tupl
     return scored.select(*rows.columns, "value"), model.coefficients.toArray().tolist()
 
 
-def score_svm(rows: DataFrame, samples: DataFrame, degree: int = 2, max_iter: int = 30) -> DataFrame:
+def score_svm(rows: DataFrame, samples: DataFrame, degree: int = 3, max_iter: int = 30) -> DataFrame:
     """Adds ``value``: the decision value of a linear machine over the polynomial expansion of the features."""
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.feature import PolynomialExpansion

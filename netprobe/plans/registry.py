@@ -367,8 +367,8 @@ def logit_score(spark, sf_dir):
 
 @query
 def svm_score(spark, sf_dir):
-    rows = materialize(_vectors(spark, sf_dir), "vectors").withColumn("features", F.slice("features", 1, 12))
-    out = learning.score_svm(rows.select("id", "features"), rows.filter("known"))
+    rows = materialize(_vectors(spark, sf_dir), "vectors")
+    out = learning.score_svm(rows.select("id", "features"), rows.filter("known"), degree=2)  # 2,144 columns of 64 dimensions
     return out.select(F.col("id").alias("vec_id"), F.col("value").alias("score"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,85 @@ def test_growth_by_one_is_the_sequential_order(toy):
     assert got == want
 
 
+def plain_growth(score, budget, lowest=False):
+    """Probe by probe: (node, new nodes)."""
+    adj = {}
+    for a, b in COMPLETE:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    seen = {frozenset(e) for e in SAMPLE}
+    known, probed, out = {n for e in SAMPLE for n in e}, set(), []
+    while len(out) < budget and known - probed:
+        node = min(known - probed, key=lambda n: (score(n, seen) * (1 if lowest else -1), n))
+        out.append((node, float(len(adj[node] - known))))
+        known |= adj[node]
+        seen |= {frozenset((node, n)) for n in adj[node]}
+        probed.add(node)
+    return out
+
+
+def test_growth_by_heuristics(spark, toy):
+    complete, sample, _, _ = toy
+    degree = lambda n, seen: sum(n in e for e in seen)
+    hits = {3, 6, 9}
+    targets = spark.createDataFrame([(n,) for n in hits], "node long")
+    near = lambda n, seen: sum(n in e and bool((e - {n}) & hits) for e in seen)
+    for policy, want in (("low", plain_growth(degree, 4, True)), ("mod", plain_growth(near, 4))):
+        got = growth.grow(complete, sample, 4, 1, policy, targets=targets).orderBy("seq").collect()
+        assert [(r.node, r.reward) for r in got] == want
+        assert {(r.jump, r.delta, r.theta) for r in got} == {(0, 0.0, None)}
+    drawn = growth.grow(complete, sample, 4, 2, "rand", seed=3).collect()
+    assert len({r.node for r in drawn}) == 4 and {r.jump for r in drawn} == {1}
+
+
+@pytest.mark.parametrize("policy", ["linear", "htr", "linreg", "logit", "svm", "knn"])
+def test_growth_by_learned_policies(spark, toy, policy):
+    """Rewards are those of a replay, no node comes twice, seeds start probed, weights are logged."""
+    complete, sample, _, _ = toy
+    seeds = spark.createDataFrame([(1,)], "node long")
+    targets = spark.createDataFrame([(1,), (4,), (9,)], "node long")
+    n = 4 if policy in growth.WEIGHTED else 2  # two rounds or one
+    log = growth.grow(complete, sample, n, 2, policy, reward="target_hit", targets=targets, seeds=seeds, features="netdisc", k=2)
+    got = log.orderBy("seq").collect()
+    assert [(r.seq, r.node, r.reward) for r in got][0] == (-1, 1, 1.0)
+    own = got[1:]
+    assert [r.seq for r in own] == list(range(n)) and len({r.node for r in got}) == n + 1
+    assert all(r.reward == float(r.node in (4, 9)) for r in own)
+    assert all((r.theta is not None and len(r.theta) == 4) == (policy in ("linear", "htr")) for r in own)
+    if policy in ("linear", "htr"):
+        assert all(r.delta == pytest.approx(r.reward + 0.1 - r.estimate) for r in own)
+
+
+def test_online_weights_follow_the_log(spark, toy):
+    """The first choice is the best by the first weights, and a round moves them as the formula says."""
+    complete, sample, _, _ = toy
+    got = growth.grow(complete, sample, 2, 1, "linear", alpha=0.1, features="knn").orderBy("seq").collect()
+    edges, nodes = probing.init_state(sample)
+    x = {r.node: [r[c] for c in growth.FEATURE_SETS["knn"]] for r in features.knn_features(edges, nodes, nodes.filter("false")).collect()}
+    value = {n: sum(a * b for a, b in zip(v, got[0].theta, strict=True)) for n, v in x.items()}
+    best = min(value, key=lambda n: (-value[n], n))
+    assert (got[0].node, got[0].estimate) == (best, pytest.approx(value[best]))
+    assert got[1].theta == pytest.approx([w + 0.2 * got[0].delta * v for w, v in zip(got[0].theta, x[best], strict=True)])
+
+
+def test_jumps_take_first_nodes_first(spark, toy, tmp_path):
+    complete, sample, _, _ = toy
+    runs = sample.withColumn("run_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(2)])))
+    log = growth.grow(complete, runs, 6, 3, "high", by=["run_id"], epsilon=1.0, decay=True, seed=5, snapshot_gap=3, snapshot_path=str(tmp_path)).toPandas()
+    assert sorted(log.run_id.unique()) == [0, 1] and log.groupby("run_id").node.nunique().tolist() == [6, 6]
+    first = log[log.seq < 3]
+    assert (first.jump == 1).all() and first.node.isin([1, 2, 3, 8, 9]).all() and (first.p == 1.0).all()
+    assert log[log.seq >= 3].p.unique() == pytest.approx([math.exp(-0.5)])
+    assert spark.read.parquet(str(tmp_path)).select("query").distinct().count() == 2
+
+
+def test_unknown_names_are_errors(toy):
+    complete, sample, _, _ = toy
+    for options in ({"policy": "best"}, {"features": "all"}, {"reward": "fame"}, {"policy": "mod"}):
+        with pytest.raises(ValueError, match="unknown|needed"):
+            growth.grow(complete, sample, 1, **options)
+
+
 def test_samples(spark, toy):
     complete = toy[0]
     out = sampling.node_sample(complete, 0.5, 3)
