@@ -13,6 +13,7 @@ from netprobe.functions.tables import materialize, new_path
 from netprobe.operators import embeddings, features, graph, growth, learning, netstats, policies, probing, runs, sampling
 from netprobe.operators.components import connected_components
 from netprobe.plans.sql import ORACLE
+from netprobe.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -588,6 +589,71 @@ def stream_rewards(spark, sf_dir):
     return spark.read.parquet(out).select("run_id", "n", F.round("total", 4).alias("total"))
 
 
+# Files: what is written is read back and compared with the table that it came from.
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    a, b = F.col("src").cast("long"), F.col("dst").cast("long")
+    return edges.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+
+
+@query
+def network_file(spark, sf_dir):
+    path = new_path(spark, "network")
+    writers.write_edge_list(v.observed_graph(spark, sf_dir), path)
+    return _ordered(readers.read_network(spark, path)[1])
+
+
+@query
+def edge_list_file(spark, sf_dir):
+    path = new_path(spark, "edge-list")
+    v.complete_graph(spark, sf_dir).select("src", "dst").write.option("sep", ",").csv(path)
+    n, edges = readers.read_edge_list(spark, path, ",")
+    return _ordered(edges).withColumn("n_nodes", F.lit(n).cast("long"))
+
+
+@query
+def attribute_file(spark, sf_dir):
+    """A line of nodes for each size of part."""
+    path = new_path(spark, "attributes")
+    lines = v.table(spark, sf_dir, "part").groupBy("p_size").agg(F.concat_ws("\t", F.sort_array(F.collect_list(F.col("p_partkey").cast("string")))).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("p_size").select("value").write.text(path)
+    return readers.read_attributes(spark, path).select(F.col("node").cast("long").alias("node"), "attr_id")
+
+
+@query
+def embedding_file(spark, sf_dir):
+    path = new_path(spark, "embedding")
+    v.table(spark, sf_dir, "embeddings").select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.transform("embedding", lambda x: x.cast("string"))).alias("value")).write.text(path)
+    out = readers.read_embeddings(spark, path)
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return out.select(F.col("node").cast("long").alias("vec_id"), F.size("vec").alias("n"), F.round(F.col("vec")[0], 3).alias("first"), F.round(total, 2).alias("total"))
+
+
+@query
+def step_log_file(spark, sf_dir):
+    path = new_path(spark, "log") + "/linear_iter3_intermediate"
+    value = F.col("value")
+    log = v.table(spark, sf_dir, "events").select(F.col("event_id").cast("int").alias("query"), value.alias("reward"), (value / 2).alias("estimate"), (value / 2).alias("delta"), F.lit(1).alias("jump"), F.lit(0.25).alias("p"), F.array(value * 2, -value).alias("theta"))
+    writers.write_step_log(log, path, 2, "tsv")
+    out = readers.read_run_logs(spark, path)
+    return out.select("run_id", "seq", F.round("reward", 4).alias("reward"), "jump", "p", F.round(F.col("theta")[0], 4).alias("w0"), F.round(F.col("theta")[1], 4).alias("w1"))
+
+
+@query
+def curve_file(spark, sf_dir):
+    path = new_path(spark, "curves")
+    curves = _curves(spark, sf_dir).select(F.concat_ws("-", F.lit("m"), "grp").alias("model"), F.col("k").alias("alpha"), "probe", "avg", "std")
+    writers.write_curve(curves, path)
+    return spark.read.parquet(path).groupBy("model", F.col("alpha").cast("int").alias("alpha")).agg(F.count("*").alias("n"), F.round(F.sum("avg"), 3).alias("total"))
+
+
+@query
+def probe_lines(spark, sf_dir):
+    s = State(spark, sf_dir)
+    return writers.format_probe_log(s.complete, s.probes, s.targets)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default feature table of the observed graph after its seeds' probes, with a linear score."""
     scored = policies.score_linear(_default(spark, sf_dir), FEATURES, THETA)

@@ -154,4 +154,11 @@ ORACLE: dict[str, str] = {
     "ols": "SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice, l_quantity), 3) AS coef, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem UNION ALL SELECT 'intercept', round(regr_intercept(l_extendedprice, l_quantity), 3), round(regr_r2(l_extendedprice, l_quantity), 6) FROM lineitem",
     "gram_sums": "SELECT a.i::INT AS i, b.i::INT AS j, round(sum(v[a.i + 1] * v[b.i + 1]), 2) AS s FROM (SELECT [1.0, l_quantity, l_discount, l_tax] AS v FROM lineitem), range(4) a(i), range(4) b(i) WHERE a.i <= b.i GROUP BY a.i, b.i",
     "stream_rewards": "SELECT user_id AS run_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id",
+    "network_file": _with("s", "SELECT src, dst FROM s"),
+    "edge_list_file": _with("g gn", "SELECT src, dst, (SELECT count(*) FROM gn) AS n_nodes FROM g"),
+    "attribute_file": "SELECT p_partkey AS node, (dense_rank() OVER (ORDER BY p_size) - 1)::INT AS attr_id FROM part",
+    "embedding_file": "SELECT vec_id, len(embedding)::INT AS n, round(embedding[1]::DOUBLE, 3) AS first, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 2) AS total FROM embeddings",
+    "step_log_file": "SELECT 3 AS run_id, event_id::INT AS seq, round(value, 4) AS reward, 1 AS jump, 0.25::DOUBLE AS p, round(value * 2, 4) AS w0, round(-value, 4) AS w1 FROM events",
+    "curve_file": f"WITH {_RUNS} SELECT 'm-' || CAST(grp AS VARCHAR) AS model, k::INT AS alpha, count(*) AS n, round(sum(avg), 3) AS total FROM curves GROUP BY grp, k",
+    "probe_lines": _with("pr ga", "SELECT p.seq, CAST(p.node AS VARCHAR) || ':1' || coalesce(string_agg(',' || CAST(a.dst AS VARCHAR) || ':' || CASE WHEN q.seq < p.seq THEN '1' ELSE '-1' END, '' ORDER BY a.dst), '') AS line FROM pr p LEFT JOIN ga a ON a.src = p.node LEFT JOIN pr q ON q.node = a.dst GROUP BY p.seq, p.node"),
 }

@@ -10,7 +10,7 @@ import pytest
 
 from netprobe.plans import registry
 
-NAMES = ["canonical_edges", "node_neighbors", "complete_attrs", "node_sample", "walk_path", "weighted_pick", "probe_batch", "replay_rewards", "clustering", "egonet_counts", "knn_features", "log_bins", "epsilon_greedy", "htr_gram", "regularize", "error_curves", "modularity", "power_law", "stream_rewards"]
+NAMES = ["canonical_edges", "node_neighbors", "complete_attrs", "node_sample", "walk_path", "weighted_pick", "probe_batch", "replay_rewards", "clustering", "egonet_counts", "knn_features", "log_bins", "epsilon_greedy", "htr_gram", "regularize", "error_curves", "modularity", "power_law", "stream_rewards", "network_file", "edge_list_file", "attribute_file", "embedding_file", "step_log_file", "curve_file", "probe_lines"]
 
 
 @pytest.mark.parametrize("name", NAMES)
