@@ -21,7 +21,7 @@ from netprobe.llm.common import text_or_empty
 
 # Licences and the names that notices give them.
 NAMES: dict[str, list[str]] = {
-    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License, Version 2.0 (the \"License\")", "Apache License 2.0", "Apache 2.0 License"],
     "MIT": ["MIT License", "MIT licence"],
     "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3", "GPLv3"],
     "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2", "GPLv2"],
@@ -57,6 +57,7 @@ SENTENCES: dict[str, list[str]] = {
     "APACHE.except": ["you may not use this file except in compliance with the License"],
     "APACHE.obtain": ["You may obtain a copy of the License at"],
     "GPL.freedom": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "GPL.notice3": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "GPL.version3": ["either version 3 of the License, or (at your option) any later version"],
     "GPL.version2": ["either version 2 of the License, or (at your option) any later version"],
     "GPL.warranty": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
@@ -69,6 +70,7 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-3-Clause", ["BSD.grant", "BSD.source", "BSD.binary", "BSD.endorse"]),
     ("BSD-2-Clause", ["BSD.grant", "BSD.source", "BSD.binary"]),
     ("GPL-3.0", ["GPL.freedom", "GPL.version3"]),
+    ("GPL-3.0", ["GPL.notice3"]),
     ("GPL-2.0", ["GPL.freedom", "GPL.version2"]),
     ("Apache-2.0", ["Apache-2.0", "APACHE.except", "APACHE.obtain"]),
     ("Apache-2.0", ["Apache-2.0", "APACHE.except"]),
@@ -79,6 +81,8 @@ RULES: list[tuple[str, list[str]]] = [
 #: Every known sentence holds one of these, so texts and sentences without any are passed over.
 CUES = ["licen", "under", "copyright", "permission", "warranty", "redistribut", "rights reserved", "version 3", "version 2"]
 UNKNOWN = "?"
+#: The colon after this tag ends no sentence.
+TAG = "spdx-license-identifier"
 
 
 def normal(sentence: str) -> str:
@@ -93,6 +97,7 @@ def sentence_table() -> dict[str, str]:
 
 def _sentences(text: Column, breaks: str) -> Column:
     lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    lower = F.replace(lower, F.lit(TAG + ":"), F.lit(TAG))
     ended = F.regexp_replace(lower, breaks, "\u0001")
     return F.transform(F.split(ended, "\u0001"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
@@ -155,7 +160,7 @@ def _oracle() -> str:
         return f"""{mode} AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n, count(*) FILTER (id <> '?') AS known FROM (
     SELECT doc_id, i, coalesce(k.id, CASE WHEN contains(s, 'licen') THEN '?' END) AS id FROM (
         SELECT doc_id, generate_subscripts(p, 1) AS i, trim(regexp_replace(unnest(p), '[^a-z0-9]+', ' ', 'g')) AS s FROM (
-            SELECT doc_id, string_split(regexp_replace({lower}, '{breaks}', chr(1), 'g'), chr(1)) AS p FROM base)
+            SELECT doc_id, string_split(regexp_replace(replace({lower}, '{TAG}:', '{TAG}'), '{breaks}', chr(1), 'g'), chr(1)) AS p FROM base)
     ) LEFT JOIN known k USING (s)) WHERE id IS NOT NULL GROUP BY doc_id)"""
 
     return f"""

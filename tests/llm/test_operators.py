@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from functools import cache
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -92,6 +93,31 @@ def test_licences(odd, empty, spark):
     assert all(any(c in s for c in licenses.CUES) for s in licenses.sentence_table())
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+
+
+def test_standard_notices(spark):
+    """As they are printed, wrapped or on one line, by the query and by its SQL."""
+    notices = {"Apache-2.0": APACHE, "GPL-3.0": GPL3, "GPL-2.0": GPL2, "MIT": "# SPDX-License-Identifier: MIT", "BSD-3-Clause": "/* SPDX-License-Identifier: BSD-3-Clause */\nint x;"}
+    rows = [(f"{name} {k}", text) for name, wrapped in notices.items() for k, text in enumerate((wrapped, " ".join(wrapped.split()) if name not in ("MIT", "BSD-3-Clause") else wrapped, "Some words.\n\n" + wrapped))]
+    out = {r.doc_id: r for r in licenses.query(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: r.licenses for k, r in out.items()} == {k: k.split(" ")[0] for k, _ in rows}
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = duckdb.sql(licenses.ORACLE).df()
+    assert {r.doc_id: (r.sentence_ids, r.licenses, r.n_sentences, r.n_unknown) for r in want.itertuples()} == {k: (r.sentence_ids, r.licenses, r.n_sentences, r.n_unknown) for k, r in out.items()}
+
+
 # 2
 
 def test_languages(docs, odd, empty, spark):
