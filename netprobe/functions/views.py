@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def co_purchases(spark: SparkSession, sf_dir: str, least: float | None = None) -> DataFrame:
-    """Pairs of parts returned in one order, in both directions and as often as they occur."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+def co_purchases(spark: SparkSession, sf_dir: str, least: float | None = None, flag: str | None = "R") -> DataFrame:
+    """Pairs of parts returned (or, without a flag, ordered) in one order, in both directions and as often as they occur."""
+    lines = table(spark, sf_dir, "lineitem")
+    if flag is not None:
+        lines = lines.filter(F.col("l_returnflag") == flag)
     if least is not None:
         lines = lines.filter(F.col("l_quantity") >= least)
     one = lines.select("l_orderkey", F.col("l_partkey").alias("src"))
@@ -29,6 +31,10 @@ def complete_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_edges(co_purchases(spark, sf_dir))
 
 
+def all_lines_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_edges(co_purchases(spark, sf_dir, flag=None))
+
+
 def observed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_edges(co_purchases(spark, sf_dir, 35))
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netprobe.functions.tables import materialize
 from netprobe.operators.components import connected_components
 from netprobe.operators.graph import ego_nodes, symmetrize
 from netprobe.operators.probing import probed_neighbors
@@ -123,20 +124,29 @@ def neighbor_aggregate(edges: DataFrame, base: DataFrame, columns: Sequence[str]
     return base.join(found, [*by, "node"], "left").na.fill(0.0, [f"{k}_{c}" for k in kinds for c in columns])
 
 
+def refex_raw(edges: DataFrame, nodes: DataFrame, probes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Local and neighbour-aggregated columns: 20 features."""
+    return neighbor_aggregate(edges, egonet_counts(edges, nodes, probes, by), REFEX_BASE, by)
+
+
 def refex_features(edges: DataFrame, nodes: DataFrame, probes: DataFrame, comps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Local and neighbour-aggregated columns (raw and normalised) and the component size: 21 features."""
-    base = neighbor_aggregate(edges, egonet_counts(edges, nodes, probes, by), REFEX_BASE, by)
+    base = refex_raw(edges, nodes, probes, by)
     columns = [c for c in base.columns if c not in (*by, "node")]
     return min_max(base, columns, by).join(component_sizes(comps, by).select(*by, "node", "size_norm"), [*by, "node"])
 
 
-def knn_features(edges: DataFrame, nodes: DataFrame, probes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """degree, probed_nbrs, mean and median of the neighbours' degrees; raw and normalised."""
+def knn_raw(edges: DataFrame, nodes: DataFrame, probes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """degree, probed_nbrs, mean and median of the neighbours' degrees."""
     own = frac_probed(edges, nodes, probes, by).drop("frac_probed")
     theirs = own.select(*by, F.col("node").alias("dst"), F.col("degree").alias("d"))
     found = symmetrize(edges, by).join(theirs, [*by, "dst"]).groupBy(*by, F.col("src").alias("node")).agg(F.avg("d").alias("mean_degree"), F.percentile("d", F.lit(0.5)).alias("median_degree"))
-    out = own.join(found, [*by, "node"], "left").na.fill(0.0, ["mean_degree", "median_degree"])
-    return min_max(out, ["degree", "probed_nbrs", "mean_degree", "median_degree"], by)
+    return own.join(found, [*by, "node"], "left").na.fill(0.0, ["mean_degree", "median_degree"])
+
+
+def knn_features(edges: DataFrame, nodes: DataFrame, probes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``knn_raw``, raw and normalised."""
+    return min_max(knn_raw(edges, nodes, probes, by), ["degree", "probed_nbrs", "mean_degree", "median_degree"], by)
 
 
 def netdisc_features(edges: DataFrame, nodes: DataFrame, probes: DataFrame, comps: DataFrame, targets: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -157,20 +167,39 @@ def default_features(edges: DataFrame, nodes: DataFrame, probes: DataFrame, comp
     return out.join(own.select(*by, "node", "reward_count", "reward_count_norm"), [*by, "node"])
 
 
-#: How far a probe's change reaches, in steps, by feature set.
+#: How far a probe's change reaches, in steps from the probed node, by feature set.
 REACH = {"default": 1, "netdisc": 1, "knn": 2, "refex": 3}
-
-
-def refresh_raw(old: DataFrame, after: DataFrame, nodes: DataFrame, probes: DataFrame, changed: DataFrame, columns: Sequence[str] = ("degree", "triangles", "cc", "probed_nbrs")) -> DataFrame:
-    """Raw local features after probes: only nodes within a step of a changed one are made anew, from the
-    edges around them; all others keep their old row."""
-    affected = ego_nodes(after, changed, 1).join(nodes, "node", "left_semi")
-    around = ego_nodes(after, affected, 1)
-    near = after.join(around.withColumnRenamed("node", "src"), "src", "left_semi").join(around.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
-    full = degrees(after.join(affected.select(F.col("node").alias("src")), "src", "left_semi").unionByName(after.join(affected.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")).distinct(), affected)
-    fresh = clustering(near, affected).drop("degree").join(full, "node")
-    fresh = fresh.join(probed_neighbors(after, probes).withColumnRenamed("n", "probed_nbrs"), "node", "left").na.fill(0, ["probed_nbrs"])
-    return old.join(affected, "node", "left_anti").select("node", *columns).unionByName(fresh.select("node", *columns))
+_LOCAL = ("degree", "triangles", "cc", "probed_nbrs")
+#: Features before normalisation, by feature set.
+RAW = {
+    "default": _LOCAL, "netdisc": _LOCAL, "knn": ("degree", "probed_nbrs", "mean_degree", "median_degree"),
+    "refex": (*REFEX_BASE, *[f"{k}_{c}" for k in ("sum", "median", "min", "max") for c in REFEX_BASE]),
+}
+
+
+def raw_features(kind: str, edges: DataFrame, nodes: DataFrame, probes: DataFrame) -> DataFrame:
+    """(node, the columns of ``RAW[kind]``)."""
+    if kind == "knn":
+        out = knn_raw(edges, nodes, probes)
+    elif kind == "refex":
+        out = refex_raw(edges, nodes, probes)
+    else:
+        found = probed_neighbors(edges, probes).withColumnRenamed("n", "probed_nbrs")
+        out = clustering(edges, nodes).join(found, "node", "left").na.fill(0, ["probed_nbrs"])
+    return out.select("node", *RAW[kind])
+
+
+def refresh_raw(old: DataFrame, after: DataFrame, nodes: DataFrame, probes: DataFrame, changed: DataFrame, kind: str = "default") -> DataFrame:
+    """Raw features of the set ``kind`` after probes: only nodes within its reach of a changed (probed) one are
+    made anew, from the edges around them; all others keep their old row."""
+    affected = materialize(ego_nodes(after, changed, REACH[kind]).join(nodes, "node", "left_semi"), "refresh-affected")
+    # a row depends on its neighbours' rows, and these on edges a step less far than the reach
+    rim = materialize(ego_nodes(after, affected, max(1, REACH[kind] - 1)), "refresh-rim")
+    own = rim.select(F.col("node").alias("src"))
+    near = symmetrize(after).join(own, "src", "left_semi").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    near = materialize(near, "refresh-edges")
+    fresh = raw_features(kind, near, rim, probes).join(affected, "node", "left_semi")
+    return old.join(affected, "node", "left_anti").select("node", *RAW[kind]).unionByName(fresh)
 
 
 def polynomial_features(df: DataFrame, columns: Sequence[str], order: int = 2) -> DataFrame:
@@ -192,17 +221,21 @@ def clean(column: Column) -> Column:
 
 
 def log_bins(df: DataFrame, column: str, p: float = 0.5) -> DataFrame:
-    """Adds ``bin``: the lowest share p of the rows (and ties) is bin 1, then the same of the rest.
-
-    Cut points come from running counts of the distinct values alone."""
-    rows = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy("value").toPandas()
-    values, sums = rows["value"].tolist(), rows["n"].cumsum().tolist()  # a row for each distinct value
-    edges, done = [], 0
-    while sums and done < sums[-1]:
-        at = bisect_left(sums, done + math.ceil(p * (sums[-1] - done)))
-        edges.append(values[at])
-        done = sums[at]
-    out = F.lit(len(edges) or None)
+    """Adds ``bin``: the lowest share p of the rows (and ties) is bin 1, then the same of the rest; null stays null.
+
+    Running counts of the distinct values are made in ranges; each cut point, about log(rows) in all, is one
+    aggregate over them."""
+    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    values = materialize(values.repartitionByRange("value").withColumn("_range", F.spark_partition_id()), "bin-values")
+    sizes = values.groupBy("_range").agg(F.sum("n").alias("_n"))  # a row for each range
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.sum("n").over(W.partitionBy("_range").orderBy("value"))
+    running = materialize(values.join(before, "_range").select("value", (F.col("_before") + own).alias("upto")), "bin-counts")
+    total, edges, done = running.agg(F.max("upto")).first()[0] or 0, [], 0
+    while done < total:
+        done, value = running.filter(F.col("upto") >= done + math.ceil(p * (total - done))).agg(F.min(F.struct("upto", "value"))).first()[0]
+        edges.append(value)
+    out = F.lit(None)
     for i in reversed(range(len(edges))):
         out = F.when(F.col(column) <= edges[i], i + 1).otherwise(out)
     return df.withColumn("bin", out.cast("int"))

@@ -189,6 +189,21 @@ def clustering(spark, sf_dir):
     return out.select("node", "triangles", F.round("cc", 6).alias("cc"))
 
 
+@query
+def clustering_all_lines(spark, sf_dir):
+    """On the graph of all order lines, returned or not."""
+    edges = materialize(v.all_lines_graph(spark, sf_dir), "all-lines")
+    out = features.clustering(edges, graph.node_set(edges))
+    return out.select("node", "degree", "triangles", F.round("cc", 6).alias("cc"))
+
+
+@query
+def components_all_lines(spark, sf_dir):
+    """Components of the graph of all order lines: their least nodes and sizes."""
+    edges = materialize(v.all_lines_graph(spark, sf_dir), "all-lines")
+    return connected_components(edges).groupBy("comp").agg(F.count("*").alias("size"))
+
+
 @query
 def components(spark, sf_dir):
     s = State(spark, sf_dir).stored()
@@ -265,15 +280,26 @@ def netdisc_features(spark, sf_dir):
     return _rounded(out, ["degree", "degree_norm", "cc", "size_norm", "frac_probed", "target_nbrs"])
 
 
-@query
-def refresh_features(spark, sf_dir):
+def _refreshed(spark, sf_dir, kind: str) -> DataFrame:
     s = State(spark, sf_dir).stored()
     edges, nodes = s.after()
-    none = s.probes.filter("false")
-    old = features.clustering(s.sample, s.nodes).join(probing.probed_neighbors(s.sample, none).withColumnRenamed("n", "probed_nbrs"), "node", "left").na.fill(0, ["probed_nbrs"])
-    new_ends = graph.node_set(edges.filter("seq >= 0")).unionByName(s.probes.select("node")).distinct()
-    fresh = features.refresh_raw(old, edges.select("src", "dst"), nodes.select("node"), s.probes, new_ends)
-    return fresh.select("node", "degree", "triangles", F.round("cc", 6).alias("cc"), "probed_nbrs")
+    old = features.raw_features(kind, s.sample, s.nodes, s.probes.filter("false"))
+    return features.refresh_raw(old, edges.select("src", "dst"), nodes.select("node"), s.probes, s.probes.select("node"), kind)
+
+
+@query
+def refresh_features(spark, sf_dir):
+    return _refreshed(spark, sf_dir, "default").withColumn("cc", F.round("cc", 6))
+
+
+@query
+def refresh_knn(spark, sf_dir):
+    return _refreshed(spark, sf_dir, "knn").withColumn("mean_degree", F.round("mean_degree", 6))
+
+
+@query
+def refresh_refex(spark, sf_dir):
+    return _refreshed(spark, sf_dir, "refex")
 
 
 @query
@@ -510,6 +536,12 @@ def grow_learned(spark, sf_dir):
     return growth.grow(s.complete, sample, 4, 2, "linear", by=["run_id"]).select("run_id", "seq", "node", "reward")
 
 
+@query
+def transitivity_all_lines(spark, sf_dir):
+    out = netstats.transitivity(materialize(v.all_lines_graph(spark, sf_dir), "all-lines"))
+    return out.select("triangles", "triples", F.round("transitivity", 6).alias("transitivity"))
+
+
 @query
 def transitivity(spark, sf_dir):
     out = netstats.transitivity(materialize(v.complete_graph(spark, sf_dir), "complete"))
@@ -589,6 +621,34 @@ def stream_rewards(spark, sf_dir):
     return spark.read.parquet(out).select("run_id", "n", F.round("total", 4).alias("total"))
 
 
+def _streamed(spark, sf_dir) -> str:
+    """The folder of a stream that got the seeds' probe responses in three parts, one after the other."""
+    from netprobe.streaming.probes import stream_probes as start
+
+    s = State(spark, sf_dir).stored()
+    found = probing.reveal(s.complete, s.probes).select(F.lit(0).cast("long").alias("run_id"), F.col("seq").cast("int").alias("seq"), "node", "nbr")
+    found = materialize(found, "responses")
+    last = s.probes.agg(F.max("seq")).first()[0] or 0
+    source, state, checkpoint = (new_path(spark, f"stream-{x}") for x in ("responses", "state", "checkpoint"))
+    first = [d.withColumn("run_id", F.lit(0).cast("long")) for d in (s.sample, s.nodes)]
+    for part in range(3):
+        found.filter(F.floor(F.col("seq") * 3 / (last + 1)) == part).write.mode("append").parquet(source)
+        start(spark.readStream.schema(found.schema).parquet(source), state, checkpoint, sample=first).awaitTermination()
+    return state
+
+
+@query
+def stream_probes(spark, sf_dir):
+    return spark.read.parquet(f"{_streamed(spark, sf_dir)}/log").select("seq", "new_edges", "new_nodes")
+
+
+@query
+def stream_counts(spark, sf_dir):
+    from netprobe.streaming.probes import reward_counts as counts
+
+    return counts(spark, _streamed(spark, sf_dir)).select("node", "n")
+
+
 # Files: what is written is read back and compared with the table that it came from.
 
 

@@ -8,6 +8,9 @@ _V = {
     "s": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_quantity >= 35 AND b.l_quantity >= 35",
     "sn": "SELECT src AS node FROM s UNION SELECT dst FROM s",
     "gn": "SELECT src AS node FROM g UNION SELECT dst FROM g",
+    "al": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey",
+    "aln": "SELECT src AS node FROM al UNION SELECT dst FROM al",
+    "ala": "SELECT src, dst FROM al UNION ALL SELECT dst, src FROM al",
     "ga": "SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g",
     "sa": "SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s",
     "t": "SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#13'",
@@ -18,7 +21,7 @@ _V = {
     "n": "SELECT node, -1 AS seq FROM sn UNION ALL SELECT nbr, min(seq) FROM rev WHERE nbr NOT IN (SELECT node FROM sn) GROUP BY nbr",
     "ea": "SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e",
 }
-_NEEDS = {"sn": ["s"], "gn": ["g"], "ga": ["g"], "sa": ["s"], "pr": ["sn", "t"], "rev": ["pr", "ga"], "ne": ["rev", "s"], "e": ["s", "ne"], "n": ["sn", "rev"], "ea": ["e"]}
+_NEEDS = {"sn": ["s"], "gn": ["g"], "aln": ["al"], "ala": ["al"], "ga": ["g"], "sa": ["s"], "pr": ["sn", "t"], "rev": ["pr", "ga"], "ne": ["rev", "s"], "e": ["s", "ne"], "n": ["sn", "rev"], "ea": ["e"]}
 
 
 def _with(names: str, body: str, recursive: str = "") -> str:
@@ -56,10 +59,14 @@ def _comps(adj: str, nodes: str) -> str:
     return f"reach(node, root) AS (SELECT node, node FROM {nodes} UNION SELECT a.dst, r.root FROM reach r JOIN {adj} a ON a.src = r.node), comps AS (SELECT node, min(root) AS comp FROM reach GROUP BY node), sizes AS (SELECT comp, count(*) AS size FROM comps GROUP BY comp), sized AS (SELECT comp, size, {_norm('size', '1.0')} AS size_norm FROM sizes)"
 
 
-_EGO = f"""ego AS (SELECT d.node, d.degree, coalesce(t3.triangles, 0) AS triangles, coalesce(r.reach, 0) - 2 * coalesce(t3.triangles, 0) AS leaving, coalesce(p.n, 0) AS probed_nbrs
- FROM ({_degrees('sa', 'sn')}) d LEFT JOIN ({_per_node('s')}) t3 USING (node)
- LEFT JOIN (SELECT sa.src AS node, sum(d2.degree - 1) AS reach FROM sa JOIN ({_degrees('sa', 'sn')}) d2 ON d2.node = sa.dst GROUP BY sa.src) r USING (node)
- LEFT JOIN (SELECT dst AS node, count(*) AS n FROM sa WHERE src IN (SELECT node FROM pr) GROUP BY dst) p USING (node))"""
+def _ego(edges: str, adj: str, nodes: str) -> str:
+    return f"""ego AS (SELECT d.node, d.degree, coalesce(t3.triangles, 0) AS triangles, coalesce(r.reach, 0) - 2 * coalesce(t3.triangles, 0) AS leaving, coalesce(p.n, 0) AS probed_nbrs
+ FROM ({_degrees(adj, nodes)}) d LEFT JOIN ({_per_node(edges)}) t3 USING (node)
+ LEFT JOIN (SELECT {adj}.src AS node, sum(d2.degree - 1) AS reach FROM {adj} JOIN ({_degrees(adj, nodes)}) d2 ON d2.node = {adj}.dst GROUP BY {adj}.src) r USING (node)
+ LEFT JOIN (SELECT dst AS node, count(*) AS n FROM {adj} WHERE src IN (SELECT node FROM pr) GROUP BY dst) p USING (node))"""
+
+
+_EGO = _ego("s", "sa", "sn")
 _BASE = ["degree", "triangles", "leaving", "probed_nbrs"]
 _KINDS = {"sum": "sum({})", "median": "median({})", "min": "min({})", "max": "max({})"}
 _AGGS = [(f"{k}_{c}", f.format("b." + c)) for k, f in _KINDS.items() for c in _BASE]
@@ -109,6 +116,7 @@ ORACLE: dict[str, str] = {
     "probed_neighbors": _with("sa pr", "SELECT dst AS node, count(*) AS n FROM sa WHERE src IN (SELECT node FROM pr) GROUP BY dst"),
     "degree_minmax": _with("ea n", f"SELECT node, degree, round({_norm('degree')}, 6) AS degree_norm FROM ({_degrees('ea', 'n')})"),
     "clustering": _with("g ga gn", f"SELECT d.node, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0.0 END, 6) AS cc FROM ({_degrees('ga', 'gn')}) d LEFT JOIN ({_per_node('g')}) t3 USING (node)"),
+    "clustering_all_lines": _with("al ala aln", f"SELECT d.node, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0.0 END, 6) AS cc FROM ({_degrees('ala', 'aln')}) d LEFT JOIN ({_per_node('al')}) t3 USING (node)"),
     "components": _with("sa sn", "SELECT node, comp, size, round(size_norm, 6) AS size_norm FROM comps JOIN sized USING (comp)", _comps("sa", "sn")),
     "merge_components": _with("ea n", "SELECT node, comp, size FROM comps JOIN sizes USING (comp)", _comps("ea", "n")),
     "frac_probed": _with("sa sn pr", f"SELECT d.node, degree, coalesce(p.n, 0) AS probed_nbrs, round(CASE WHEN degree > 0 THEN coalesce(p.n, 0) / degree ELSE 0.0 END, 6) AS frac_probed FROM ({_degrees('sa', 'sn')}) d LEFT JOIN (SELECT dst AS node, count(*) AS n FROM sa WHERE src IN (SELECT node FROM pr) GROUP BY dst) p USING (node)"),
@@ -122,6 +130,8 @@ ORACLE: dict[str, str] = {
     "netdisc_features": _with("s sa sn pr t", "SELECT node, degree, round(degree_norm, 6) AS degree_norm, round(cc, 6) AS cc, round(size_norm, 6) AS size_norm, round(frac_probed, 6) AS frac_probed, target_nbrs FROM f",
         _comps("sa", "sn") + f", f AS (SELECT d.node, d.degree, {_norm('d.degree')} AS degree_norm, CASE WHEN d.degree > 1 THEN 2 * coalesce(t3.triangles, 0) / (d.degree * (d.degree - 1)) ELSE 0.0 END AS cc, z.size_norm, CASE WHEN d.degree > 0 THEN coalesce(p.n, 0) / d.degree ELSE 0.0 END AS frac_probed, coalesce(tn.n, 0) AS target_nbrs FROM ({_degrees('sa', 'sn')}) d LEFT JOIN ({_per_node('s')}) t3 USING (node) JOIN comps USING (node) JOIN sized z USING (comp) LEFT JOIN (SELECT dst AS node, count(*) AS n FROM sa WHERE src IN (SELECT node FROM pr) GROUP BY dst) p USING (node) LEFT JOIN (SELECT dst AS node, count(*) AS n FROM sa WHERE src IN (SELECT node FROM t) GROUP BY dst) tn USING (node))"),
     "refresh_features": _with("e ea n pr", f"SELECT d.node, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0.0 END, 6) AS cc, coalesce(p.n, 0) AS probed_nbrs FROM ({_degrees('ea', 'n')}) d LEFT JOIN ({_per_node('e')}) t3 USING (node) LEFT JOIN (SELECT dst AS node, count(*) AS n FROM ea WHERE src IN (SELECT node FROM pr) GROUP BY dst) p USING (node)"),
+    "refresh_knn": _with("ea n pr", "SELECT 1").removesuffix("SELECT 1") + f", d AS ({_degrees('ea', 'n')}), k AS (SELECT d.node, d.degree, coalesce(p.n, 0) AS probed_nbrs, coalesce(a.mean_degree, 0.0) AS mean_degree, coalesce(a.median_degree, 0.0) AS median_degree FROM d LEFT JOIN (SELECT dst AS node, count(*) AS n FROM ea WHERE src IN (SELECT node FROM pr) GROUP BY dst) p USING (node) LEFT JOIN (SELECT ea.src AS node, avg(d2.degree) AS mean_degree, median(d2.degree) AS median_degree FROM ea JOIN d d2 ON d2.node = ea.dst GROUP BY ea.src) a USING (node)) SELECT node, degree, probed_nbrs, round(mean_degree, 6) AS mean_degree, median_degree FROM k",
+    "refresh_refex": _with("e ea n pr", "SELECT 1").removesuffix("SELECT 1") + f", {_ego('e', 'ea', 'n')} SELECT node, degree, triangles, leaving::BIGINT AS leaving, probed_nbrs, {', '.join(f'coalesce({k}, 0.0) AS {k}' for k, _ in _AGGS)} FROM ego LEFT JOIN (SELECT ea.src AS node, {', '.join(f'{f}::DOUBLE AS {k}' for k, f in _AGGS)} FROM ea JOIN ego b ON b.node = ea.dst GROUP BY ea.src) USING (node)",
     "poly_features": _with("sa sn pr", f"SELECT node, 1.0::DOUBLE AS p0, degree::DOUBLE AS p1, n::DOUBLE AS p2, (degree * degree)::DOUBLE AS p3, (degree * n)::DOUBLE AS p4, (n * n)::DOUBLE AS p5 FROM (SELECT d.node, d.degree, coalesce(p.n, 0) AS n FROM ({_degrees('sa', 'sn')}) d LEFT JOIN (SELECT dst AS node, count(*) AS n FROM sa WHERE src IN (SELECT node FROM pr) GROUP BY dst) p USING (node))"),
     "log_bins": _with("ga gn", "SELECT node, degree, (SELECT min(b) FROM cuts WHERE cuts.edge >= dg.degree)::INT AS bin FROM dg",
         f"dg AS ({_degrees('ga', 'gn')}), h AS (SELECT degree, sum(count(*)) OVER (ORDER BY degree) AS upto FROM dg GROUP BY degree), tot AS (SELECT count(*) AS n FROM dg), cuts(b, edge, done) AS (SELECT 0, -1, 0::HUGEINT UNION ALL SELECT b + 1, (SELECT min(degree) FROM h WHERE upto >= c.done + ceil(0.5 * ((SELECT n FROM tot) - c.done))), (SELECT min(upto) FROM h WHERE upto >= c.done + ceil(0.5 * ((SELECT n FROM tot) - c.done))) FROM cuts c WHERE c.done < (SELECT n FROM tot))"),
@@ -147,12 +157,15 @@ ORACLE: dict[str, str] = {
     "curve_bands": f"WITH {_RUNS} SELECT grp::INT AS grp, k::INT AS k, probe::INT AS probe, probe::DOUBLE AS x, round(avg, 4) AS avg, round(avg - std, 4) AS low, round(avg + std, 4) AS high FROM curves WHERE probe < 5000 AND probe % 2 = 0",
     "run_grid": "SELECT policy, k, md5(policy || ':' || k) AS run_id, ('0x' || substr(md5(policy || ':' || k), 1, 8))::BIGINT AS seed FROM (SELECT DISTINCT event_type AS policy FROM events), (SELECT n_nationkey AS k FROM nation)",
     "transitivity": _with("g ga gn", f"SELECT t3 AS triangles, tr AS triples, round(3 * t3 / tr, 6) AS transitivity FROM (SELECT count(*) AS t3 FROM ({_triangles('g')})), (SELECT sum(degree * (degree - 1) // 2)::BIGINT AS tr FROM ({_degrees('ga', 'gn')}))"),
+    "transitivity_all_lines": _with("al ala aln", f"SELECT t3 AS triangles, tr AS triples, round(3 * t3 / tr, 6) AS transitivity FROM (SELECT count(*) AS t3 FROM ({_triangles('al')})), (SELECT sum(degree * (degree - 1) // 2)::BIGINT AS tr FROM ({_degrees('ala', 'aln')}))"),
     "modularity": _with("g ga", ", c AS (SELECT p_partkey AS node, p_brand AS comm FROM part) SELECT m, round(sum(l / m - (d / (2 * m))^2), 6) AS modularity FROM (SELECT count(*) AS m FROM g), (SELECT comm, count(*) AS d, (SELECT count(*) FROM g JOIN c x ON x.node = src JOIN c y ON y.node = dst WHERE x.comm = c.comm AND y.comm = c.comm) AS l FROM ga JOIN c ON c.node = ga.src GROUP BY comm) GROUP BY m"),
     "degree_histogram": _with("ga gn", f"SELECT degree, count(*) AS n FROM ({_degrees('ga', 'gn')}) GROUP BY degree"),
     "avg_degree": _with("ga gn", f"SELECT count(*) AS nodes, sum(degree)::BIGINT AS degrees, round(avg(degree), 6) AS avg_degree FROM ({_degrees('ga', 'gn')})"),
     "power_law": _with("ga gn", f", h AS (SELECT degree::DOUBLE AS x, count(*)::DOUBLE AS n FROM ({_degrees('ga', 'gn')}) WHERE degree > 0 GROUP BY degree), tl AS (SELECT x, n, sum(n) OVER (ORDER BY x DESC) AS size, sum(n * ln(x)) OVER (ORDER BY x DESC) AS logs FROM h), fit AS (SELECT x AS xmin, size, 1 + size / (logs - size * ln(x)) AS alpha FROM tl WHERE logs - size * ln(x) > 1e-9), ks AS (SELECT xmin, alpha, max(greatest(abs(th - be), abs(th - be - n / size))) AS ks FROM (SELECT xmin, alpha, fit.size, tl.n, 1 - pow(tl.x / xmin, 1 - alpha) AS th, 1 - tl.size / fit.size AS be FROM fit JOIN tl ON tl.x >= xmin) GROUP BY xmin, alpha) SELECT xmin, round(alpha, 6) AS alpha, round(ks, 6) AS ks FROM ks ORDER BY round(ks.ks, 12), xmin LIMIT 1"),
     "ols": "SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice, l_quantity), 3) AS coef, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem UNION ALL SELECT 'intercept', round(regr_intercept(l_extendedprice, l_quantity), 3), round(regr_r2(l_extendedprice, l_quantity), 6) FROM lineitem",
     "gram_sums": "SELECT a.i::INT AS i, b.i::INT AS j, round(sum(v[a.i + 1] * v[b.i + 1]), 2) AS s FROM (SELECT [1.0, l_quantity, l_discount, l_tax] AS v FROM lineitem), range(4) a(i), range(4) b(i) WHERE a.i <= b.i GROUP BY a.i, b.i",
+    "stream_probes": _with("pr ne n", "SELECT pr.seq, coalesce(fe.c, 0) AS new_edges, coalesce(fn.c, 0) AS new_nodes FROM pr LEFT JOIN (SELECT seq, count(*) AS c FROM ne GROUP BY seq) fe USING (seq) LEFT JOIN (SELECT seq, count(*) AS c FROM n WHERE seq >= 0 GROUP BY seq) fn USING (seq)"),
+    "stream_counts": _with("ne", "SELECT nbr AS node, count(*) AS n FROM ne GROUP BY nbr"),
     "stream_rewards": "SELECT user_id AS run_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id",
     "network_file": _with("s", "SELECT src, dst FROM s"),
     "edge_list_file": _with("g gn", "SELECT src, dst, (SELECT count(*) FROM gn) AS n_nodes FROM g"),

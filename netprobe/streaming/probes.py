@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,26 +21,51 @@ def _stored(spark, path: str, schema: str) -> DataFrame:  # noqa: ANN001
         return spark.createDataFrame([], schema)
 
 
-def stream_probes(responses: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append what each batch of responses newly reveals to ``path``/edges and ``path``/log.
+_EDGES = "run_id long, src long, dst long, seq int, nbr long, batch long"
+_NODES = "run_id long, node long, seq int, batch long"
+
+
+def stream_probes(responses: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, sample: Sequence[DataFrame] = ()) -> StreamingQuery:
+    """Append what each batch of responses newly reveals to ``path``/edges and ``path``/nodes, and what each probe
+    earned to ``path``/log (run_id, seq, new_edges, new_nodes).
 
-    A batch that is delivered again overwrites its own partition (batch=<id>), so each counts once.
-    Shared discoveries of a batch belong to the lower seq; those of earlier batches are left out."""
-    edge_schema, log_schema = "run_id long, src long, dst long, seq int, batch long", "run_id long, seq int, new_edges long, batch long"
+    ``sample``: the observed edges (run_id, src, dst) and nodes (run_id, node) of the start, stored as batch -1.
+    A batch that is delivered again overwrites its own partition (batch=<id>), so each counts once. Shared
+    discoveries of a batch belong to the lower seq; those of earlier batches are left out. A node that is probed
+    before a response names it was known. Rows with a null are left out, repeated ones count once."""
+    if sample:
+        edges, nodes = sample
+        given = edges.select("run_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.lit(-1).alias("seq"), F.lit(None).cast("long").alias("nbr"))
+        given.write.mode("overwrite").parquet(f"{path}/edges/batch=-1")
+        nodes.select("run_id", "node", F.lit(-1).alias("seq")).write.mode("overwrite").parquet(f"{path}/nodes/batch=-1")
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = _stored(spark, f"{path}/edges", edge_schema).filter(F.col("batch") < batch_id)
-        ends = batch.select("run_id", "seq", F.least("node", "nbr").alias("src"), F.greatest("node", "nbr").alias("dst"))
-        new = ends.join(seen.select("run_id", "src", "dst"), ["run_id", "src", "dst"], "left_anti").groupBy("run_id", "src", "dst").agg(F.min("seq").alias("seq"))
-        new.write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
-        own = spark.read.parquet(f"{path}/edges/batch={batch_id}").groupBy("run_id", "seq").agg(F.count("*").alias("new_edges"))
-        all_probes = batch.select("run_id", "seq").distinct().join(own, ["run_id", "seq"], "left").na.fill(0, ["new_edges"])
-        all_probes.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        batch = batch.select("run_id", "seq", "node", "nbr").na.drop().persist()
+        edges = _stored(spark, f"{path}/edges", _EDGES).filter(F.col("batch") < batch_id)
+        ends = batch.withColumns({"src": F.least("node", "nbr"), "dst": F.greatest("node", "nbr")})
+        new = ends.join(edges.select("run_id", "src", "dst"), ["run_id", "src", "dst"], "left_anti").groupBy("run_id", "src", "dst").agg(F.min(F.struct("seq", "nbr")).alias("_f"))
+        new.select("run_id", "src", "dst", "_f.*").write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
+        nodes = _stored(spark, f"{path}/nodes", _NODES).filter(F.col("batch") < batch_id)
+        named = batch.select("run_id", F.explode(F.array(F.struct("node", F.col("seq").alias("at"), F.lit(-1).alias("seq")), F.struct(F.col("nbr").alias("node"), F.col("seq").alias("at"), "seq"))).alias("_n")).select("run_id", "_n.*")
+        first = named.join(nodes.select("run_id", "node"), ["run_id", "node"], "left_anti").groupBy("run_id", "node").agg(F.min(F.struct("at", "seq"))["seq"].alias("seq"))
+        first.write.mode("overwrite").parquet(f"{path}/nodes/batch={batch_id}")
+        log = batch.select("run_id", "seq").distinct()
+        for kind in ("edges", "nodes"):
+            own = spark.read.parquet(f"{path}/{kind}/batch={batch_id}").groupBy("run_id", "seq").agg(F.count("*").alias(f"new_{kind}"))
+            log = log.join(own, ["run_id", "seq"], "left").na.fill(0, [f"new_{kind}"])
+        log.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        batch.unpersist()
 
     return responses.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def reward_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, node, n): edges that probing others has newly revealed to each node, from the state under ``path``."""
+    found = _stored(spark, f"{path}/edges", _EDGES).filter("seq >= 0")
+    return found.groupBy("run_id", F.col("nbr").alias("node")).agg(F.count("*").alias("n"))
+
+
 def stream_rewards(log: DataFrame) -> DataFrame:
     """Running number and sum of rewards by run, of a stream (run_id, reward); exact, so without a watermark."""
     return log.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("reward").alias("total"))

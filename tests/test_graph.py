@@ -69,15 +69,40 @@ def test_heavy_tailed_graph_has_each_triangle_once(spark):
     assert netstats.transitivity(edges).first().triangles == 198
 
 
-def test_refresh_equals_recompute(toy):
+@pytest.mark.parametrize("kind", ["default", "knn", "refex"])
+def test_refresh_equals_recompute(spark, toy, kind):
     complete, sample, nodes, probes = toy
+    path = spark.createDataFrame([(i, i + 1) for i in range(20, 40)] + [(20, 22), (25, 28), (30, 33), (33, 35)], "src long, dst long")
+    far = spark.createDataFrame([(26, 29), (26, 31)], "src long, dst long")
+    complete, sample = complete.unionByName(path).unionByName(far), sample.unionByName(path)
+    nodes = graph.node_set(sample).unionByName(nodes.filter("node = 4"))
+    probes = probes.unionByName(spark.createDataFrame([(26, 3)], "node long, seq int"))
     edges, observed = probing.probe(complete, *probing.init_state(sample, nodes), probes)
-    old = features.clustering(sample, nodes).withColumn("probed_nbrs", F.lit(0).cast("long"))
-    changed = graph.node_set(edges.filter("seq >= 0")).unionByName(probes.select("node")).distinct()
-    fresh = features.refresh_raw(old, edges.select("src", "dst"), observed.select("node"), probes, changed)
-    full = features.clustering(edges, observed).join(features.frac_probed(edges, observed, probes).select("node", "probed_nbrs"), "node")
-    columns = ("node", "degree", "triangles", "cc", "probed_nbrs")
-    assert rows(fresh, *columns) == rows(full, *columns)
+    old = features.raw_features(kind, sample, nodes, probes.filter("false"))
+    fresh = features.refresh_raw(old, edges.select("src", "dst"), observed.select("node"), probes, probes.select("node"), kind)
+    full = features.raw_features(kind, edges, observed, probes)
+    assert rows(fresh, *full.columns) == rows(full, *full.columns)
+    kept = graph.ego_nodes(edges, probes, features.REACH[kind])
+    assert kept.count() < observed.count()  # some rows are kept
+
+
+def test_bins_of_many_values(spark):
+    values = [None, 0.5, 0.5, 1.25, 2.0, 7.0, 9.5, 9.5, 20.0]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = {r.x: r.bin for r in features.log_bins(df, "x").collect()}
+    assert got == {None: None} | _bins([x for x in values if x is not None])
+    assert features.log_bins(df.filter("false"), "x").count() == 0
+
+
+def _bins(values, p=0.5):
+    """Brute force: the lowest share p of what is left, with ties."""
+    left, out, number = sorted(values), {}, 0
+    while left:
+        number += 1
+        edge = left[math.ceil(p * len(left)) - 1]
+        out |= {x: number for x in left if x <= edge}
+        left = [x for x in left if x > edge]
+    return out
 
 
 def test_growth_by_one_is_the_sequential_order(toy):
@@ -300,7 +325,12 @@ def test_streams(spark, tmp_path):
     source = spark.readStream.schema(stream.RESPONSES).parquet(str(tmp_path / "in"))
     for _ in range(2):  # a second run finds nothing new
         stream.stream_probes(source, str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "state/log")), "run_id", "seq", "new_edges") == [(0, 0, 1), (0, 1, 1), (1, 0, 1)]
+    # node 1 was known to its prober, node 2 before it is probed itself
+    assert rows(spark.read.parquet(str(tmp_path / "state/log")), "run_id", "seq", "new_edges", "new_nodes") == [(0, 0, 1, 1), (0, 1, 1, 1), (1, 0, 1, 1)]
+    assert rows(stream.reward_counts(spark, str(tmp_path / "state")), "run_id", "node", "n") == [(0, 2, 1), (0, 3, 1), (1, 2, 1)]
+    known = [spark.createDataFrame([(0, 2, 1)], "run_id long, src long, dst long"), spark.createDataFrame([(0, 1), (0, 2)], "run_id long, node long")]
+    stream.stream_probes(source, str(tmp_path / "given"), str(tmp_path / "c3"), sample=known).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "given/log")), "run_id", "seq", "new_edges", "new_nodes") == [(0, 0, 0, 0), (0, 1, 1, 1), (1, 0, 1, 1)]
     log = spark.readStream.schema(stream.RESPONSES).parquet(str(tmp_path / "in")).select("run_id", F.lit(2.0).alias("reward"))
     stream.run_to_table(stream.stream_rewards(log), str(tmp_path / "sums"), str(tmp_path / "c2")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "sums")), "run_id", "n", "total") == [(0, 3, 6.0), (1, 1, 2.0)]
