@@ -5,25 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netprobe.functions.hashing import uniform
-from netprobe.functions.tables import materialize
-from netprobe.operators.graph import neighbor_sets
+from netprobe.functions.hashing import hash_int, uniform
+from netprobe.functions.tables import Parts, materialize
+from netprobe.operators.graph import neighbor_places
+
+
+#: Draws that a walker makes in one round of rejection sampling.
+TRIES = 4
 
 
 def node2vec_walks(edges: DataFrame, length: int = 3, per_node: int = 2, p: float = 0.3, q: float = 1.0, seed: int = 0) -> DataFrame:
     """(walker, path): second-order walks from every node. The weight of a step is 1/p back, 1 to a
-    neighbour of the node before, 1/q elsewhere."""
-    nbrs = materialize(neighbor_sets(edges), "walk-nbrs")
-    walkers = nbrs.select(F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("turn"), "node")
-    now = walkers.select(F.concat_ws(":", "node", "turn").alias("walker"), F.array("node").alias("path"), "node", F.lit(None).cast(nbrs.schema["node"].dataType).alias("prev"), F.array().cast(nbrs.schema["nbrs"].dataType).alias("prev_nbrs"))
+    neighbour of the node before, 1/q elsewhere.
+
+    A step is drawn from the places of the node's neighbours and accepted by its weight over the largest one; what
+    1/p exceeds that by is drawn apart. Walkers that accept none of their draws go on to another round, which share
+    does not depend on the graph. Neighbours are rows, so no list of a hub is copied to its walkers."""
+    places, counts = neighbor_places(edges)
+    adjacent = places.select(F.col("node").alias("prev"), "nbr", F.lit(True).alias("near"))
+    walkers = counts.select(F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("turn"), "node")
+    now = walkers.select(F.concat_ws(":", "node", "turn").alias("walker"), F.array("node").alias("path"), "node", F.lit(None).cast(counts.schema["node"].dataType).alias("prev"))
+    top = max(1.0, 1 / q)
+    extra = max(0.0, 1 / p - top)
+    draw = lambda f, what, step: f(seed, what, F.col("walker"), step, F.col("t"))
     for step in range(1, length + 1):
-        here = now.join(nbrs, "node")
-        weight = F.transform("nbrs", lambda v: F.when(v.eqNullSafe(F.col("prev")), 1 / p).when(F.array_contains("prev_nbrs", v) | F.col("prev").isNull(), 1.0).otherwise(1 / q))
-        here = here.withColumn("w", weight)
-        here = here.withColumn("run", F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.aggregate(F.slice("w", 1, k), F.lit(0.0), lambda a, x: a + x)))
-        at = uniform(seed, F.col("walker"), step) * F.element_at("run", -1)
-        here = here.withColumn("next", F.get("nbrs", F.least(F.size(F.filter("run", lambda r: r <= at)), F.size("nbrs") - 1)))
-        now = materialize(here.select("walker", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("node"), F.col("node").alias("prev"), F.col("nbrs").alias("prev_nbrs")), "walk-step")
+        here = materialize(now.join(counts, "node"), "walk-here")
+        left, found, t = here, None, 0
+        while found is None or not left.isEmpty():
+            own = left.withColumn("t", F.explode(F.sequence(F.lit(t), F.lit(t + TRIES - 1))))
+            back = F.col("prev").isNotNull() & (draw(uniform, "back", step) * (extra + top * F.col("degree")) < extra)
+            own = own.select("walker", "node", "prev", "t", F.when(~back, draw(hash_int, "place", step) % F.col("degree")).alias("place"))
+            own = own.join(places, ["node", "place"], "left")
+            other = F.lit(1.0)
+            if q != 1:
+                own = own.join(adjacent, ["prev", "nbr"], "left")
+                other = F.when(F.col("near"), 1.0).otherwise(1 / q)
+            weight = F.when(F.col("prev").isNull() | F.col("nbr").isNull(), top).when(F.col("nbr") == F.col("prev"), min(1 / p, top)).otherwise(other)
+            taken = own.filter(draw(uniform, "take", step) * top < weight)
+            taken = taken.groupBy("walker").agg(F.min(F.struct("t", F.coalesce("nbr", "prev").alias("next")))["next"].alias("next"))
+            found = Parts(edges.sparkSession, "walk-taken").add(taken) if found is None else found.add(taken)
+            left, t = materialize(here.join(found.read(), "walker", "left_anti"), "walk-left"), t + TRIES
+        now = here.join(found.read(), "walker").select("walker", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("node"), F.col("node").alias("prev"))
     return now.select("walker", "path")
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netprobe.functions.tables import materialize
+
 
 def canonical_edges(edges: DataFrame, by: Sequence[str] = (), drop_loops: bool = True) -> DataFrame:
     """Each undirected edge once, src < dst."""
@@ -33,6 +36,24 @@ def neighbor_sets(edges: DataFrame, nodes: DataFrame | None = None, by: Sequence
     return nodes.select(*by, "node").join(found, [*by, "node"], "left").withColumn("nbrs", F.coalesce("nbrs", F.array().cast(found.schema["nbrs"].dataType)))
 
 
+def neighbor_places(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, place, nbr), each node's neighbours numbered from 0 in their order, and (node, degree).
+
+    Rows are numbered within ranges of (node, nbr), so a hub's neighbours may lie in many of them."""
+    adj = symmetrize(edges).repartitionByRange("src", "dst").withColumn("_range", F.spark_partition_id())
+    adj = materialize(adj, "place-ranges")
+    sizes = adj.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_range").orderBy("src", "dst")) - 1
+    rows = materialize(adj.join(before, "_range").select(F.col("src").alias("node"), F.col("dst").alias("nbr"), (F.col("_before") + own).alias("_at")), "place-rows")
+    counts = rows.groupBy("node").agg(F.min("_at").alias("_first"), F.count("*").alias("degree"))
+    places = materialize(rows.join(counts, "node").select("node", (F.col("_at") - F.col("_first")).alias("place"), "nbr"), "places")
+    counts = counts.select("node", "degree")
+    if nodes is not None:
+        counts = nodes.select("node").distinct().join(counts, "node", "full").na.fill(0, ["degree"])
+    return places, materialize(counts, "place-counts")
+
+
 def singletons(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return nodes.join(node_set(edges, by=by), [*by, "node"], "left_anti")
 

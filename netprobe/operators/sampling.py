@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netprobe.functions.hashing import hash_int, hash_key, uniform
 from netprobe.functions.tables import materialize
-from netprobe.operators.graph import canonical_edges, ego_expand, neighbor_sets, node_set
+from netprobe.operators.graph import canonical_edges, ego_expand, neighbor_places, node_set
 
 #: Ranks are counted in groups of leading hash bits, so that no task sorts all rows.
 _GROUP = 4096
@@ -56,18 +56,19 @@ def seed_sample(edges: DataFrame, holders: DataFrame, k: int, seed: int = 0) ->
 
 
 def _mover(edges: DataFrame, jump: float, seed: int, nodes: DataFrame | None) -> Callable[[DataFrame, int], DataFrame]:
-    nbrs = materialize(neighbor_sets(edges, nodes), "walk-nbrs")
-    places = materialize(dense_rank_by(nbrs.select("node"), hash_key(seed, "place", F.col("node")), "place"), "walk-places")
+    nbrs, counts = neighbor_places(edges, nodes)
+    places = materialize(dense_rank_by(counts.select("node"), hash_key(seed, "place", F.col("node")), "place"), "walk-places")
     n = places.count()
 
     def move(now: DataFrame, step: int) -> DataFrame:
-        drawn = now.join(nbrs, "node").withColumn("k", F.size("nbrs"))
+        drawn = now.join(counts.select("node", F.col("degree").alias("k")), "node")
         leave = (uniform(seed, "jump", F.col("walker"), step) < jump) | (F.col("k") == 0)
         place = (hash_int(seed, "to", F.col("walker"), step) % n).cast("int")
-        pick = F.get("nbrs", (hash_int(seed, "nbr", F.col("walker"), step) % F.greatest("k", F.lit(1))).cast("int"))
-        drawn = drawn.select("walker", leave.cast("int").alias("jumped"), F.when(leave, place).alias("place"), F.when(~leave, pick).alias("next"))
-        moved = drawn.join(places.withColumnRenamed("node", "landed"), "place", "left")
-        return materialize(moved.select("walker", F.coalesce("next", "landed").alias("node"), F.lit(step).alias("step"), "jumped"), "walk-step")
+        pick = hash_int(seed, "nbr", F.col("walker"), step) % F.greatest("k", F.lit(1))
+        drawn = drawn.select("walker", "node", leave.cast("int").alias("jumped"), F.when(leave, place).alias("to"), F.when(~leave, pick).alias("place"))
+        moved = drawn.join(nbrs, ["node", "place"], "left").select("walker", "jumped", "to", "nbr")
+        moved = moved.join(places.select(F.col("place").alias("to"), F.col("node").alias("landed")), "to", "left")
+        return materialize(moved.select("walker", F.coalesce("nbr", "landed").alias("node"), F.lit(step).alias("step"), "jumped"), "walk-step")
 
     return move
 

@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from netprobe.operators import features, graph, growth, learning, netstats, policies, probing, runs, sampling
+from netprobe.operators import embeddings, features, graph, growth, learning, netstats, policies, probing, runs, sampling
 from netprobe.operators.components import connected_components
 from netprobe.sources import readers, writers
 
@@ -286,6 +286,62 @@ def test_communities_find_two_cliques(spark):
     assert netstats.modularity(df, parts).first().modularity > 0.3
 
 
+def test_places_number_the_neighbours(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(5, 6)], "src long, dst long")
+    places, counts = graph.neighbor_places(edges, spark.createDataFrame([(900,), (0,)], "node long"))
+    assert rows(places.filter("node = 0"), "place", "nbr") == [(i, i + 1) for i in range(299)]
+    assert rows(places.filter("node = 5"), "place", "nbr") == [(0, 0), (1, 6)]
+    assert rows(counts.filter("node IN (0, 5, 900)"), "node", "degree") == [(0, 299), (5, 2), (900, 0)]
+
+
+@pytest.mark.parametrize(("p", "q"), [(0.3, 1.0), (0.5, 2.0), (4.0, 0.5)])
+def test_second_steps_follow_the_weights(spark, p, q):
+    pairs = [(1, 2), (1, 3), (2, 3), (3, 4), (3, 5), (4, 5), (5, 6), (2, 6)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    paths = [r.path for r in embeddings.node2vec_walks(edges, 2, 2000, p, q, 4).collect()]
+    adj = {n: {b for a, b in pairs if a == n} | {a for a, b in pairs if b == n} for n in range(1, 7)}
+    assert len(paths) == 12000 and all(b in adj[a] and c in adj[b] for a, b, c in paths)
+    for first in adj:
+        for second in adj[first]:
+            after = [c for a, b, c in paths if (a, b) == (first, second)]
+            weight = {c: 1 / p if c == first else 1.0 if c in adj[first] else 1 / q for c in adj[second]}
+            for c, w in weight.items():
+                share = w / sum(weight.values())
+                assert abs(after.count(c) / len(after) - share) < 5 * math.sqrt(share * (1 - share) / len(after)) + 1e-9
+
+
+def test_embeddings_tell_two_cliques_apart(spark):
+    import numpy as np
+
+    pairs = [(a + k, b + k) for k in (0, 10) for a in range(8) for b in range(a + 1, 8)] + [(0, 10)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    vectors = embeddings.node2vec_features(edges, 8, seed=2, length=12, per_node=30)
+    all_rows = embeddings.embedding_or_ones(spark.createDataFrame([(str(n),) for n in (*range(8), *range(10, 18), 99)], "node string"), vectors, 8)
+    got = {int(r.node): np.array(r.vec) for r in all_rows.collect()}
+    assert len(got) == 17 and got.pop(99).tolist() == [1.0] * 8
+    near = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
+    within = np.mean([near(a, b) for a in got for b in got if a < b and (a < 10) == (b < 10)])
+    across = np.mean([near(a, b) for a in got for b in got if a < 10 <= b])
+    assert within > across + 0.1
+
+
+def test_positive_unlabelled(spark):
+    """The share of positives among unlabelled rows comes out, though only positives are labelled."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    truth = np.arange(2400) % 3 == 0
+    x = rng.normal(size=(2400, 2)) + np.where(truth, 3.0, -1.0)[:, None]
+    data = [(i, [float(u) for u in x[i]], bool(truth[i])) for i in range(2400)]
+    df = spark.createDataFrame(data, "id long, features array<double>, truth boolean")
+    labelled = df.filter("truth AND id % 2 = 0").select("id", "features")
+    rest = df.filter("NOT (truth AND id % 2 = 0)").select("id", "features")
+    got = {r.id: r.value for r in learning.score_positive_unlabelled(rest, labelled, seed=1).collect()}
+    assert len(got) == 2000 and all(0 <= value <= 1 for value in got.values())
+    hidden, negative = (np.mean([v for i, v in got.items() if truth[i] == side]) for side in (True, False))
+    assert hidden > 0.8 and negative < 0.1
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "net.txt").write_text("# head\na b c\nb a\nd\n\nc c\ne f {'w': 1} g\nx # y z\n")
     nodes, edges = readers.read_network(spark, str(tmp_path / "net.txt"))
