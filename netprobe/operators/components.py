@@ -1,4 +1,4 @@
-"""Connected components by least labels and pointer jumping."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
@@ -11,22 +11,28 @@ from netprobe.functions.tables import materialize
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, comp): comp is the least node reachable over ``edges`` (src, dst; either direction).
 
-    Each round takes the least label among neighbours, then the label of that label, and is written
-    out, so the plan does not grow; rounds grow with the logarithm of the longest path, as a rule."""
+    Each round, a node that has a neighbour of a lower hash (drawn anew each round) joins the lowest one, and the edges
+    are drawn between what is left; so a round leaves a fixed share at most of the nodes that still have edges, in
+    expectation, and a hub is gone after a few. The rounds' tables shrink, and are joined from the last to the first."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = materialize(both.filter("src <> dst").distinct(), "cc-edges")
-    labels = both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("comp"))
-    labels = materialize(labels, "cc-labels")
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("low"))
-        lower = labels.join(seen, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
-        lower = materialize(lower, "cc-lower")
-        up = lower.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        step = lower.join(up, "comp").select("node", "was", F.col("above").alias("comp"))
-        step = materialize(step, "cc-labels")
-        labels = step.select("node", "comp")
-        if step.filter("comp <> was").isEmpty():
-            break
+    rounds: list[DataFrame] = []
+    while not both.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("n"))
+        lowest = both.groupBy("src").agg(F.min(rank("dst")).alias("_low"))
+        to = materialize(lowest.select(F.col("src").alias("node"), F.least("_low", rank("src"))["n"].alias("to")), "cc-round")
+        rounds.append(to)
+        ends = both.join(to.select(F.col("node").alias("src"), F.col("to").alias("a")), "src").join(to.select(F.col("node").alias("dst"), F.col("to").alias("b")), "dst")
+        both = materialize(ends.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "cc-edges")
+    if not rounds:
+        labels = both.select(F.col("src").alias("node"), F.col("src").alias("comp"))
+    else:
+        labels = rounds[-1].withColumnRenamed("to", "root")
+        for to in reversed(rounds[:-1]):  # what joined in an earlier round goes where its target went later
+            later = labels.select(F.col("node").alias("to"), F.col("root").alias("_later"))
+            labels = materialize(to.join(later, "to", "left").select("node", F.coalesce("_later", "to").alias("root")), "cc-labels")
+        least = labels.groupBy("root").agg(F.min("node").alias("comp"))
+        labels = labels.join(least, "root").select("node", "comp")
     if nodes is None:
         return labels
     return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))

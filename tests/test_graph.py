@@ -60,6 +60,27 @@ def test_components_of_a_long_path(spark):
     assert connected_components(path.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 400])
+def test_components_against_brute_force(spark, n):
+    import random
+
+    rng = random.Random(n)
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)] + [(n, n + i) for i in range(1, n)] + [(7, 7)]
+    of = {x: x for e in pairs for x in e}
+    for _ in of:
+        moved = dict(of)
+        for a, b in pairs:
+            moved[a] = moved[b] = min(moved[a], moved[b])
+        if moved == of:
+            break
+        of = moved
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    got = {r.node: r.comp for r in connected_components(edges, graph.node_set(edges)).collect()}
+    assert got == of
+    named = edges.select(*[F.concat(F.lit("n"), F.lpad(c, 5, "0")).alias(c) for c in ("src", "dst")])
+    assert {int(r.node[1:]): int(r.comp[1:]) for r in connected_components(named, graph.node_set(named)).collect()} == of
+
+
 def test_heavy_tailed_graph_has_each_triangle_once(spark):
     star = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1, 199)]
     edges = spark.createDataFrame(star, "src long, dst long")
