@@ -32,16 +32,20 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside windows of 8 words that the text holds twice or more.
+def _joined(hashes: Column, k: int) -> Column:
+    """Hashes of runs of 2k words from those of runs of k words: each is hashed with the one k places on."""
+    n = F.greatest(F.size(hashes) - k, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, k + 1, n), lambda x, y: F.xxhash64(x, y))
 
-    Hashes of all windows settle the common case (all distinct); only texts with equal hashes sort
+
+def _repeat_words(words: Column, hashes: Column) -> Column:
+    """Words inside windows of 8 words that the text holds twice or more; ``hashes``: those of all windows.
+
+    Hashes settle the common case (all distinct); only texts with equal hashes sort
     them, compare the words of neighbours, and measure the union of the flagged windows."""
     n = F.size(words)
     window = lambda i: F.slice(words, i, WINDOW)
-    starts = F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1)))
-    hashed = F.transform(starts, lambda i: F.xxhash64(window(i)))
-    ranked = F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(window(i)).alias("h"), i.alias("i"))))
+    ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))
 
     def flagged(pairs: Column) -> Column:
         def same(p: Column, q: Column) -> Column:
@@ -57,7 +61,7 @@ def _repeat_words(words: Column) -> Column:
 
     # an array of one holds the sorted windows, so that they are made once and not per use
     exact = F.get(F.transform(F.array(ranked), lambda pairs: covered(flagged(pairs))), F.lit(0))
-    return F.when(n <= WINDOW, 0).when(F.size(F.array_distinct(hashed)) == F.size(hashed), 0).otherwise(exact).cast("long")
+    return F.when(n <= WINDOW, 0).when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(exact).cast("long")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -67,6 +71,9 @@ def measure(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda line: F.trim(line, F.lit(WS_CHARS)) != "")
     stops = sorted(set(STOP_WORDS))
     out = docs.withColumn("_text", text).withColumns({"_words": once(words_of(F.col("_text"))), "_lines": once(lines)})
+    out = out.withColumn("_windows", once(F.transform(words, lambda w: F.xxhash64(w))))
+    for k in (1, 2, 4):  # runs of 1, 2 and 4 words make those of WINDOW
+        out = out.withColumn("_windows", once(_joined(F.col("_windows"), k)))
     return out.withColumns(
         {
             "n_words": F.size(words).cast("long"),
@@ -76,9 +83,9 @@ def measure(docs: DataFrame) -> DataFrame:
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_stops": F.size(F.filter(words, lambda w: F.lower(w).isin(stops))).cast("long"),
-            "n_repeat_words": _repeat_words(words),
+            "n_repeat_words": _repeat_words(words, F.col("_windows")),
         }
-    ).drop("_text", "_words", "_lines")
+    ).drop("_text", "_words", "_lines", "_windows")
 
 
 def _ratio(top: str, bottom: str) -> Column:
