@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netprobe.llm import langid, licenses, lmscore, media, mixing, neardup, packing, quality, tokenfiles, urlfilter
+from netprobe.llm import dialogue, langid, licenses, lmscore, media, mixing, neardup, packing, quality, spelling, tokenfiles, topk, urlfilter
 from netprobe.llm.common import read_table
 
 
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": urlfilter.query,
         "op9_token_files": _documents(tokenfiles.query),
         "op10_minhash_neardup": _documents(neardup.query),
+        "op11_exact_topk": topk.query,
+        "op12_spelling_variants": _documents(spelling.query),
+        "op13_dialogue_repair": dialogue.query,
     }
 
 
@@ -34,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": licenses.ORACLE,
         "op6_quality_rules": quality.ORACLE,
         "op8_url_filter": urlfilter.ORACLE,
+        "op11_exact_topk": topk.ORACLE,
     }
