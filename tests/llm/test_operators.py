@@ -361,7 +361,7 @@ def test_units_are_found_by_the_whole_document():
     rng = np.random.default_rng(2)
     body = rng.integers(100, 5000, 1024)
     texts = [np.append(body, [7, 8]), np.append(rng.integers(6000, 9000, 1024), [7, 9]), np.append(body, [10, 11])]
-    first = next(iter(packing.fill([t[1024:] for t in texts], 4, texts)))
+    first = next(packing.fill(np.array([len(t) - 1024 for t in texts]), packing.Index(*laid_out(texts)), 4))
     assert [u for u, _, _ in first] == [0, 2]
 
 
