@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Folders that this process made, oldest first.
 _MADE: list[str] = []
@@ -69,3 +71,40 @@ class Parts:
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
+
+
+class Buckets(Parts):
+    """A table that grows by parts, in folders by the hash of one column: rows of some keys are read from their
+    folders alone. After ``COMPACT`` parts it is written anew, so that the number of its files stays bounded."""
+
+    N, COMPACT = 32, 32
+
+    def __init__(self, spark: SparkSession, label: str, key: str) -> None:
+        super().__init__(spark, label)
+        self.label, self.key, self.parts = label, key, 0
+
+    def _of(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.N)).cast("int")
+
+    def _write(self, df: DataFrame) -> None:
+        df.withColumn("_bucket", self._of(self.key)).hint("rebalance", "_bucket").write.mode("append").partitionBy("_bucket").parquet(self.path)
+        self.parts += 1
+
+    def add(self, df: DataFrame) -> Buckets:
+        self.schema = self.schema or df.schema
+        if self.parts == self.COMPACT:
+            old, self.path, self.parts = self.read(), new_path(self.spark, self.label), 0
+            self._write(old)
+        self._write(df.select(*self.columns))
+        return self
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("_bucket", IntegerType())])).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self._read().drop("_bucket")
+
+    def near(self, keys: DataFrame) -> DataFrame:
+        """The rows of all buckets that a key of ``keys`` (its column named as this table's) is in."""
+        touched = [r[0] for r in keys.select(self._of(self.key).alias("b")).distinct().collect()]  # N at most
+        return self._read().filter(F.col("_bucket").isin(touched)).drop("_bucket")

@@ -65,14 +65,16 @@ def component_sizes(comps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return comps.join(min_max(sizes, ["size"], by, 1.0), [*by, "comp"]).select(*by, "node", "comp", "size", "size_norm")
 
 
-def merge_components(comps: DataFrame, new_edges: DataFrame, new_nodes: DataFrame) -> DataFrame:
+def merge_components(comps: DataFrame, new_edges: DataFrame, new_nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Components after new edges and nodes: only labels that the new edges touch are joined anew."""
-    known = comps.select("node", "comp").unionByName(new_nodes.select("node", F.col("node").alias("comp")))
-    one = known.select(F.col("node").alias("src"), F.col("comp").alias("a"))
-    two = known.select(F.col("node").alias("dst"), F.col("comp").alias("b"))
-    links = new_edges.select("src", "dst").join(one, "src").join(two, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).filter("src <> dst").distinct()
-    moved = connected_components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return known.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    known = comps.select(*by, "node", "comp").unionByName(new_nodes.select(*by, "node", F.col("node").alias("comp")))
+    label = lambda c: F.struct(*by, F.col(c).alias("comp"))  # noqa: E731  a run's labels are its own
+    one = known.select(*by, F.col("node").alias("src"), F.col("comp").alias("a"))
+    two = known.select(*by, F.col("node").alias("dst"), F.col("comp").alias("b"))
+    ends = new_edges.select(*by, "src", "dst").join(one, [*by, "src"]).join(two, [*by, "dst"])
+    links = ends.filter("a <> b").select(label("a").alias("src"), label("b").alias("dst")).distinct()
+    moved = connected_components(links).select("node.*", F.col("comp.comp").alias("to"))
+    return known.join(moved, [*by, "comp"], "left").select(*by, "node", F.coalesce("to", "comp").alias("comp"))
 
 
 def frac_probed(edges: DataFrame, nodes: DataFrame, probes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -177,29 +179,29 @@ RAW = {
 }
 
 
-def raw_features(kind: str, edges: DataFrame, nodes: DataFrame, probes: DataFrame) -> DataFrame:
+def raw_features(kind: str, edges: DataFrame, nodes: DataFrame, probes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(node, the columns of ``RAW[kind]``)."""
     if kind == "knn":
-        out = knn_raw(edges, nodes, probes)
+        out = knn_raw(edges, nodes, probes, by)
     elif kind == "refex":
-        out = refex_raw(edges, nodes, probes)
+        out = refex_raw(edges, nodes, probes, by)
     else:
-        found = probed_neighbors(edges, probes).withColumnRenamed("n", "probed_nbrs")
-        out = clustering(edges, nodes).join(found, "node", "left").na.fill(0, ["probed_nbrs"])
-    return out.select("node", *RAW[kind])
+        found = probed_neighbors(edges, probes, by).withColumnRenamed("n", "probed_nbrs")
+        out = clustering(edges, nodes, by).join(found, [*by, "node"], "left").na.fill(0, ["probed_nbrs"])
+    return out.select(*by, "node", *RAW[kind])
 
 
-def refresh_raw(old: DataFrame, after: DataFrame, nodes: DataFrame, probes: DataFrame, changed: DataFrame, kind: str = "default") -> DataFrame:
+def refresh_raw(old: DataFrame, after: DataFrame, nodes: DataFrame, probes: DataFrame, changed: DataFrame, kind: str = "default", by: Sequence[str] = ()) -> DataFrame:
     """Raw features of the set ``kind`` after probes: only nodes within its reach of a changed (probed) one are
     made anew, from the edges around them; all others keep their old row."""
-    affected = materialize(ego_nodes(after, changed, REACH[kind]).join(nodes, "node", "left_semi"), "refresh-affected")
+    affected = materialize(ego_nodes(after, changed, REACH[kind], by).join(nodes, [*by, "node"], "left_semi"), "refresh-affected")
     # a row depends on its neighbours' rows, and these on edges a step less far than the reach
-    rim = materialize(ego_nodes(after, affected, max(1, REACH[kind] - 1)), "refresh-rim")
-    own = rim.select(F.col("node").alias("src"))
-    near = symmetrize(after).join(own, "src", "left_semi").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    rim = materialize(ego_nodes(after, affected, max(1, REACH[kind] - 1), by), "refresh-rim")
+    own = rim.select(*by, F.col("node").alias("src"))
+    near = symmetrize(after, by).join(own, [*by, "src"], "left_semi").select(*by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     near = materialize(near, "refresh-edges")
-    fresh = raw_features(kind, near, rim, probes).join(affected, "node", "left_semi")
-    return old.join(affected, "node", "left_anti").select("node", *RAW[kind]).unionByName(fresh)
+    fresh = raw_features(kind, near, rim, probes, by).join(affected, [*by, "node"], "left_semi")
+    return old.join(affected, [*by, "node"], "left_anti").select(*by, "node", *RAW[kind]).unionByName(fresh)
 
 
 def polynomial_features(df: DataFrame, columns: Sequence[str], order: int = 2) -> DataFrame:

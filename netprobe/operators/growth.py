@@ -4,36 +4,44 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netprobe.functions.hashing import uniform
-from netprobe.functions.tables import Parts, materialize
+from netprobe.functions.tables import Buckets, Parts, materialize
+from netprobe.operators import embeddings, fitting, learning
 from netprobe.operators import features as f
-from netprobe.operators import learning
-from netprobe.operators.components import connected_components
-from netprobe.operators.graph import candidates
+from netprobe.operators.graph import candidates, symmetrize
+from netprobe.operators.maintain import Graph, Maintained
 from netprobe.operators.policies import choose_epsilon_greedy, choose_top
-from netprobe.operators.probing import first_edges, first_nodes, init_state, reveal, rewards
+from netprobe.operators.probing import first_edges, first_nodes, init_state
 
 HEURISTICS = ("high", "low", "rand", "mod")
 #: Policies whose weights are kept from round to round: online regression, and heavy-tailed regression.
 WEIGHTED = ("linear", "htr")
 #: Policies that are fitted anew to the samples of a run.
 FITTED = ("linreg", "logit", "svm", "knn")
+#: Numbers of a node's embedding.
+WIDTH = 24
+_EMBEDDED = tuple(f"n2v_{i}" for i in range(WIDTH))
+_REFEX = tuple(f"{k}{c}_norm" for k in ("", "sum_", "median_", "min_", "max_") for c in f.REFEX_BASE) + ("size_norm",)
 #: Columns of the feature sets.
 FEATURE_SETS: dict[str, tuple[str, ...]] = {
     "default": ("degree_norm", "cc", "size_norm", "frac_probed", "reward_count_norm"),
     "netdisc": ("degree_norm", "cc", "size_norm", "frac_probed"),
     "knn": ("degree_norm", "probed_nbrs_norm", "mean_degree_norm", "median_degree_norm"),
-    "refex": tuple(f"{k}{c}_norm" for k in ("", "sum_", "median_", "min_", "max_") for c in f.REFEX_BASE) + ("size_norm",),
+    "refex": _REFEX, "node2vec": _EMBEDDED, "refex_node2vec": (*_REFEX, *_EMBEDDED),
 }
 FEATURES = FEATURE_SETS["default"]
 
 
+def feature_columns(features: str, targets: DataFrame | None) -> tuple[str, ...]:
+    """A set's columns; where targets are known, the default and netdisc sets count target neighbours too."""
+    return FEATURE_SETS[features] + (("target_nbrs",) if targets is not None and features in ("default", "netdisc") else ())
+
+
 def grow(
     complete: DataFrame, sample: DataFrame, budget: int, batch_size: int = 1, policy: str = "high", reward: str = "new_nodes",
     by: Sequence[str] = (), burn_in: int = 0, alpha: float = 0.01, regularization: str = "no", targets: DataFrame | None = None, seed: int = 0,
@@ -44,8 +52,11 @@ def grow(
     columns ``by`` (none, or run_id).
 
     Policies: high, low, rand, mod (target neighbours); linear (online regression), htr (heavy-tailed regression in
-    ``k`` groups); linreg, logit, svm, knn (fitted to all samples of a run, for few runs). Until a run has samples, fitted
-    policies go by degree. Where all samples of a run are of one class, its unprobed nodes join as the other one.
+    ``k`` groups); linreg, logit, svm, knn (fitted anew to all samples of each run, all runs in one job). Until a run has
+    samples, fitted policies go by degree. Where all samples of a run are of one class, its unprobed nodes join as
+    unlabelled ones and the probability is calibrated on samples held out (``fitting.fitted_runs``).
+    Features: default, netdisc, knn, refex, node2vec, refex_node2vec; with ``targets``, the first two count target
+    neighbours. They are kept up from round to round (``maintain``); embeddings are made anew each round.
     A jump, with probability ``epsilon`` (falling with exp(-seq / budget) if ``decay``), takes a random node instead, one of
     the first sample's as long as there are any. The first ``burn_in`` probes go by degree, or by target neighbours if
     targets are rewarded. ``seeds`` (by, node) start as probed, with seq below 0 and reward 1.
@@ -65,29 +76,35 @@ def grow(
         raise ValueError("runs are told apart by run_id")
     given, by = list(by), ["run_id"]
     lone = lambda df: df if given else df.withColumn("run_id", F.lit(0).cast("long"))
-    spark, columns = complete.sparkSession, FEATURE_SETS[features]
-    start = init_state(lone(sample), by=by)
-    edges, nodes = Parts(spark, "grow-edges").add(start[0]), Parts(spark, "grow-nodes").add(start[1])
-    run_type = nodes.read().schema["run_id"].dataType.simpleString()
-    node_type = nodes.read().schema["node"].dataType.simpleString()
+    spark, columns = complete.sparkSession, feature_columns(features, targets)
+    around = Buckets(spark, "grow-complete", "node").add(symmetrize(complete).select(F.col("src").alias("node"), F.col("dst").alias("nbr")))
+    start = [materialize(x, "grow-start") for x in init_state(lone(sample), by=by)]
+    graph = Graph(spark, *start)
+    run_type, node_type = (start[1].schema[c].dataType.simpleString() for c in ("run_id", "node"))
     log = Parts(spark, "grow-log", f"run_id {run_type}, seq int, node {node_type}, estimate double, reward double, delta double, jump int, p double, theta array<double>")
     samples = Parts(spark, "grow-samples", f"run_id {run_type}, seq int, features array<double>, reward double")
     learns = policy in (*WEIGHTED, *FITTED)
-    described = lambda: _features(features, columns, edges.read(), nodes.read(), log.read())
     if seeds is not None:
         order = F.row_number().over(W.partitionBy("run_id").orderBy("node"))
-        own = lone(seeds).select(*by, "node").distinct().join(nodes.read().select(*by, "node"), [*by, "node"]).withColumn("seq", (-order).cast("int"))
+        own = lone(seeds).select(*by, "node").distinct().join(graph.nodes.read().select(*by, "node"), [*by, "node"]).withColumn("seq", (-order).cast("int"))
         own = materialize(own, "grow-seeds")
+    kept = described = None
+    if learns or (snapshot_gap and snapshot_path):
+        kept = [Maintained(k, graph, spark.createDataFrame([], f"run_id {run_type}, node {node_type}"), targets) for k in _maintained(features)]
+        described = lambda: _features(columns, graph, kept, seed)
+    if seeds is not None:
         if learns:
             samples.add(described().join(own, [*by, "node"]).select("run_id", "seq", "features", F.lit(1.0).alias("reward")))
         log.add(own.select("run_id", "seq", "node", F.lit(0.0).alias("estimate"), F.lit(1.0).alias("reward"), F.lit(0.0).alias("delta"), F.lit(0).alias("jump"), F.lit(0.0).alias("p"), F.lit(None).cast("array<double>").alias("theta")))
-    thetas = materialize(learning.init_theta(nodes.read(), len(columns), seed, by), "grow-theta") if policy in WEIGHTED else None
+        if kept:  # probed from the start
+            kept = [Maintained(k, graph, own, targets) for k in _maintained(features)]
+    thetas = materialize(learning.init_theta(start[1], len(columns), seed, by), "grow-theta") if policy in WEIGHTED else None
     done, saved = 0, 0
     while done < budget:
         name = policy if done >= burn_in else "mod" if reward == "target_hit" else "high"
-        left = materialize(candidates(nodes.read(), log.read(), by).select(*by, "node", (F.col("seq") == -1).alias("is_initial")), "grow-left")
+        left = materialize(candidates(graph.nodes.read(), log.read(), by).select(*by, "node", (F.col("seq") == -1).alias("is_initial")), "grow-left")
         now = materialize(described(), "grow-features") if learns else None
-        scored = _scored(name, left, edges.read(), nodes.read(), now, samples.read(), thetas, targets, seed, done)
+        scored = _scored(name, left, graph, now, samples.read(), thetas, targets, seed, done)
         size = min(batch_size, budget - done)
         p = epsilon * (math.exp(-done / budget) if decay else 1.0)
         if p > 0 and name != "rand":
@@ -99,9 +116,19 @@ def grow(
         chosen = materialize(picked.select(*by, "node", (F.col("slot") + done).cast("int").alias("seq"), value.alias("estimate"), F.col("jump").cast("int").alias("jump")), "grow-chosen")
         if chosen.isEmpty():
             break
-        gained = rewards(complete, edges.read(), nodes.read(), chosen, targets, by)
-        train = F.col("train_reward") if reward == "target_hit" and name in WEIGHTED else F.col(reward)
-        step = materialize(chosen.join(gained.select(*by, "seq", F.col(reward).cast("double").alias("reward"), train.cast("double").alias("train")), [*by, "seq"]), "grow-step")
+        # a probe's new edges are at the probed node, so both sides are read from its buckets
+        revealed = materialize(chosen.select(*by, "seq", "node").join(around.near(chosen), "node").select(*by, "seq", "node", "nbr"), "grow-revealed")
+        known = graph.at(chosen).select(*by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        new_edges = materialize(first_edges(revealed, known, by), "grow-new-edges")
+        new_nodes = materialize(first_nodes(revealed, graph.nodes.near(revealed.select(*by, F.col("nbr").alias("node"))), by), "grow-new-nodes")
+        gained = {"new_nodes": new_nodes, "new_edges": new_edges}.get(reward)
+        if gained is not None:
+            gained = gained.groupBy(*by, "seq").agg(F.count("*").cast("double").alias("reward"))
+            step = chosen.join(gained, [*by, "seq"], "left").na.fill(0.0, ["reward"])
+        else:
+            step = chosen.join(targets.select("node", F.lit(1.0).alias("reward")).distinct(), "node", "left").na.fill(0.0, ["reward"])
+        train = F.col("reward") + learning.TARGET_OFFSET if reward == "target_hit" and name in WEIGHTED else F.col("reward")
+        step = materialize(step.withColumn("train", train), "grow-step")
         delta = F.col("train") - F.col("estimate") if learns and name == policy else F.lit(0.0)
         entry = step.withColumn("delta", delta).withColumn("p", F.lit(float(p)))
         entry = entry.join(thetas, by) if thetas is not None else entry.withColumn("theta", F.lit(None).cast("array<double>"))
@@ -112,14 +139,13 @@ def grow(
             if policy == "linear":
                 thetas = learning.sgd_update(batch, thetas, len(columns), alpha, by)
             elif policy == "htr":
-                fitted = learning.htr_fit(samples.read(), len(columns), k, seed)
-                thetas = thetas.join(fitted.withColumnRenamed("theta", "_new"), by, "left").select(*by, F.coalesce("_new", "theta").alias("theta"))
+                found = learning.htr_fit(samples.read(), len(columns), k, seed)
+                thetas = thetas.join(found.withColumnRenamed("theta", "_new"), by, "left").select(*by, F.coalesce("_new", "theta").alias("theta"))
             if policy in WEIGHTED:
                 thetas = materialize(thetas.withColumn("theta", learning.regularize(F.col("theta"), regularization)), "grow-theta")
-        revealed = reveal(complete, chosen, by)
-        new_edges, new_nodes = (materialize(x, "grow-new") for x in (first_edges(revealed, edges.read(), by).select(*by, "src", "dst", "seq"), first_nodes(revealed, nodes.read(), by)))
-        edges.add(new_edges)
-        nodes.add(new_nodes)
+        graph.add(new_edges.select(*by, "src", "dst", "seq"), new_nodes)
+        for maintained in kept or ():
+            maintained.update(new_edges, new_nodes, chosen, done)
         log.add(entry)
         done += size
         if snapshot_gap and snapshot_path and done // snapshot_gap > saved:
@@ -128,64 +154,44 @@ def grow(
     return log.read().select(*given, *[c for c in log.columns if c != "run_id"])
 
 
-def _scored(name: str, left: DataFrame, edges: DataFrame, nodes: DataFrame, now: DataFrame | None, samples: DataFrame, thetas: DataFrame | None, targets: DataFrame | None, seed: int, step: int) -> DataFrame:
+def _scored(name: str, left: DataFrame, graph: Graph, now: DataFrame | None, samples: DataFrame, thetas: DataFrame | None, targets: DataFrame | None, seed: int, step: int) -> DataFrame:
     """(run_id, node, is_initial, value) of the candidates; the highest value is best."""
     by = ["run_id"]
     if name == "rand":
         return left.withColumn("value", uniform(seed, F.col("run_id"), step, F.col("node")))
     if name == "mod":
-        found = f.target_neighbors(edges, nodes, targets, by).select(*by, "node", F.col("n").cast("double").alias("value"))
+        found = f.target_neighbors(graph.edges(), graph.nodes.read(), targets, by).select(*by, "node", F.col("n").cast("double").alias("value"))
         return left.join(found, [*by, "node"])
-    degree = f.degrees(edges, nodes, by).select(*by, "node", F.col("degree").cast("double").alias("value"))
+    if name in WEIGHTED:
+        return left.join(now, [*by, "node"]).join(thetas, by).withColumn("value", learning.dot(F.col("features"), F.col("theta"))).drop("features", "theta")
+    degree = f.degrees(graph.edges(), graph.nodes.read(), by).select(*by, "node", F.col("degree").cast("double").alias("value"))
     by_degree = left.join(degree, [*by, "node"])
     if name in ("high", "low"):
         return by_degree.withColumn("value", F.col("value") * (-1 if name == "low" else 1))
-    own = left.join(now, [*by, "node"])
-    if name in WEIGHTED:
-        return own.join(thetas, by).withColumn("value", learning.dot(F.col("features"), F.col("theta"))).drop("features", "theta")
-    found = []
-    for row in left.select("run_id").distinct().orderBy("run_id").collect():  # few runs: each has a model of its own
-        mine, known = own.filter(F.col("run_id") == row["run_id"]), samples.filter(F.col("run_id") == row["run_id"])
-        labels = [r["y"] for r in known.select((F.col("reward") > 0).alias("y")).distinct().collect()]
-        if not labels:
-            found.append(by_degree.filter(F.col("run_id") == row["run_id"]))
-            continue
-        class_of = (F.col("reward") > 0).cast("int")
-        train = known.select(F.col("seq").cast("long").alias("id"), "run_id", "features", "reward", class_of.alias("label"))
-        if len(labels) == 1 and name != "linreg":
-            other = F.lit(1 - int(labels[0]))
-            train = train.unionByName(mine.select(F.xxhash64("node").alias("id"), "run_id", "features", F.lit(0.0).alias("reward"), other.alias("label")))
-        train = materialize(train, "grow-train")
-        rows = mine.select("run_id", "node", "is_initial", "features")
-        if name == "linreg":
-            scored = learning.score_linreg(rows, train, len(mine.first()["features"]))
-        elif name == "knn":
-            scored = learning.score_knn(rows, train)
-        elif name == "svm":
-            scored = learning.score_svm(rows, train)
-        else:
-            scored, _ = learning.score_logit(rows, train)
-        found.append(scored.select("run_id", "node", "is_initial", F.col("value").cast("double").alias("value")))
-    return reduce(DataFrame.unionByName, found) if found else by_degree
+    own, known = left.join(now, [*by, "node"]), samples.select("run_id", F.col("seq").cast("long").alias("id"), "features", "reward", (F.col("reward") > 0).cast("int").alias("label"))
+    if name == "linreg":
+        size = len(now.select(F.col("features")).first()["features"])
+        found = learning.score_linreg(own, known, size)
+    else:
+        found = fitting.fitted_runs(name, materialize(own, "grow-own"), materialize(known, "grow-known"), seed=seed)
+    waiting = by_degree.join(known.select(*by).distinct(), by, "left_anti")  # runs without a sample yet
+    return found.select(*by, "node", "is_initial", F.col("value").cast("double").alias("value")).unionByName(waiting.select(*by, "node", "is_initial", "value"))
+
+
+def _maintained(features: str) -> list[str]:
+    return [k for k in features.split("_") if k != "node2vec"]
 
 
-def _features(kind: str, columns: Sequence[str], edges: DataFrame, nodes: DataFrame, log: DataFrame) -> DataFrame:
-    """(run_id, node, features) of all runs: a run's nodes get labels of their own, so components stay apart."""
+def _features(columns: Sequence[str], graph: Graph, kept: Sequence[Maintained], seed: int) -> DataFrame:
+    """(run_id, node, features) of all runs: what is kept up, and embeddings of each run's graph."""
     by = ["run_id"]
-    probes = log.select(*by, "node")
-    label = lambda c: F.concat_ws(":", *by, c)
-    if kind != "knn":
-        comps = connected_components(edges.select(label("src").alias("src"), label("dst").alias("dst")))
-        own = nodes.select(*by, "node", label("node").alias("_k")).join(comps.select(F.col("node").alias("_k"), "comp"), "_k", "left")
-        comps = own.select(*by, "node", F.coalesce("comp", "_k").alias("comp"))
-    if kind == "knn":
-        out = f.knn_features(edges, nodes, probes, by)
-    elif kind == "refex":
-        out = f.refex_features(edges, nodes, probes, comps, by)
-    elif kind == "netdisc":
-        out = f.netdisc_features(edges, nodes, probes, comps, by=by)
-    else:  # an edge found at seq was revealed to the end that was not probed then
-        found = edges.filter("seq >= 0").join(log.select(*by, "seq", F.col("node").alias("prober")), [*by, "seq"])
-        counts = found.select(*by, F.when(F.col("src") == F.col("prober"), F.col("dst")).otherwise(F.col("src")).alias("node")).groupBy(*by, "node").agg(F.count("*").alias("n"))
-        out = f.default_features(edges, nodes, probes, comps, counts, by=by)
+    out = graph.nodes.read().select(*by, "node")
+    for maintained in kept:
+        out = out.join(maintained.features(), [*by, "node"])
+    if columns[-1] in _EMBEDDED:
+        edges = graph.edges()
+        label = lambda c: F.concat_ws(":", *by, c)  # noqa: E731  a run's nodes are its own
+        vectors = embeddings.node2vec_features(edges.select(label("src").alias("src"), label("dst").alias("dst")), WIDTH, seed)
+        found = embeddings.embedding_or_ones(out.select(label("node").alias("node")), vectors, WIDTH)
+        out = out.withColumn("_k", label("node")).join(found.select(F.col("node").alias("_k"), *[F.col("vec")[i].alias(c) for i, c in enumerate(_EMBEDDED)]), "_k")
     return out.select(*by, "node", F.array(*[F.col(c).cast("double") for c in columns]).alias("features"))

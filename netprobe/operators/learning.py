@@ -20,6 +20,8 @@ from netprobe.functions.tables import materialize
 
 #: Group size that a regression of the median of means uses at most; a fixed value of the method.
 MOST_ROWS = 2000
+#: What training adds to a reward of hit or miss.
+TARGET_OFFSET = 0.1
 
 
 def append_samples(samples: DataFrame, new: DataFrame) -> DataFrame:
@@ -154,20 +156,25 @@ def score_linreg(rows: DataFrame, samples: DataFrame, size: int) -> DataFrame:
 KNN_ROWS, KNN_SAMPLES, KNN_STEP = 8192, 2048, 16
 
 
-def score_knn(rows: DataFrame, samples: DataFrame, k: int = 5) -> DataFrame:
-    """Adds ``value``: the share of label 1 among the k nearest of a run's samples (id, features, label).
+def score_knn(rows: DataFrame, samples: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``value``: the share of label 1 among the k nearest samples (id, features, label), of the row's own run
+    if ``by`` names its key.
 
     Blocks of rows meet blocks of samples in tasks; each row's k nearest of every block are merged, ties by sample id."""
     own = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "knn-rows")
-    known = materialize(samples.select("id", "features", F.col("label").cast("double").alias("label")), "knn-samples")
-    n_own, n_known = max(1, -(-own.count() // KNN_ROWS)), max(1, -(-known.count() // KNN_SAMPLES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = own.select("_row", "features", F.pmod(F.xxhash64("_row"), F.lit(n_own)).cast("int").alias("_q"), every(n_known).alias("_s"))
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_known)).cast("int")
-    right = known.withColumn("_s", spread).withColumn("_q", every(n_own))
-
-    def run(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        q, x = (np.array(d.features.tolist(), float).reshape(len(d), -1) for d in (own, block))
+    known = materialize(samples.select(*by, "id", "features", F.col("label").cast("double").alias("label")), "knn-samples")
+    run = F.struct(*by) if by else F.lit(0)
+    sizes = own.groupBy(run.alias("_run")).agg(F.ceil(F.count("*") / KNN_ROWS).alias("_nq"))
+    sizes = sizes.join(known.groupBy(run.alias("_run")).agg(F.ceil(F.count("*") / KNN_SAMPLES).alias("_ns")), "_run")  # a row for each run
+    sizes = materialize(sizes, "knn-sizes")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    left = own.withColumn("_run", run).join(sizes, "_run").select("_run", "_row", F.col("features").alias("_x"), F.pmod(F.xxhash64("_row"), F.col("_nq")).cast("int").alias("_q"), every("_ns").alias("_s"))
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_ns")).cast("int")
+    right = known.withColumn("_run", run).join(sizes.select(F.col("_run"), "_nq", "_ns"), "_run").withColumn("_b", spread)
+    right = right.select(F.col("_run").alias("_run2"), "id", "features", "label", F.col("_b"), every("_nq").alias("_a"))
+
+    def compare(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        q, x = (np.array(d.tolist(), float).reshape(len(d), -1) for d in (own["_x"], block["features"]))
         label, ids, found = block.label.to_numpy(float), block.id.to_numpy(), []
         for i in range(0, len(q) if len(x) else 0, KNN_STEP):
             gap = np.round(((q[i : i + KNN_STEP, None, :] - x[None]) ** 2).sum(axis=2), 9)
@@ -177,39 +184,33 @@ def score_knn(rows: DataFrame, samples: DataFrame, k: int = 5) -> DataFrame:
         return pd.concat(found) if found else pd.DataFrame({"_row": [], "gap": [], "id": [], "label": []})
 
     fields = f"_row long, gap double, id {samples.schema['id'].dataType.simpleString()}, label double"
-    near = left.groupBy("_q", "_s").cogroup(right.groupBy("_q", "_s")).applyInPandas(run, fields)
+    near = left.groupBy("_run", "_q", "_s").cogroup(right.groupBy("_run2", "_a", "_b")).applyInPandas(compare, fields)
     best = near.groupBy("_row").agg(F.slice(F.sort_array(F.collect_list(F.struct("gap", "id", "label"))), 1, k).alias("_best"))
     total = F.aggregate("_best", F.lit(0.0), lambda acc, b: acc + b["label"])
-    return own.join(best, "_row", "left").withColumn("value", total / F.size("_best")).select(*rows.columns, "value")
+    out = own.join(best, "_row", "inner" if by else "left").withColumn("value", total / F.size("_best"))
+    return out.select(*rows.columns, "value")
 
 
-def _ml_frame(df: DataFrame, label: str | None) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
+def _one_run(df: DataFrame) -> DataFrame:
+    return df.withColumn("run_id", F.lit(0).cast("long"))
 
-    out = df.withColumn("_x", array_to_vector(F.transform("features", lambda v: v.cast("double"))))
-    return out.withColumn("_y", F.col(label).cast("double")) if label else out
 
+def score_logit(rows: DataFrame, samples: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(rows with ``value`` = P(label 1), theta) of one run; samples (features, label)."""
+    from netprobe.operators.fitting import decisions, newton
 
-def score_logit(rows: DataFrame, samples: DataFrame, max_iter: int = 50) -> tuple[DataFrame, list[float]]:
-    """(rows with ``value`` = P(label 1), theta)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
+    known = _one_run(samples.select("features", "label").withColumn("id", F.monotonically_increasing_id()))
+    fit = materialize(newton(known), "logit-theta")
+    scored = decisions(_one_run(rows), fit).withColumn("value", 1 / (1 + F.exp(-F.col("value"))))
+    return scored.select(*rows.columns, "value"), [float(w) for w in fit.first()["theta"][1:]]
 
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=max_iter, regParam=0.01).fit(_ml_frame(samples, "label"))
-    scored = model.transform(_ml_frame(rows, None)).withColumn("value", vector_to_array("probability")[1])
-    return scored.select(*rows.columns, "value"), model.coefficients.toArray().tolist()
 
+def score_svm(rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """Adds ``value``: the decision value of a machine with the kernel (1 + x y)^3, of one run."""
+    from netprobe.operators.fitting import decisions, newton
 
-def score_svm(rows: DataFrame, samples: DataFrame, degree: int = 3, max_iter: int = 30) -> DataFrame:
-    """Adds ``value``: the decision value of a linear machine over the polynomial expansion of the features."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import PolynomialExpansion
-    from pyspark.ml.functions import vector_to_array
-
-    wide = PolynomialExpansion(degree=degree, inputCol="_x", outputCol="_p")
-    model = LinearSVC(featuresCol="_p", labelCol="_y", maxIter=max_iter, regParam=0.01).fit(wide.transform(_ml_frame(samples, "label")))
-    scored = model.transform(wide.transform(_ml_frame(rows, None))).withColumn("value", vector_to_array("rawPrediction")[1])
-    return scored.select(*rows.columns, "value")
+    known = _one_run(samples.select("features", "label").withColumn("id", F.monotonically_increasing_id()))
+    return decisions(_one_run(rows), newton(known, "squared_hinge", "polynomial"), "polynomial").select(*rows.columns, "value")
 
 
 def score_positive_unlabelled(rows: DataFrame, positives: DataFrame, hold_out: float = 0.1, seed: int = 0) -> DataFrame:

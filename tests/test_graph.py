@@ -188,7 +188,7 @@ def test_growth_by_learned_policies(spark, toy, policy):
     own = got[1:]
     assert [r.seq for r in own] == list(range(n)) and len({r.node for r in got}) == n + 1
     assert all(r.reward == float(r.node in (4, 9)) for r in own)
-    assert all((r.theta is not None and len(r.theta) == 4) == (policy in ("linear", "htr")) for r in own)
+    assert all((r.theta is not None and len(r.theta) == 5) == (policy in ("linear", "htr")) for r in own)  # with target neighbours
     if policy in ("linear", "htr"):
         assert all(r.delta == pytest.approx(r.reward + 0.1 - r.estimate) for r in own)
 
