@@ -49,14 +49,69 @@ def node2vec_walks(edges: DataFrame, length: int = 3, per_node: int = 2, p: floa
     return now.select("walker", "path")
 
 
-def node2vec_features(edges: DataFrame, size: int = 24, seed: int = 0, **options) -> DataFrame:  # noqa: ANN003
-    """(node, vec) by Word2Vec over the walks."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+#: Steps between two nodes of a walk that still count as near, and rounds of the factorisation.
+WINDOW, ROUNDS = 5, 5
+
+
+def co_occurrences(walks: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(a, b, w): log of how much oftener than by chance b is within ``window`` steps of a in the paths, where positive."""
+    spots = walks.select("path", F.posexplode("path").alias("i", "a"))
+    near = spots.select("a", F.explode(F.filter(F.transform("path", lambda b, j: F.when((j != F.col("i")) & (F.abs(j - F.col("i")) <= window), b)), lambda b: b.isNotNull())).alias("b"))
+    counts = materialize(near.groupBy("a", "b").agg(F.count("*").alias("n")), "walk-pairs")
+    ends = counts.groupBy("a").agg(F.sum("n").alias("na"))
+    total = ends.agg(F.sum("na")).first()[0] or 1
+    both = counts.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
+    w = F.log(F.col("n") * F.lit(float(total)) / (F.col("na").cast("double") * F.col("nb")))
+    return both.select("a", "b", w.alias("w")).filter("w > 0")
+
+
+def factorize(pairs: DataFrame, size: int, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
+    """(node, vec): the symmetric table (a, b, w) as products of vectors, by block power iteration.
+
+    The vectors are a table: a round joins them to the pairs and sums by node. What the driver holds is the
+    size x size matrix of their inner products, by which they are made orthonormal; at the end it gives the
+    table's action on them, whose axes and lengths the vectors take."""
+    import numpy as np
+
+    names = [f"v{i}" for i in range(size)]
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
 
-    walks = node2vec_walks(edges, seed=seed, **options).select(F.transform("path", lambda v: v.cast("string")).alias("path"))
-    model = Word2Vec(vectorSize=size, minCount=0, inputCol="path", outputCol="_v", seed=seed, maxIter=1).fit(walks)
-    return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("vec"))
+    def inner(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+        row = df.agg(*[F.sum(F.col(left[i]) * F.col(right[j])).alias(f"s{i}_{j}") for i, j in upper]).first()
+        out = np.zeros((size, size))
+        for k, (i, j) in enumerate(upper):
+            out[i, j] = out[j, i] = row[k] or 0.0
+        return out
+
+    def turned(df: DataFrame, by: np.ndarray, width: int) -> DataFrame:
+        mixed = [sum((F.col(names[i]) * float(by[i, j]) for i in range(size)), F.lit(0.0)).alias(names[j]) for j in range(width)]
+        return df.select("node", *mixed, *[F.lit(0.0).alias(c) for c in names[width:]])
+
+    def spread(df: DataFrame) -> DataFrame:
+        own = df.select(F.col("node").alias("b"), *names)
+        return pairs.join(own, "b").groupBy(F.col("a").alias("node")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
+
+    now = pairs.select(F.col("a").alias("node")).distinct().select("node", *[(uniform(seed, "axis", F.col("node"), i) - 0.5).alias(c) for i, c in enumerate(names)])
+    for _ in range(rounds):
+        now = materialize(spread(materialize(now, "factor-axes")), "factor-sums")
+        values, axes = np.linalg.eigh(inner(now, names, names))
+        keep = values > max(values.max(), 0.0) * 1e-12
+        by = axes[:, keep] / np.sqrt(values[keep])
+        now = turned(now, by, int(keep.sum())) if keep.any() else now
+    now = materialize(now, "factor-axes")
+    onto = spread(now).select("node", *[F.col(c).alias(f"m{i}") for i, c in enumerate(names)])
+    values, axes = np.linalg.eigh(inner(now.join(onto, "node"), names, [f"m{i}" for i in range(size)]))
+    order = np.argsort(-np.abs(values))
+    out = turned(now, axes[:, order] * np.sqrt(np.abs(values[order])), size)
+    return out.select("node", F.array(*names).alias("vec"))
+
+
+def node2vec_features(edges: DataFrame, size: int = 24, seed: int = 0, **options) -> DataFrame:  # noqa: ANN003
+    """(node, vec) from biased walks: nodes are near as far as walks meet them together oftener than by chance (which is
+    what word vectors of the walks factorise, Levy and Goldberg 2014). No array grows with the nodes."""
+    walks = node2vec_walks(edges, seed=seed, **options)
+    pairs = materialize(co_occurrences(walks), "walk-weights")
+    return factorize(pairs, size, seed).select(F.col("node").cast("string").alias("node"), "vec")
 
 
 def embedding_or_ones(nodes: DataFrame, vectors: DataFrame, size: int) -> DataFrame:

@@ -149,17 +149,26 @@ def generate_sample(method: str, edges: DataFrame, p: float = 0.01, **options) -
 
 def weighted_pick(values: DataFrame, num: int, seed: int = 0) -> DataFrame:
     """(draw, node): ``num`` draws with replacement by ``value`` of (node, value). Negative values count 0 if
-    any is positive; without a positive one all weigh the same. Values count in millionths."""
-    top = values.agg(F.max("value").alias("_top"))
-    weighed = values.crossJoin(F.broadcast(top))
-    weight = F.when(F.col("_top") > 0, F.round(F.greatest("value", F.lit(0)) * 1e6)).otherwise(1e6).cast("long")
-    weighed = weighed.select("node", weight.alias("w")).filter("w > 0")
+    any is positive; without a positive one all weigh the same. Values count in millionths; no rows, no draws.
+
+    Where nodes' ranges begin and where draws fall is one table in the order of its numbers, cut into ranges: a draw
+    takes the last node before it, from its own range or else from the ranges before."""
+    top = values.agg(F.max("value")).first()[0]
+    if top is None:
+        return values.select(F.lit(0).cast("long").alias("draw"), "node").filter("false")
+    weight = F.round(F.greatest("value", F.lit(0)) * 1e6) if top > 0 else F.lit(1e6)
+    weighed = values.select("node", weight.cast("long").alias("w")).filter("w > 0")
     groups = weighed.withColumn("g", F.conv(F.substring(hash_key(F.col("node")), 1, 3), 16, 10).cast("int"))
-    sums = groups.groupBy("g").agg(F.sum("w").alias("w"))
-    every = W.partitionBy(F.lit(0)).orderBy("g")  # one row for each of 4096 groups
-    sums = sums.select("g", (F.sum("w").over(every) - F.col("w")).alias("base"), F.sum("w").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all"))
-    ranges = groups.join(F.broadcast(sums), "g").withColumn("high", F.col("base") + F.sum("w").over(W.partitionBy("g").orderBy(hash_key(F.col("node")), "node")))
-    draws = values.sparkSession.range(num).select(F.col("id").alias("draw"))
-    ranges = ranges.select("node", (F.col("high") - F.col("w")).alias("low"), "high", "all")
-    spots = draws.crossJoin(F.broadcast(sums.agg(F.max("all").alias("total")))).select("draw", F.floor(uniform(seed, F.col("draw")) * F.col("total")).alias("at"))
-    return ranges.join(F.broadcast(spots), (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).select("draw", "node")
+    sums = materialize(groups.groupBy("g").agg(F.sum("w").alias("w")), "pick-groups")
+    total = sums.agg(F.sum("w")).first()[0] or 0
+    before = W.partitionBy(F.lit(0)).orderBy("g").rowsBetween(W.unboundedPreceding, -1)  # one row for each of 4096 groups
+    bases = sums.select("g", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"))
+    own = F.sum("w").over(W.partitionBy("g").orderBy(hash_key(F.col("node")), "node")) - F.col("w")
+    begins = groups.withColumn("own", own).join(F.broadcast(bases), "g").select((F.col("base") + F.col("own")).alias("at"), F.lit(None).cast("long").alias("draw"), "node")
+    draws = values.sparkSession.range(num).select(F.floor(uniform(seed, F.col("id")) * F.lit(total)).alias("at"), F.col("id").alias("draw"), F.lit(None).cast(values.schema["node"].dataType).alias("node"))
+    both = begins.unionByName(draws).withColumn("kind", F.col("draw").isNotNull())
+    both = materialize(both.repartitionByRange("at", "kind").withColumn("_range", F.spark_partition_id()), "pick-ranges")
+    ends = both.groupBy("_range").agg(F.max_by("node", F.when(~F.col("kind"), F.col("at"))).alias("_end"))  # a row for each range
+    earlier = ends.select("_range", F.last("_end", ignorenulls=True).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_end"))
+    last = F.last("node", ignorenulls=True).over(W.partitionBy("_range").orderBy("at", "kind", "draw").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("_last", last).filter("kind").join(earlier, "_range").select("draw", F.coalesce("_last", "_end").alias("node"))

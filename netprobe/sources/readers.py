@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netprobe.operators.graph import canonical_edges
@@ -31,11 +32,20 @@ def read_edge_list(spark: SparkSession, path: str, delim: str = " ") -> tuple[in
     return n, edges
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, number): lines with their 0-based place, files by name. Lines of a split are numbered by its task, and the
+    splits' sizes are summed: no line goes through the driver."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    sizes = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"))  # a row for each split
+    before = W.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    bases = sizes.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(W.partitionBy("_file", "_block").orderBy("_id")) - 1
+    return lines.withColumn("_own", own).join(bases, ["_file", "_block"]).select("value", (F.col("_base") + F.col("_own")).alias("number"))
+
+
 def read_attributes(spark: SparkSession, path: str, delim: str = "\t", ids: Sequence[int] | None = None) -> DataFrame:
     """(node, attr_id): a line's 0-based number is the attribute that its tokens, nodes, have."""
-    # line numbers need the file's order: the one place where an RDD says it directly
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[0], int(x[1])))
-    lines = spark.createDataFrame(rows, "value string, attr_id int")
+    lines = numbered_lines(spark, path).select("value", F.col("number").cast("int").alias("attr_id"))
     if ids:
         lines = lines.filter(F.col("attr_id").isin(list(ids)))
     tokens = F.explode(F.split("value", f"\\Q{delim}\\E"))
@@ -43,9 +53,12 @@ def read_attributes(spark: SparkSession, path: str, delim: str = "\t", ids: Sequ
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """(node, vec) of lines ``node x1 ... xd`` after a head line ``n d``."""
-    parts = spark.read.text(path).select(F.split(F.trim("value"), "\\s+").alias("t")).filter("size(t) > 2")
-    return parts.select(F.col("t")[0].alias("node"), F.transform(F.slice("t", F.lit(2), F.size("t")), lambda x: x.cast("double")).alias("vec"))
+    """(node, vec) of lines ``node x1 ... xd``. A first line ``n d`` of two whole numbers, where d is the length of the
+    longest vector, is a head; empty lines are left out."""
+    parts = numbered_lines(spark, path).select("number", F.split(F.trim("value"), "\\s+").alias("t")).filter("size(t) > 1")
+    longest = parts.filter("number > 0").agg(F.max(F.size("t")) - 1).first()[0]
+    head = (F.col("number") == 0) & (F.size("t") == 2) & F.col("t")[0].rlike("^[0-9]+$") & (F.col("t")[1] == F.lit(str(longest)))
+    return parts.filter(~head).select(F.col("t")[0].alias("node"), F.transform(F.slice("t", F.lit(2), F.size("t")), lambda x: x.cast("double")).alias("vec"))
 
 
 def _read_tsv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame | None:

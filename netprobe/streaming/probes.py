@@ -1,15 +1,23 @@
-"""Streams of probe responses: state kept in Parquet, and running rewards."""
+"""Streams of probe responses: what each batch newly reveals, and running rewards.
+
+What was seen before is a stateful operator: one streaming aggregation, keyed by run and edge (or run and
+node), whose rows lie in the state store. A batch looks up the keys that it brings, and reads nothing of
+what earlier batches wrote, so its time does not grow with them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 #: (run_id, seq, node, nbr)
 RESPONSES = "run_id long, seq int, node long, nbr long"
+_EDGES = "run_id long, src long, dst long, seq int, nbr long, batch long"
+#: State on the executors' disks, with changes in the checkpoint; the other provider holds it in memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _stored(spark, path: str, schema: str) -> DataFrame:  # noqa: ANN001
@@ -21,8 +29,30 @@ def _stored(spark, path: str, schema: str) -> DataFrame:  # noqa: ANN001
         return spark.createDataFrame([], schema)
 
 
-_EDGES = "run_id long, src long, dst long, seq int, nbr long, batch long"
-_NODES = "run_id long, node long, seq int, batch long"
+def _named(kind: str, a: str, b: str | None, seq: Column, nbr: Column) -> Column:
+    none = F.lit(None).cast("long")
+    return F.struct(F.lit(kind).alias("kind"), F.col(a).cast("long").alias("a"), (F.col(b) if b else F.lit(0).cast("long")).alias("b"), F.col("seq").alias("at"), seq.cast("int").alias("seq"), F.coalesce(nbr, none).alias("nbr"))
+
+
+def first_seen(responses: DataFrame, sample: Sequence[DataFrame] = ()) -> DataFrame:
+    """(run_id, kind, a, b, seq, nbr, new) of all edges (kind e), nodes (n) and probes (p) that a batch of responses names;
+    ``new`` where no earlier batch, nor the sample, did. Of a batch the lowest seq counts, and a node that is probed
+    before a response names it was known (seq -1)."""
+    none = F.lit(None).cast("long")
+    own = responses.select("run_id", "seq", "node", "nbr").na.drop().withColumns({"_src": F.least("node", "nbr"), "_dst": F.greatest("node", "nbr")})
+    named = own.select("run_id", F.inline(F.array(
+        _named("e", "_src", "_dst", F.col("seq"), F.col("nbr")), _named("n", "node", None, F.lit(-1), none),
+        _named("n", "nbr", None, F.col("seq"), none), _named("p", "seq", None, F.col("seq"), none),
+    )))
+    if sample:
+        edges, nodes = sample
+        known = edges.select("run_id", F.lit("e").alias("kind"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+        known = known.unionByName(nodes.select("run_id", F.lit("n").alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"))).distinct()
+        named = named.join(known, ["run_id", "kind", "a", "b"], "left_anti")
+    # within a batch the current time is one value, kept in the offset log: a batch that is delivered again has it again
+    named = named.withColumn("time", F.current_timestamp())
+    first = named.groupBy("run_id", "kind", "a", "b").agg(F.min(F.struct("time", "at", "seq", "nbr")).alias("_f"))
+    return first.select("run_id", "kind", "a", "b", "_f.seq", "_f.nbr", (F.col("_f.time") == F.current_timestamp()).alias("new"))
 
 
 def stream_probes(responses: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, sample: Sequence[DataFrame] = ()) -> StreamingQuery:
@@ -30,9 +60,11 @@ def stream_probes(responses: DataFrame, path: str, checkpoint: str, trigger: dic
     earned to ``path``/log (run_id, seq, new_edges, new_nodes).
 
     ``sample``: the observed edges (run_id, src, dst) and nodes (run_id, node) of the start, stored as batch -1.
-    A batch that is delivered again overwrites its own partition (batch=<id>), so each counts once. Shared
-    discoveries of a batch belong to the lower seq; those of earlier batches are left out. A node that is probed
-    before a response names it was known. Rows with a null are left out, repeated ones count once."""
+    A batch that is delivered again finds the state as it was and overwrites its own partition (batch=<id>), so each
+    counts once. Shared discoveries of a batch belong to the lower seq; those of earlier batches are left out. A node
+    that is probed before a response names it was known. Rows with a null are left out, repeated ones count once."""
+    spark = responses.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     if sample:
         edges, nodes = sample
         given = edges.select("run_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.lit(-1).alias("seq"), F.lit(None).cast("long").alias("nbr"))
@@ -40,24 +72,18 @@ def stream_probes(responses: DataFrame, path: str, checkpoint: str, trigger: dic
         nodes.select("run_id", "node", F.lit(-1).alias("seq")).write.mode("overwrite").parquet(f"{path}/nodes/batch=-1")
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.select("run_id", "seq", "node", "nbr").na.drop().persist()
-        edges = _stored(spark, f"{path}/edges", _EDGES).filter(F.col("batch") < batch_id)
-        ends = batch.withColumns({"src": F.least("node", "nbr"), "dst": F.greatest("node", "nbr")})
-        new = ends.join(edges.select("run_id", "src", "dst"), ["run_id", "src", "dst"], "left_anti").groupBy("run_id", "src", "dst").agg(F.min(F.struct("seq", "nbr")).alias("_f"))
-        new.select("run_id", "src", "dst", "_f.*").write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
-        nodes = _stored(spark, f"{path}/nodes", _NODES).filter(F.col("batch") < batch_id)
-        named = batch.select("run_id", F.explode(F.array(F.struct("node", F.col("seq").alias("at"), F.lit(-1).alias("seq")), F.struct(F.col("nbr").alias("node"), F.col("seq").alias("at"), "seq"))).alias("_n")).select("run_id", "_n.*")
-        first = named.join(nodes.select("run_id", "node"), ["run_id", "node"], "left_anti").groupBy("run_id", "node").agg(F.min(F.struct("at", "seq"))["seq"].alias("seq"))
-        first.write.mode("overwrite").parquet(f"{path}/nodes/batch={batch_id}")
-        log = batch.select("run_id", "seq").distinct()
-        for kind in ("edges", "nodes"):
-            own = spark.read.parquet(f"{path}/{kind}/batch={batch_id}").groupBy("run_id", "seq").agg(F.count("*").alias(f"new_{kind}"))
-            log = log.join(own, ["run_id", "seq"], "left").na.fill(0, [f"new_{kind}"])
+        batch.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")  # the state is looked up once
+        batch = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/seen/batch={batch_id}")
+        found = batch.filter("new")
+        kinds = {"edges": found.filter("kind = 'e'").select("run_id", F.col("a").alias("src"), F.col("b").alias("dst"), "seq", "nbr"), "nodes": found.filter("kind = 'n'").select("run_id", F.col("a").alias("node"), "seq")}
+        log = batch.filter("kind = 'p'").select("run_id", F.col("a").cast("int").alias("seq"))
+        for kind, own in kinds.items():
+            own.write.mode("overwrite").parquet(f"{path}/{kind}/batch={batch_id}")
+            log = log.join(own.groupBy("run_id", "seq").agg(F.count("*").alias(f"new_{kind}")), ["run_id", "seq"], "left").na.fill(0, [f"new_{kind}"])
         log.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
-        batch.unpersist()
 
-    return responses.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    seen = first_seen(responses, sample)
+    return seen.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def reward_counts(spark: SparkSession, path: str) -> DataFrame:

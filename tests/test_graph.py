@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,92 @@ def test_communities_find_two_cliques(spark):
     assert netstats.modularity(df, parts).first().modularity > 0.3
 
 
+@pytest.mark.parametrize("n", [0, 1])
+def test_communities_are_connected(spark, n):
+    """Rings of cliques and random graphs: each community is one component of its own edges, and Q is high."""
+    rng = np.random.default_rng(n)
+    pairs = {(c * 6 + a, c * 6 + b) for c in range(8) for a in range(6) for b in range(a + 1, 6)} | {(c * 6, (c * 6 + 9) % 48) for c in range(8)}
+    if n:
+        pairs = {tuple(p) for p in rng.integers(0, 60, (150, 2)).tolist()}
+    df = spark.createDataFrame(sorted({tuple(sorted(p)) for p in pairs if p[0] != p[1]}), "src long, dst long").coalesce(2)
+    parts = netstats.communities(df).cache()
+    label = {r.node: r.comm for r in parts.collect()}
+    inside = [(a, b) for a, b in df.collect() if label[a] == label[b]]
+    for comm in set(label.values()):
+        own = {k for k, c in label.items() if c == comm}
+        reached, stack = {min(own)}, [min(own)]
+        while stack:
+            k = stack.pop()
+            for a, b in inside:
+                other = b if a == k else a if b == k else None
+                if other is not None and other not in reached:
+                    reached.add(other)
+                    stack.append(other)
+        assert reached == own
+    assert netstats.modularity(df, parts).first().modularity > (0.7 if n == 0 else 0.3)
+
+
+@pytest.mark.parametrize("exact", [8, 2048])
+def test_power_law_by_bounds_equals_all_cuts(spark, exact, monkeypatch):
+    monkeypatch.setattr(netstats, "EXACT", exact)
+    monkeypatch.setattr(netstats, "GRID", 4)
+    rng = np.random.default_rng(exact)
+    values, counts = np.unique(np.floor(5 * (1 - rng.random(3000)) ** (-1 / 1.5)), return_counts=True)
+    got = netstats.power_law_fit(spark.createDataFrame(list(zip(values.astype(int).tolist(), counts.tolist())), "degree long, n long")).first()
+    best = []
+    for i, xmin in enumerate(values):
+        x, c = values[i:], counts[i:]
+        size, logs = c.sum(), (c * np.log(x)).sum()
+        if logs - size * np.log(xmin) <= 1e-9:
+            continue
+        alpha = 1 + size / (logs - size * np.log(xmin))
+        theory, below = 1 - (x / xmin) ** (1 - alpha), 1 - c[::-1].cumsum()[::-1] / size
+        best.append((round(max(np.abs(theory - below).max(), np.abs(theory - below - c / size).max()), 12), xmin, alpha))
+    assert (got.ks, got.xmin, got.alpha) == pytest.approx(min(best))
+
+
+def test_draws_fall_into_the_ranges_of_the_nodes(spark):
+    values = spark.createDataFrame([(i, float(v)) for i, v in enumerate([0, 5, -3, 1000, 0.5, 7] + [1] * 200)], "node long, value double").repartition(5)
+    picked = sampling.weighted_pick(values, 5000, 3)
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    counts = {r.node: r["count"] for r in picked.groupBy("node").count().collect()}
+    total = 1000 + 5 + 0.5 + 7 + 200
+    assert sum(counts.values()) == 5000 and picked.select("draw").distinct().count() == 5000
+    assert 0 not in counts and 2 not in counts and abs(counts[3] / 5000 - 1000 / total) < 0.03
+    assert sampling.weighted_pick(values.filter("false"), 10).count() == 0
+    even = sampling.weighted_pick(values.filter("node IN (0, 2)"), 400, 1).groupBy("node").count().collect()
+    assert len(even) == 2 and all(120 < r["count"] < 280 for r in even)
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        (tmp_path / "many").mkdir()
+        want = []
+        for name in ("a", "b"):
+            lines = [f"{name}{i} " + "x" * (i % 50) for i in range(400)]
+            want += lines
+            (tmp_path / "many" / f"{name}.txt").write_text("\n".join(lines) + "\n")
+        got = readers.numbered_lines(spark, str(tmp_path / "many"))
+        assert got.select("number").distinct().count() == 800
+        assert [r.value for r in got.orderBy("number").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "flat.txt").write_text("3 1\na 0.5\nb 2\n7 1\n")
+    assert {r.node: r.vec for r in readers.read_embeddings(spark, str(tmp_path / "flat.txt")).collect()} == {"a": [0.5], "b": [2.0], "7": [1.0]}
+
+
+def test_factors_give_the_table_back(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(30, 4))
+    table = x @ x.T
+    df = spark.createDataFrame([(i, j, float(table[i, j])) for i in range(30) for j in range(30)], "a long, b long, w double").coalesce(4)
+    got = {r.node: r.vec for r in embeddings.factorize(df, 6, rounds=3).collect()}
+    y = np.array([got[i] for i in range(30)])
+    assert y @ y.T == pytest.approx(table, abs=1e-6)
+
+
 def test_places_number_the_neighbours(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(5, 6)], "src long, dst long")
     places, counts = graph.neighbor_places(edges, spark.createDataFrame([(900,), (0,)], "node long"))

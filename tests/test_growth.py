@@ -256,3 +256,43 @@ def test_online_growth_equals_a_plain_run(spark):
     want = plain_online([tuple(r) for r in complete.collect()], [tuple(r) for r in own.collect()], 5, 0.05, list(got[0].theta), targets)
     assert [(r.node, r.reward) for r in got] == [w[:2] for w in want]
     assert [r.estimate for r in got] == pytest.approx([w[2] for w in want])
+
+
+def test_streamed_state_is_keyed(spark, tmp_path):
+    """Many batches: each touches its own keys in the state store, and all together equal one replay."""
+    from netprobe.streaming import probes as streams
+
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(r), int(s), int(r * 100 + s % 13), int(n)) for r, s, n in zip(rng.integers(0, 2, 400), rng.integers(0, 60, 400), rng.integers(0, 90, 400))})
+    rows = [x for x in rows if x[2] != x[3]]
+    batches = 6
+    for b in range(batches):  # responses of a seq come in one batch
+        own = [x for x in rows if x[1] * batches // 60 == b]
+        spark.createDataFrame(own + own[:3], streams.RESPONSES).coalesce(1).write.parquet(f"{tmp_path}/in/part={b}")
+    sample = [spark.createDataFrame([(0, 1, 5), (1, 5, 100)], "run_id long, src long, dst long"), spark.createDataFrame([(0, 1), (0, 5), (1, 5), (1, 100)], "run_id long, node long")]
+    progress, state, check = [], f"{tmp_path}/state", f"{tmp_path}/check"
+    for b in range(batches):  # one folder more each time: a restart from the checkpoint, too
+        stream = spark.readStream.schema(streams.RESPONSES).parquet(f"{tmp_path}/in/part={{{','.join(map(str, range(b + 1)))}}}")
+        q = streams.stream_probes(stream, state, check, sample=sample if b == 0 else tuple(sample))
+        q.awaitTermination()
+        progress += [p for p in q.recentProgress if p["numInputRows"]]
+    assert len(progress) == batches
+    used = [p["stateOperators"][0] for p in progress]
+    assert all(u["numRowsUpdated"] <= 4 * p["numInputRows"] for u, p in zip(used, progress)) and used[-1]["numRowsTotal"] > 2 * used[0]["numRowsTotal"]
+    edges, nodes = {(0, 1, 5), (1, 5, 100)}, {(0, 1), (0, 5), (1, 5), (1, 100)}
+    want = {}
+    for b in range(batches):
+        own = sorted(x for x in rows if x[1] * batches // 60 == b)
+        for run, seq, node, nbr in sorted(own, key=lambda x: (x[1], x[0])):
+            e = want.setdefault((run, seq), [0, 0])
+            if (run, min(node, nbr), max(node, nbr)) not in edges:
+                edges.add((run, min(node, nbr), max(node, nbr)))
+                e[0] += 1
+        for n, kind in sorted({((run, seq, k), (run, n)) for run, seq, node, nbr in own for k, n in ((0, node), (1, nbr))}):
+            if kind not in nodes:
+                nodes.add(kind)
+                want[n[0], n[1]][1] += n[2]
+    got = {(r.run_id, r.seq): [r.new_edges, r.new_nodes] for r in spark.read.parquet(f"{state}/log").collect()}
+    assert got == want
+    assert {(r.run_id, r.src, r.dst) for r in spark.read.parquet(f"{state}/edges").collect()} == edges
+    assert {(r.run_id, r.node) for r in spark.read.parquet(f"{state}/nodes").collect()} == nodes
