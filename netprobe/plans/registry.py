@@ -258,8 +258,8 @@ def knn_features(spark, sf_dir):
     return out.select("node", "degree", "probed_nbrs", *[F.round(c, 6).alias(c) for c in ("mean_degree", "median_degree", "degree_norm", "probed_nbrs_norm", "mean_degree_norm", "median_degree_norm")])
 
 
-def _default(spark, sf_dir) -> DataFrame:
-    s = State(spark, sf_dir).stored()
+def _default(spark, sf_dir, s: State | None = None) -> DataFrame:
+    s = s or State(spark, sf_dir).stored()
     edges, nodes = s.after()
     return features.default_features(edges, nodes, s.probes, connected_components(edges, nodes), s.counts(), s.targets)
 
@@ -310,6 +310,14 @@ def poly_features(spark, sf_dir):
     return out.select("node", *[F.round(F.col("poly")[i], 6).alias(f"p{i}") for i in range(6)])
 
 
+@query
+def cubic_features(spark, sf_dir):
+    s = State(spark, sf_dir).stored()
+    base = features.frac_probed(s.sample, s.nodes, s.probes)
+    out = features.polynomial_features(base, ["degree", "probed_nbrs"], 3)
+    return out.select("node", *[F.round(F.col("poly")[i], 6).alias(f"p{i}") for i in range(10)])
+
+
 @query
 def log_bins(spark, sf_dir):
     s = State(spark, sf_dir).stored()
@@ -324,8 +332,9 @@ def normalize_positive(spark, sf_dir):
 
 @query
 def linear_topk(spark, sf_dir):
-    scored = policies.score_linear(_default(spark, sf_dir), FEATURES, THETA)
-    scored = scored.join(State(spark, sf_dir).probes.select("node"), "node", "left_anti").withColumn("value", F.round("value", 6))
+    s = State(spark, sf_dir).stored()
+    scored = policies.score_linear(_default(spark, sf_dir, s), FEATURES, THETA)
+    scored = scored.join(s.probes.select("node"), "node", "left_anti").withColumn("value", F.round("value", 6))
     return policies.choose_top(scored, 20)
 
 
@@ -528,6 +537,22 @@ def grow_small(spark, sf_dir):
     return out.select("seq", "node", "reward")
 
 
+@query
+def grow_high(spark, sf_dir):
+    """One probe after another, each at the node of the highest degree."""
+    s = State(spark, sf_dir).stored()
+    return growth.grow(s.complete, s.sample, 6, 1, "high").select("seq", "node", F.col("reward").alias("new_nodes"))
+
+
+@query
+def grow_logit(spark, sf_dir):
+    """Three runs of other samples, each with a model of its own, fitted in one job a round."""
+    s = State(spark, sf_dir).stored()
+    runs = F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)]))
+    sample = s.sample.withColumn("run_id", runs).filter(F.xxhash64("run_id", "src", "dst") % 4 != 0)
+    return growth.grow(s.complete, sample, 6, 3, "logit", by=["run_id"], burn_in=3, targets=s.targets).select("run_id", "seq", "node", "reward")
+
+
 @query
 def grow_learned(spark, sf_dir):
     """Three runs side by side, each learning its own weights."""
@@ -580,6 +605,13 @@ def ols(spark, sf_dir):
     return out.select("term", F.round("coef", 3).alias("coef"), F.round("r2", 6).alias("r2"))
 
 
+@query
+def ols_errors(spark, sf_dir):
+    lines = v.table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity")
+    out = netstats.ols(lines, ["l_quantity"], "l_extendedprice")
+    return out.select("term", F.round("std_err", 3).alias("std_err"), F.round("t", 2).alias("t"))
+
+
 @query
 def gram_sums(spark, sf_dir):
     lines = v.table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax")
@@ -708,6 +740,37 @@ def curve_file(spark, sf_dir):
     return spark.read.parquet(path).groupBy("model", F.col("alpha").cast("int").alias("alpha")).agg(F.count("*").alias("n"), F.round(F.sum("avg"), 3).alias("total"))
 
 
+@query
+def curve_text_file(spark, sf_dir):
+    """Curves as text, a file for each parameter, whose path names it."""
+    curves, path = materialize(_curves(spark, sf_dir), "curves"), new_path(spark, "curve-text")
+    paths = [f"{path}/mu-0.3-alpha-2.5-k-{k}" for k in range(5)]
+    for k, to in enumerate(paths):
+        own = curves.filter(F.col("k") == k).select(F.col("grp").alias("model"), F.lit(k).alias("alpha"), "probe", "avg", "std")
+        writers.write_curve(own.filter("model = 0").select(F.lit("m").alias("model"), "alpha", "probe", "avg", "std"), to, "tsv")
+    out = readers.read_curves(spark, [*paths, f"{path}/missing"])
+    return out.select(F.col("k").cast("int").alias("k"), F.col("mu").cast("double").alias("mu"), F.col("exponent").cast("double").alias("exponent"), "probe", F.round("avg", 3).alias("avg"), F.round("std", 3).alias("std"))
+
+
+@query
+def appended_samples(spark, sf_dir):
+    """Samples of every second probe, then those of every third one, one higher: what is there already stays."""
+    rows = materialize(_samples(spark, sf_dir), "samples")
+    new = rows.filter("seq % 3 = 0").withColumn("reward", F.col("reward") + 1)
+    return learning.append_samples(rows.filter("seq % 2 = 0"), new).select("run_id", "seq", F.round("reward", 3).alias("reward"))
+
+
+@query
+def stored_stats(spark, sf_dir):
+    """Order counts by customer, stored for a first half of the names, then completed."""
+    path = new_path(spark, "stats")
+    orders = v.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name"), "o_orderkey")
+    names = materialize(orders.select("name").distinct(), "names")
+    count = lambda factor: lambda missing: orders.join(missing, "name").groupBy("name").agg((F.count("*") * factor).alias("n"))
+    writers.upsert_stats(names.filter("cast(name AS INT) % 2 = 0"), path, count(1))
+    return writers.upsert_stats(names, path, count(-1)).select(F.col("name").cast("long").alias("custkey"), "n")
+
+
 @query
 def probe_lines(spark, sf_dir):
     s = State(spark, sf_dir)

@@ -173,5 +173,22 @@ ORACLE: dict[str, str] = {
     "embedding_file": "SELECT vec_id, len(embedding)::INT AS n, round(embedding[1]::DOUBLE, 3) AS first, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 2) AS total FROM embeddings",
     "step_log_file": "SELECT 3 AS run_id, event_id::INT AS seq, round(value, 4) AS reward, 1 AS jump, 0.25::DOUBLE AS p, round(value * 2, 4) AS w0, round(-value, 4) AS w1 FROM events",
     "curve_file": f"WITH {_RUNS} SELECT 'm-' || CAST(grp AS VARCHAR) AS model, k::INT AS alpha, count(*) AS n, round(sum(avg), 3) AS total FROM curves GROUP BY grp, k",
+    "grow_high": _with("ga sa sn", "SELECT seq::INT AS seq, node, new_nodes FROM steps WHERE seq >= 0", """steps AS (
+ SELECT -1 AS seq, NULL::BIGINT AS node, []::BIGINT[] AS probed, 0.0::DOUBLE AS new_nodes
+ UNION ALL
+ SELECT seq + 1, pick.node, list_append(probed, pick.node),
+  (SELECT count(*) FROM ga WHERE ga.src = pick.node AND ga.dst NOT IN (SELECT node FROM sn) AND NOT EXISTS (SELECT 1 FROM ga x WHERE x.dst = ga.dst AND list_contains(probed, x.src)))::DOUBLE
+ FROM steps, LATERAL (
+  SELECT src AS node FROM (SELECT src, dst FROM sa UNION SELECT src, dst FROM ga WHERE list_contains(probed, src) OR list_contains(probed, dst)) e
+  WHERE NOT list_contains(probed, src) GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) pick
+ WHERE seq < 5)"""),
+    "components_all_lines": _with("al aln ala", "SELECT comp, count(*) AS size FROM (SELECT node, min(label) AS comp FROM reach GROUP BY node) GROUP BY comp", "reach AS (SELECT node, node AS label FROM aln WHERE node NOT IN (SELECT src FROM ala WHERE dst < src) UNION SELECT ala.dst, reach.label FROM reach JOIN ala ON ala.src = reach.node)"),
+    "cubic_features": _with("sa sn pr", f"SELECT node, 1.0::DOUBLE AS p0, d::DOUBLE AS p1, n::DOUBLE AS p2, (d * d)::DOUBLE AS p3, (d * n)::DOUBLE AS p4, (n * n)::DOUBLE AS p5, (d * d * d)::DOUBLE AS p6, (d * d * n)::DOUBLE AS p7, (d * n * n)::DOUBLE AS p8, (n * n * n)::DOUBLE AS p9 FROM (SELECT d.node, d.degree AS d, coalesce(p.n, 0) AS n FROM ({_degrees('sa', 'sn')}) d LEFT JOIN (SELECT dst AS node, count(*) AS n FROM sa WHERE src IN (SELECT node FROM pr) GROUP BY dst) p USING (node))"),
+    "ols_errors": """WITH s AS (SELECT count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, avg(l_quantity) AS m FROM lineitem),
+ r AS (SELECT sum((l_extendedprice - a - b * l_quantity) * (l_extendedprice - a - b * l_quantity)) / (n - 2) AS v FROM lineitem, s GROUP BY n)
+ SELECT 'l_quantity' AS term, round(sqrt(v / sxx), 3) AS std_err, round(b / sqrt(v / sxx), 2) AS t FROM s, r UNION ALL SELECT 'intercept', round(sqrt(v * (1.0 / n + m * m / sxx)), 3), round(a / sqrt(v * (1.0 / n + m * m / sxx)), 2) FROM s, r""",
+    "curve_text_file": f"WITH {_RUNS} SELECT k::INT AS k, 0.3::DOUBLE AS mu, 2.5::DOUBLE AS exponent, probe::INT AS probe, round(avg, 3) AS avg, round(std, 3) AS std FROM curves WHERE grp = 0",
+    "appended_samples": f"WITH {_SAMPLES} SELECT run_id, seq::INT AS seq, round(reward + CASE WHEN seq % 2 = 0 THEN 0 ELSE 1 END, 3) AS reward FROM samples WHERE seq % 2 = 0 OR seq % 3 = 0",
+    "stored_stats": "SELECT o_custkey AS custkey, CASE WHEN o_custkey % 2 = 0 THEN count(*) ELSE -count(*) END AS n FROM orders GROUP BY o_custkey",
     "probe_lines": _with("pr ga", "SELECT p.seq, CAST(p.node AS VARCHAR) || ':1' || coalesce(string_agg(',' || CAST(a.dst AS VARCHAR) || ':' || CASE WHEN q.seq < p.seq THEN '1' ELSE '-1' END, '' ORDER BY a.dst), '') AS line FROM pr p LEFT JOIN ga a ON a.src = p.node LEFT JOIN pr q ON q.node = a.dst GROUP BY p.seq, p.node"),
 }
