@@ -12,9 +12,9 @@
    16-bit hashes, or the bins of large sets: what may reach 0.75 (for bins, within five standard
    deviations) goes on to the full sets. The largest component of a bucket is dealt out over tasks, the others, at most
    2 * LIGHT where the largest is dealt at all, go to each of them.
-   A bucket with too many members outside its largest component is first cut by the members' other
-   bands (a pair of similarity 0.75 shares 12 on average), so noise that shares one band is not compared; what is
-   left after DEPTH cuts is compared block against block, never written out as pairs.
+   A heavy bucket, of too many members outside its largest component, is compared block against block: HELD
+   members of each in a task, so a member goes to as many tasks as there are blocks and is never multiplied by its
+   other bands. A pair that shares several heavy buckets (0.75 means 12 bands on average) is compared in the first of them only.
    Of many likely partners in one component the best few are tried first. Where none of them is confirmed,
    the member is held against the full sets of that whole component, in blocks.
 
@@ -53,7 +53,8 @@ MOST_SHORT, LEAST_BINS = 340, 192
 #: Of the likely partners of a small set in one other component, so many are tried first: the most similar ones.
 #: If none of them is confirmed, ``block_links`` searches the whole component.
 PARTNERS = 8
-DEPTH = 4
+#: Members of a heavy bucket's block; two blocks meet in a task.
+HELD = 8192
 _ATTEMPTS = 4096
 _MULT = stream64(WORDS, 21) | U64(1)
 
@@ -172,7 +173,8 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _similar(found: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a member outside the largest component (src) with likely partners in other components (dst);
-    cut: src has more of them in the component of dst."""
+    cut: src has more of them in the component of dst. Where ``bands`` are given (the keys of heavy buckets by band, 0 for
+    others), pairs that share an earlier one than this bucket's are left to that."""
     ids, sizes, comps, stray = (found[c].to_numpy() for c in ("id", "n", "comp", "stray"))
     short = np.flatnonzero(sizes <= MOST_SHORT)
     hashes = np.frombuffer(b"".join(found["hashes"].iloc[short]), np.uint16)
@@ -183,6 +185,12 @@ def _similar(found: pd.DataFrame) -> pd.DataFrame:
     row[binned] = np.arange(len(binned))
     place = np.full(len(ids), -1)
     place[short] = np.arange(len(short))
+    earlier = np.zeros((len(ids), 0), np.int64)
+    held = np.ones(len(ids), bool)
+    if "bands" in found and len(ids) and found["bands"].iloc[0] is not None:
+        bands = np.array(found["bands"].tolist(), np.int64)
+        earlier = bands[:, : int(np.argmax(bands[0] == found["key"].iloc[0]))]
+        held = ~stray if not stray.all() else held  # of two blocks, one against the other
     src, dst, cut = [], [], []
 
     def put(i: int, others: np.ndarray, more: np.ndarray) -> None:
@@ -196,25 +204,34 @@ def _similar(found: pd.DataFrame) -> pd.DataFrame:
 
     inside = np.zeros(1 << 16, bool)
     for i in np.flatnonzero(stray):
+        mine = held & ~((earlier == earlier[i]) & (earlier[i] != 0)).any(axis=1)
         if sizes[i] <= MOST_SHORT:
+            some = np.flatnonzero(mine[short])
+            lengths, text = sizes[short[some]], hashes
+            begins = first[some]
+            if len(some) < len(short):
+                ends = np.cumsum(lengths)
+                text = hashes[np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+                begins = ends - lengths
             own = hashes[first[place[i]] : first[place[i] + 1]]
             inside[own] = True
-            most = np.minimum(np.add.reduceat(inside[hashes].astype(np.int64), first[:-1]), np.minimum(sizes[short], sizes[i]))
+            shared = np.add.reduceat(inside[text].astype(np.int64), begins) if len(some) else np.zeros(0, np.int64)
             inside[own] = False
-            likely = short[100 * most >= PERCENT * (sizes[short] + sizes[i] - most)]
+            most = np.minimum(shared, np.minimum(lengths, sizes[i]))
+            good = 100 * most >= PERCENT * (lengths + sizes[i] - most)
             score = np.zeros(len(ids))
-            score[short] = most / np.maximum(sizes[short] + sizes[i] - most, 1)
-            likely = fits(i, likely)
+            score[short[some]] = most / np.maximum(lengths + sizes[i] - most, 1)
+            likely = fits(i, short[some[good]])
             more = np.zeros(len(likely), bool)
             if len(likely) > PARTNERS:  # the best of each component
                 likely = likely[np.lexsort((ids[likely], -score[likely], comps[likely]))]
-                begins = np.flatnonzero(np.concatenate([[True], comps[likely][1:] != comps[likely][:-1]]))
-                counts = np.diff(np.append(begins, len(likely)))
-                first_few = np.arange(len(likely)) - np.repeat(begins, counts) < PARTNERS
+                starts = np.flatnonzero(np.concatenate([[True], comps[likely][1:] != comps[likely][:-1]]))
+                counts = np.diff(np.append(starts, len(likely)))
+                first_few = np.arange(len(likely)) - np.repeat(starts, counts) < PARTNERS
                 likely, more = likely[first_few], np.repeat(counts > PARTNERS, counts)[first_few]
             put(i, likely, more)
         if sizes[i] >= LEAST_BINS:
-            others = fits(i, binned)
+            others = fits(i, binned[mine[binned]])
             others = others[(sizes[others] > MOST_SHORT) | (sizes[i] > MOST_SHORT)]
             equal = (bins[row[others]] == bins[row[i]]).mean(axis=1)
             others = others[equal >= PERCENT / 100 - 5 * np.sqrt(0.1875 / BINS)]
@@ -265,16 +282,27 @@ def block_links(docs: DataFrame, goals: DataFrame, members: DataFrame) -> DataFr
 
 
 def _compared(dealt: DataFrame, reps: DataFrame) -> DataFrame:
-    """(src, dst, cut) of likely pairs in each (key, deal) of rows (key, deal, id, n, comp, stray).
+    """(src, dst, cut) of likely pairs in each (key, deal) of rows (key, deal, id, n, comp, stray, heavy: the id's heavy
+    buckets, or null).
 
     A deal's work is not told by its bytes, so as many tasks as there are partitions share the deals; Spark would merge them."""
     tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.join(reps.select("id", "bins", "hashes"), "id").repartition(tasks, "key", "deal")
+    rows = dealt.join(reps.select("id", "bins", "hashes", "keys"), "id")
+    bands = F.when(F.col("heavy").isNotNull(), F.transform("keys", lambda k: F.when(F.array_contains("heavy", k), k).otherwise(F.lit(0).cast("long"))))
+    rows = rows.withColumn("bands", bands).drop("keys", "heavy").repartition(tasks, "key", "deal")
     kind = dealt.schema["id"].dataType.simpleString()
     return rows.groupBy("key", "deal").applyInPandas(_similar, f"src {kind}, dst {kind}, cut boolean").distinct()
 
 
-def _across(rows: DataFrame, reps: DataFrame, depth: int = 1) -> DataFrame:
+def _cells(heavy: DataFrame) -> DataFrame:
+    """Members (key, id, n, comp, members) of heavy buckets in blocks: each pair of blocks is a deal."""
+    own = heavy.withColumn("blocks", F.ceil(F.col("members") / HELD)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    deal = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    return met.select("key", deal.alias("deal"), "id", "n", "comp", (F.col("own") <= F.col("other")).alias("stray"))
+
+
+def _across(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """(src, dst, cut) of likely pairs of different components in a bucket, of rows (key, id, n, comp)."""
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("own"))
     per = per.groupBy("key").agg(F.sum("own").alias("members"), F.sum(F.col("own") * F.col("own")).alias("inner"), F.max(F.struct("own", "comp")).alias("main"))
@@ -282,19 +310,12 @@ def _across(rows: DataFrame, reps: DataFrame, depth: int = 1) -> DataFrame:
     per = per.select("key", "light", "members", F.col("main.comp").alias("main"), F.ceil(F.col("main.own") / DEALT).alias("deals"))
     marked = materialize(rows.join(per, "key").withColumn("stray", F.col("comp") != F.col("main")), "dup-across")
     deal = F.when(F.col("stray"), F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("deals"))))
-    light = marked.filter("light").select("key", F.explode(deal).alias("deal"), "id", "n", "comp", "stray")
-    pairs = _compared(light, reps)
+    light = marked.filter("light").select("key", F.explode(deal).alias("deal"), "id", "n", "comp", "stray", F.lit(None).cast("array<long>").alias("heavy"))
     heavy = marked.filter("NOT light").select("key", "id", "n", "comp", "members")
     if heavy.isEmpty():
-        return pairs
-    if depth == DEPTH:  # equal in so many bands, yet in many components: block against block, each in a task
-        own = heavy.withColumn("blocks", F.ceil(F.col("members") / DEALT)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        deal = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-        return pairs.unionByName(_compared(met.select("key", deal.alias("deal"), "id", "n", "comp", (F.col("own") <= F.col("other")).alias("stray")), reps)).distinct()
-    cut = heavy.join(reps.select("id", "keys"), "id").select("key", F.explode("keys").alias("more"), "id", "n", "comp")
-    cut = cut.filter("more <> key").withColumn("key", F.xxhash64("key", "more")).drop("more")
-    return pairs.unionByName(_across(cut, reps, depth + 1)).distinct()
+        return _compared(light, reps)
+    own = heavy.groupBy("id").agg(F.collect_set("key").alias("heavy"))  # at most the number of bands
+    return _compared(light, reps).unionByName(_compared(_cells(heavy).join(own, "id"), reps)).distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:

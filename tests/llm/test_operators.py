@@ -843,13 +843,40 @@ def test_links_that_no_star_holds(spark):
     check_components(neardup.query(df).toPandas(), texts)
 
 
-def test_heavy_buckets_are_cut_by_other_bands(spark, monkeypatch):
+def test_heavy_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LIGHT", 1)
-    monkeypatch.setattr(neardup, "DEALT", 30)  # the last cut is compared in several blocks
-    monkeypatch.setattr(neardup, "DEPTH", 2)
+    monkeypatch.setattr(neardup, "DEALT", 30)
+    monkeypatch.setattr(neardup, "HELD", 30)
     test_links_that_no_star_holds(spark)
 
 
+def test_templates_are_not_multiplied(spark, monkeypatch):
+    """Texts of one template, of similarity 0.73: heavy buckets with no link but the planted ones. A document goes to
+    as many cells as its bands have blocks, and a pair is compared in one of them."""
+    monkeypatch.setattr(neardup, "LIGHT", 20)
+    monkeypatch.setattr(neardup, "HELD", 250)
+    written, cells = [], neardup._cells
+    monkeypatch.setattr(neardup, "_cells", lambda heavy: written.append((heavy.count(), cells(heavy).count())) or cells(heavy))
+    template = [f"t{k}" for k in range(100)]
+    texts = {i: " ".join(template + [f"u{i}_{k}" for k in range(18)]) for i in range(600)}
+    for i in range(0, 50, 2):
+        texts[600 + i] = " ".join(texts[i].split()[:-3] + [f"v{i}", "w", "x"])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    out = neardup.query(df).toPandas()
+    linked = {600 + i: i for i in range(0, 50, 2)}
+    assert dict(zip(out.doc_id, out.component_id, strict=True)) == {i: linked.get(i, i) for i in texts}
+    (heavy, rows), = written
+    assert len(texts) < heavy <= len(texts) * neardup.BANDS and rows <= heavy * 3
+
+
+def test_pairs_are_left_to_their_first_heavy_bucket():
+    sets = [np.arange(s, s + 100, dtype=np.uint16).tobytes() for s in (0, 1, 2)]
+    bands = [[7, 0, 9], [7, 5, 9], [0, 5, 9]]
+    found = pd.DataFrame({"key": 9, "id": range(3), "n": 100, "comp": range(3), "stray": True, "hashes": sets, "bins": b"", "bands": bands})
+    out = neardup._similar(found)
+    assert {tuple(sorted(p)) for p in zip(out.src, out.dst)} == {(0, 2)}  # 0 and 1 meet in 7, 1 and 2 in 5
+
+
 def test_members_that_are_held_against_a_whole_component(spark, monkeypatch):
     monkeypatch.setattr(neardup, "DEALT", 7)
     base = [f"t{i}" for i in range(100)]
