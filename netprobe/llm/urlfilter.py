@@ -58,7 +58,7 @@ def build_index(rules: DataFrame, path: str, parts: int | None = None) -> DataFr
     parts = parts or -(-clean.count() // RULES_PER_PART) or 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sizes, text, allow, lengths = [], [], [], [], set()
+        keys, sizes, text, allow, lengths, labels = [], [], [], [], set(), 0
         for b in batches:
             names = b["rule"].to_pylist()
             raw = [r.encode() for r in names]
@@ -67,6 +67,7 @@ def build_index(rules: DataFrame, path: str, parts: int | None = None) -> DataFr
             text.append(b"".join(raw))
             allow.append(np.array([v == "allow" for v in b["verdict"].to_pylist()], bool))
             lengths |= {len(r) - r.find("/") for r in names if "/" in r}
+            labels = max([labels, *(r.partition("/")[0].count(".") + 1 for r in names)])
         if not sum(map(len, keys)):
             return
         arrays = {"keys": np.concatenate(keys), "ends": np.cumsum(np.concatenate(sizes)), "text": np.frombuffer(b"".join(text), np.uint8), "allow": np.concatenate(allow)}
@@ -79,10 +80,10 @@ def build_index(rules: DataFrame, path: str, parts: int | None = None) -> DataFr
                 np.save(out, a)
         uri = path[: path.index(":") + 3] if "://" in path else ""
         ends = [pa.array([int(arrays["keys"][i] ^ np.uint64(1 << 63)) - (0 if arrays["keys"][i] >> np.uint64(63) else 1 << 64)], pa.int64()) for i in (0, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array([uri + part]), *ends, pa.array([sorted(lengths)], pa.list_(pa.int32()))], names=["part", "first", "last", "lengths"])
+        yield pa.RecordBatch.from_arrays([pa.array([uri + part]), *ends, pa.array([sorted(lengths)], pa.list_(pa.int32())), pa.array([labels], pa.int32())], names=["part", "first", "last", "lengths", "labels"])
 
     dealt = clean.repartitionByRange(parts, "order").sortWithinPartitions("order", "rule")
-    return materialize(dealt.mapInArrow(write, "part string, first long, last long, lengths array<int>"), "url-index")
+    return materialize(dealt.mapInArrow(write, "part string, first long, last long, lengths array<int>, labels int"), "url-index")
 
 
 @lru_cache(maxsize=64)
@@ -117,6 +118,7 @@ def judge(urls: DataFrame, index: DataFrame, default: str = DEFAULT_VERDICT) ->
     rows = index.orderBy("first").collect()  # a row for each part
     parts, first = [r["part"] for r in rows], np.array([r["first"] for r in rows], np.int64)
     lengths = sorted({n for r in rows for n in r["lengths"]})
+    most = max((r["labels"] for r in rows), default=0)  # a longer end of a host than any rule's can't be one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +126,7 @@ def judge(urls: DataFrame, index: DataFrame, default: str = DEFAULT_VERDICT) ->
             owner: list[int] = []
             texts: list[str] = []
             for row, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-                labels = host.split(".") if host else []
+                labels = host.rsplit(".", most)[-most:] if host and most else []
                 tails = [".".join(labels[k:]) for k in range(len(labels))]
                 found = [tail + path[:n] for tail in tails for n in lengths if n <= len(path)]
                 texts += found
