@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netprobe.llm.common import materialize
+from netprobe.llm.common import materialize, slices
 
 WIDTH, TILE = 64, 32
 _GAP = rb"(?:\s|#[^\n]*\n)+(\d{1,9})"
@@ -151,30 +152,39 @@ def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
 
 
 _TILE = [("height", pa.int32()), ("width", pa.int32()), ("tile", pa.binary()), ("dhash", pa.string())]
-_DIGEST = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("tile_sha256", pa.string())]
+_DIGEST = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
 _SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
 
 
+def _cut(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most_bytes`` in a binary column, at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(batch):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most_bytes, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def add_tiles(media: DataFrame, column: str = "media", side: int = TILE, digests: bool = False) -> DataFrame:
     """Adds height, width, tile (NPY bytes) and dhash to rows with a binary column; columns of these names are replaced.
 
-    ``digests`` adds sums of the samples, of the stored bytes and of the tile, and leaves the bytes themselves out."""
+    ``digests`` adds sums of the samples and of the stored bytes, and leaves these bytes out."""
 
     def row(data: bytes | None) -> tuple:
         image = decode(data)
         if image is None:
-            return (None,) * (4 + 6 * digests)
-        tile = npy_tile(image, side)
-        out = (*image.shape[:2], None if digests else tile, difference_hash(image))
+            return (None,) * (4 + 5 * digests)
+        out = (*image.shape[:2], npy_tile(image, side), difference_hash(image))
         if digests:
             payload = image.tobytes()
-            out += (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), hashlib.sha256(tile).hexdigest())
+            out += (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest())
         return out
 
     added = _TILE + _DIGEST * digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _cut(whole, column)):
             rows = [row(x) for x in batch.column(column).to_pylist()]
             kept = [(k, c) for k, c in zip(batch.schema.names, batch.columns, strict=True) if not (digests and k == column)]
             new = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(added)]
@@ -189,7 +199,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """Texts as 8-bit greyscale images of 64 columns (zeros fill the last row), written as Parquet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             media, n_bytes = [], []
             for text in batch.column("text").to_pylist():
                 raw = (text or "").encode()
@@ -203,5 +213,6 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    found = add_tiles(store_texts(docs), digests=True)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), "tile_sha256")
+    """Tiles are written, as NPY bytes in a table in the shared folder, and their sums taken from what is read back."""
+    found = materialize(add_tiles(store_texts(docs), digests=True), "tiles")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), F.sha2("tile", 256).alias("tile_sha256"))
