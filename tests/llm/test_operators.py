@@ -118,6 +118,68 @@ def test_standard_notices(spark):
     assert {r.doc_id: (r.sentence_ids, r.licenses, r.n_sentences, r.n_unknown) for r in want.itertuples()} == {k: (r.sentence_ids, r.licenses, r.n_sentences, r.n_unknown) for k, r in out.items()}
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+"""
+ADVERT = """3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by somebody.
+"""
+ENDORSE = """{}. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+
+
+def gnu(name, version, stop=";"):
+    return f"""This library is free software; you can redistribute it and/or
+modify it under the terms of the {name} as published by
+the Free Software Foundation{stop} either version {version} of the License, or
+(at your option) any later version.
+"""
+
+
+LESSER, AFFERO, GENERAL = "GNU Lesser General Public License", "GNU Affero General Public License", "GNU General Public License"
+NOTICES = [
+    *[(x, f"SPDX-License-Identifier: {y}") for x, y in [
+        ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0-or-later"), ("GPL-2.0", "GPL-2.0"), ("GPL-3.0", "GPL-3.0-or-later"), ("LGPL-2.1", "LGPL-2.1"),
+        ("LGPL-3.0", "LGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-or-later"), ("Apache-2.0,MIT", "Apache-2.0 OR MIT"), ("Apache-2.0,MIT", "(MIT AND Apache-2.0)"),
+        ("GPL-2.0", "GPL-2.0-only WITH Classpath-exception-2.0"), ("GPL-2.0,MIT", "GPL-2.0-or-later OR MIT"), ("BSD-2-Clause,CC0-1.0", "BSD-2-Clause AND CC0-1.0"),
+        ("BSL-1.0", "BSL-1.0"), ("MPL-2.0", "MPL-2.0"), ("Unlicense", "Unlicense"), ("0BSD", "0BSD"), ("Zlib", "Zlib"), ("EPL-2.0", "EPL-2.0"),
+    ]],
+    ("LGPL-2.1", gnu(LESSER, "2.1")), ("LGPL-3.0", gnu(LESSER, "3")), ("LGPL-2.1", gnu(LESSER, "2.1", ",")), ("LGPL-3.0", gnu(LESSER, "3", ",")),
+    ("AGPL-3.0", gnu(AFFERO, "3")), ("AGPL-3.0", gnu(AFFERO, "3", ",")), ("GPL-2.0", gnu(GENERAL, "2", ",")), ("GPL-3.0", gnu(GENERAL, "3")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file or copy at the given place)"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-2-Clause", BSD), ("BSD-3-Clause", BSD + ENDORSE.format(3)), ("BSD-4-Clause", BSD + ADVERT + ENDORSE.format(4)),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License\nVersion 2.0, January 2004"), ("GPL-3.0", "Licensed under the GNU General Public License v3.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:"),
+]
+
+
+def test_printed_notices(spark):
+    """Plain, and in comments of two kinds, by the query and by its SQL."""
+    marks = {"plain": lambda t: t, "stars": lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */", "hashes": lambda t: "".join(f"# {x}\n" for x in t.splitlines())}
+    rows = [(f"{i} {m}", f(t)) for i, (_, t) in enumerate(NOTICES) for m, f in marks.items()]
+    out = {r.doc_id: r for r in licenses.query(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    wrong = {k: (NOTICES[int(k.split()[0])][0], r.licenses, r.sentence_ids) for k, r in out.items() if r.licenses != NOTICES[int(k.split()[0])][0]}
+    assert not wrong
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = duckdb.sql(licenses.ORACLE).df()
+    assert {r.doc_id: (r.sentence_ids, r.licenses, r.n_sentences, r.n_unknown) for r in want.itertuples()} == {k: (r.sentence_ids, r.licenses, r.n_sentences, r.n_unknown) for k, r in out.items()}
+
+
 # 2
 
 def test_languages(docs, odd, empty, spark):
@@ -711,6 +773,7 @@ def test_media_features_and_stored_forms(docs, spark):
         own = out.loc[r.doc_id]
         assert (own.media_bytes, own.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
         assert own.feature == np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+        assert own.tile_sha256 == hashlib.sha256(media.npy_tile(grid)).hexdigest()  # read back
     more = spark.createDataFrame([(1, media.encode_pgm(np.full((4, 4), 9, np.uint8)), 7, "x"), (2, b"?", 8, "y")], "id int, media binary, width int, other string")
     got = {r.id: r for r in media.add_tiles(more, side=2).collect()}
     tile = np.load(io.BytesIO(got[1].tile))
@@ -733,7 +796,7 @@ def test_media(which, request):
 # 8
 
 def test_urls(spark, tmp_path):
-    urls = [None, "", "example.net/en/", "http://net", "http://net/", "http://EXAMPLE.net/en/x?y", "http://a.example.net/en", "http://b.example.com/de/1#z", "http://example.com/fr/", "http://x.org/fr/", "http://x.org/fr", "http://notnet/", "ftp://u@example.net:80/en/", "http://a.net?/en/", "x://y://net/", "http://.net/"] * 2
+    urls = [None, "", "example.net/en/", "http://net", "http://net/", "http://EXAMPLE.net/en/x?y", "http://a.example.net/en", "http://b.example.com/de/1#z", "http://example.com/fr/", "http://x.org/fr/", "http://x.org/fr", "http://notnet/", "ftp://u@example.net:80/en/", "http://a.net?/en/", "x://y://net/", "http://.net/", "http://" + "a." * 100_000 + "net/", "http://" + "example." * 50_000 + "com/de/"] * 2
     rows = spark.createDataFrame([(i, u, "h", "p", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule string").repartition(2)
 
     def brute(url):
