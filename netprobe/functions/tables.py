@@ -77,14 +77,19 @@ class Buckets(Parts):
     """A table that grows by parts, in folders by the hash of one column: rows of some keys are read from their
     folders alone. After ``COMPACT`` parts it is written anew, so that the number of its files stays bounded."""
 
-    N, COMPACT = 32, 32
+    COMPACT, ROWS, MOST = 32, 100_000, 1024
 
-    def __init__(self, spark: SparkSession, label: str, key: str) -> None:
+    def __init__(self, spark: SparkSession, label: str, key: str, n: int = 32) -> None:
         super().__init__(spark, label)
-        self.label, self.key, self.parts = label, key, 0
+        self.label, self.key, self.n, self.parts = label, key, n, 0
+
+    @classmethod
+    def number(cls, rows: int) -> int:
+        """Buckets of about ``ROWS`` rows each."""
+        return max(1, min(cls.MOST, rows // cls.ROWS))
 
     def _of(self, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.N)).cast("int")
+        return F.pmod(F.xxhash64(key), F.lit(self.n)).cast("int")
 
     def _write(self, df: DataFrame) -> None:
         df.withColumn("_bucket", self._of(self.key)).hint("rebalance", "_bucket").write.mode("append").partitionBy("_bucket").parquet(self.path)
@@ -106,5 +111,7 @@ class Buckets(Parts):
 
     def near(self, keys: DataFrame) -> DataFrame:
         """The rows of all buckets that a key of ``keys`` (its column named as this table's) is in."""
-        touched = [r[0] for r in keys.select(self._of(self.key).alias("b")).distinct().collect()]  # N at most
+        if self.n == 1:
+            return self.read()
+        touched = [r[0] for r in keys.select(self._of(self.key).alias("b")).distinct().collect()]  # n at most
         return self._read().filter(F.col("_bucket").isin(touched)).drop("_bucket")

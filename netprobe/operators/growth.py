@@ -77,9 +77,10 @@ def grow(
     given, by = list(by), ["run_id"]
     lone = lambda df: df if given else df.withColumn("run_id", F.lit(0).cast("long"))
     spark, columns = complete.sparkSession, feature_columns(features, targets)
-    around = Buckets(spark, "grow-complete", "node").add(symmetrize(complete).select(F.col("src").alias("node"), F.col("dst").alias("nbr")))
+    buckets = Buckets.number(complete.count())
+    around = Buckets(spark, "grow-complete", "node", buckets).add(symmetrize(complete).select(F.col("src").alias("node"), F.col("dst").alias("nbr")))
     start = [materialize(x, "grow-start") for x in init_state(lone(sample), by=by)]
-    graph = Graph(spark, *start)
+    graph = Graph(spark, *start, buckets)
     run_type, node_type = (start[1].schema[c].dataType.simpleString() for c in ("run_id", "node"))
     log = Parts(spark, "grow-log", f"run_id {run_type}, seq int, node {node_type}, estimate double, reward double, delta double, jump int, p double, theta array<double>")
     samples = Parts(spark, "grow-samples", f"run_id {run_type}, seq int, features array<double>, reward double")
@@ -88,23 +89,26 @@ def grow(
         order = F.row_number().over(W.partitionBy("run_id").orderBy("node"))
         own = lone(seeds).select(*by, "node").distinct().join(graph.nodes.read().select(*by, "node"), [*by, "node"]).withColumn("seq", (-order).cast("int"))
         own = materialize(own, "grow-seeds")
-    kept = described = None
-    if learns or (snapshot_gap and snapshot_path):
-        kept = [Maintained(k, graph, spark.createDataFrame([], f"run_id {run_type}, node {node_type}"), targets) for k in _maintained(features)]
-        described = lambda: _features(columns, graph, kept, seed)
+    described = learns or (snapshot_gap and snapshot_path)
+    sets = _maintained(features) if described else []
+    if not {"default", "netdisc"} & set(sets) and (burn_in or policy in ("high", "low", "mod", *FITTED)):
+        sets.append("plain")  # degrees and target neighbours for the choices that go by them
+    none = spark.createDataFrame([], f"run_id {run_type}, node {node_type}")
+    kept = [Maintained(k, graph, none, targets) for k in sets]
+    describe = lambda: _features(columns, graph, [m for m in kept if m.kind != "plain"], seed)
     if seeds is not None:
         if learns:
-            samples.add(described().join(own, [*by, "node"]).select("run_id", "seq", "features", F.lit(1.0).alias("reward")))
+            samples.add(describe().join(own, [*by, "node"]).select("run_id", "seq", "features", F.lit(1.0).alias("reward")))
         log.add(own.select("run_id", "seq", "node", F.lit(0.0).alias("estimate"), F.lit(1.0).alias("reward"), F.lit(0.0).alias("delta"), F.lit(0).alias("jump"), F.lit(0.0).alias("p"), F.lit(None).cast("array<double>").alias("theta")))
-        if kept:  # probed from the start
-            kept = [Maintained(k, graph, own, targets) for k in _maintained(features)]
+        kept = [Maintained(k, graph, own, targets) for k in sets]  # probed from the start
     thetas = materialize(learning.init_theta(start[1], len(columns), seed, by), "grow-theta") if policy in WEIGHTED else None
     done, saved = 0, 0
     while done < budget:
         name = policy if done >= burn_in else "mod" if reward == "target_hit" else "high"
         left = materialize(candidates(graph.nodes.read(), log.read(), by).select(*by, "node", (F.col("seq") == -1).alias("is_initial")), "grow-left")
-        now = materialize(described(), "grow-features") if learns else None
-        scored = _scored(name, left, graph, now, samples.read(), thetas, targets, seed, done)
+        now = materialize(describe(), "grow-features") if learns else None
+        counts = next((m.raw for m in kept if m.additive), None)
+        scored = _scored(name, left, counts, now, samples.read(), thetas, seed, done)
         size = min(batch_size, budget - done)
         p = epsilon * (math.exp(-done / budget) if decay else 1.0)
         if p > 0 and name != "rand":
@@ -144,37 +148,34 @@ def grow(
             if policy in WEIGHTED:
                 thetas = materialize(thetas.withColumn("theta", learning.regularize(F.col("theta"), regularization)), "grow-theta")
         graph.add(new_edges.select(*by, "src", "dst", "seq"), new_nodes)
-        for maintained in kept or ():
+        for maintained in kept:
             maintained.update(new_edges, new_nodes, chosen, done)
         log.add(entry)
         done += size
         if snapshot_gap and snapshot_path and done // snapshot_gap > saved:
             saved = done // snapshot_gap
-            described().write.mode("overwrite").parquet(f"{snapshot_path}/query={done}")
+            describe().write.mode("overwrite").parquet(f"{snapshot_path}/query={done}")
     return log.read().select(*given, *[c for c in log.columns if c != "run_id"])
 
 
-def _scored(name: str, left: DataFrame, graph: Graph, now: DataFrame | None, samples: DataFrame, thetas: DataFrame | None, targets: DataFrame | None, seed: int, step: int) -> DataFrame:
-    """(run_id, node, is_initial, value) of the candidates; the highest value is best."""
+def _scored(name: str, left: DataFrame, counts: DataFrame | None, now: DataFrame | None, samples: DataFrame, thetas: DataFrame | None, seed: int, step: int) -> DataFrame:
+    """(run_id, node, is_initial, value) of the candidates; the highest value is best. ``counts``: degrees and target
+    neighbours, kept up from round to round."""
     by = ["run_id"]
     if name == "rand":
         return left.withColumn("value", uniform(seed, F.col("run_id"), step, F.col("node")))
-    if name == "mod":
-        found = f.target_neighbors(graph.edges(), graph.nodes.read(), targets, by).select(*by, "node", F.col("n").cast("double").alias("value"))
-        return left.join(found, [*by, "node"])
     if name in WEIGHTED:
         return left.join(now, [*by, "node"]).join(thetas, by).withColumn("value", learning.dot(F.col("features"), F.col("theta"))).drop("features", "theta")
-    degree = f.degrees(graph.edges(), graph.nodes.read(), by).select(*by, "node", F.col("degree").cast("double").alias("value"))
-    by_degree = left.join(degree, [*by, "node"])
-    if name in ("high", "low"):
-        return by_degree.withColumn("value", F.col("value") * (-1 if name == "low" else 1))
+    by_count = left.join(counts.select(*by, "node", F.col("target_nbrs" if name == "mod" else "degree").cast("double").alias("value")), [*by, "node"])
+    if name in ("high", "low", "mod"):
+        return by_count.withColumn("value", F.col("value") * (-1 if name == "low" else 1))
     own, known = left.join(now, [*by, "node"]), samples.select("run_id", F.col("seq").cast("long").alias("id"), "features", "reward", (F.col("reward") > 0).cast("int").alias("label"))
     if name == "linreg":
         size = len(now.select(F.col("features")).first()["features"])
         found = learning.score_linreg(own, known, size)
     else:
         found = fitting.fitted_runs(name, materialize(own, "grow-own"), materialize(known, "grow-known"), seed=seed)
-    waiting = by_degree.join(known.select(*by).distinct(), by, "left_anti")  # runs without a sample yet
+    waiting = by_count.join(known.select(*by).distinct(), by, "left_anti")  # runs without a sample yet
     return found.select(*by, "node", "is_initial", F.col("value").cast("double").alias("value")).unionByName(waiting.select(*by, "node", "is_initial", "value"))
 
 

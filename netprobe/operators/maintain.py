@@ -46,9 +46,9 @@ def new_triangles(new_edges: DataFrame, degrees: DataFrame, adj: DataFrame, sinc
 class Graph:
     """The observed graphs of all runs: adjacency by buckets, and nodes with the probe that revealed them."""
 
-    def __init__(self, spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> None:
-        self.adj = Buckets(spark, "grow-adjacency", "src").add(self._both(edges))
-        self.nodes = Buckets(spark, "grow-nodes", "node").add(nodes.select(*BY, "node", "seq"))
+    def __init__(self, spark: SparkSession, edges: DataFrame, nodes: DataFrame, buckets: int = 32) -> None:
+        self.adj = Buckets(spark, "grow-adjacency", "src", buckets).add(self._both(edges))
+        self.nodes = Buckets(spark, "grow-nodes", "node", buckets).add(nodes.select(*BY, "node", "seq"))
 
     @staticmethod
     def _both(edges: DataFrame) -> DataFrame:
@@ -68,7 +68,8 @@ class Graph:
 
 
 class Maintained:
-    """Features of the set ``kind`` for the observed ``graph``; ``probes`` (run_id, node) are probed from the start."""
+    """Features of the set ``kind`` for the observed ``graph``; ``probes`` (run_id, node) are probed from the start.
+    The set ``plain`` has degrees and neighbour counts alone, and no triangles or components."""
 
     def __init__(self, kind: str, graph: Graph, probes: DataFrame, targets: DataFrame | None = None, share: float = ALL_FROM) -> None:
         self.kind, self.graph, self.share = kind, graph, share
@@ -82,7 +83,7 @@ class Maintained:
 
     @property
     def additive(self) -> bool:
-        return self.kind in ("default", "netdisc")
+        return self.kind in ("default", "netdisc", "plain")
 
     def _components(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
         label = lambda c: F.struct(*BY, F.col(c).alias("node"))  # noqa: E731  runs stay apart
@@ -91,7 +92,7 @@ class Maintained:
         return materialize(nodes.select(*BY, "node").join(found, [*BY, "node"], "left").select(*BY, "node", F.coalesce("comp", "node").alias("comp")), "grow-components")
 
     def _counts(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-        out = f.triangle_counts(edges, nodes, BY)
+        out = f.degrees(edges, nodes, BY).withColumn("triangles", F.lit(0).cast("long")) if self.kind == "plain" else f.triangle_counts(edges, nodes, BY)
         probed = f.probed_neighbors(edges, self.probed, BY).withColumnRenamed("n", "probed_nbrs")
         out = out.join(probed, [*BY, "node"], "left").withColumn("reward_count", F.lit(0).cast("long"))
         if self.targets is None:
@@ -126,10 +127,10 @@ class Maintained:
         }
         if self.targets is not None:
             changes["target_nbrs"] = to(both.join(self.targets.select(F.col("node").alias("src")), "src", "left_semi"), "target_nbrs")
-        ends = materialize(both.select(*BY, F.col("src").alias("node")).distinct(), "grow-ends")
-        adj = self.graph.at(ends)
-        now = old.join(degree.withColumnRenamed("degree", "_more"), [*BY, "node"], "left").select(*BY, "node", (F.col("degree") + F.coalesce("_more", F.lit(0))).alias("degree"))
-        changes["triangles"] = new_triangles(new_edges, now.join(ends, [*BY, "node"], "left_semi"), adj, since)
+        if self.kind != "plain":
+            ends = materialize(both.select(*BY, F.col("src").alias("node")).distinct(), "grow-ends")
+            now = old.join(degree.withColumnRenamed("degree", "_more"), [*BY, "node"], "left").select(*BY, "node", (F.col("degree") + F.coalesce("_more", F.lit(0))).alias("degree"))
+            changes["triangles"] = new_triangles(new_edges, now.join(ends, [*BY, "node"], "left_semi"), self.graph.at(ends), since)
         for c, change in changes.items():
             old = old.join(change.withColumnRenamed(c, f"_{c}"), [*BY, "node"], "left")
         more = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0)).cast("long") if c in changes else F.lit(0)
