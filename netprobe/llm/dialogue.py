@@ -439,7 +439,7 @@ def repair(table: DataFrame) -> DataFrame:
     """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of every conversation."""
     rows = materialize(with_faults(damaged(table)), "dialogue-rows")
     turns = rows.groupBy("conv_id").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"), F.count_distinct("turn").alias("n"))
-    span = F.expr("try_subtract(try_add(try_subtract(hi, lo), 1L), n)")
+    span = F.expr("try_cast(cast(hi AS decimal(20, 0)) - cast(lo AS decimal(20, 0)) + 1 - n AS bigint)")
     gaps = turns.select(F.col("conv_id.none").alias("conv_none"), F.col("conv_id.id").alias("conv"), F.when(F.col("n") == 0, 0).otherwise(span).cast("long").alias("gaps"))
     found = materialize(joined(materialize(pieces(rows), "dialogue-pieces")), "dialogue-audits")
     told = digests(rows, found)
