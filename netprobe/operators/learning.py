@@ -92,30 +92,23 @@ def htr_gram(samples: DataFrame, size: int, k: int | str, seed: int = 0) -> Data
 
 
 def median_of_means(groups: pd.DataFrame, size: int, distance: str = "mahalanobis") -> np.ndarray:
-    """The group's parameters whose median distance to the other groups is least."""
-    upper = np.triu_indices(size)
-    thetas, covariances = [], []
-    for row in groups.sort_values("grp").itertuples():
-        gram = np.zeros((size, size))
-        gram[upper] = row.gram
-        gram = gram + np.triu(gram, 1).T
-        mean = np.asarray(row.sums) / row.n
-        thetas.append(np.linalg.pinv(gram) @ np.asarray(row.xy))
-        covariances.append((gram - row.n * np.outer(mean, mean)) / (row.n - 1) if row.n > 1 else np.zeros((size, size)))
-    if len(thetas) == 1:
-        return thetas[0]
-    medians = []
-    for i, own in enumerate(thetas):
-        values = []
-        for j, other in enumerate(thetas):
-            if j == i:
-                continue
-            if distance == "mahalanobis":
-                values.append((own - other) @ covariances[j] @ (own - other))
-            else:  # the published code: an elementwise product, and the median over all its numbers
-                values.append((own - other) @ (covariances[j] * (own + other)))
-        medians.append(np.median(values))
-    return thetas[int(np.argmin(medians))]
+    """The group's parameters whose median distance to the other groups is least; all pairs of groups at once."""
+    own = groups.sort_values("grp")
+    n, sums, xy = own.n.to_numpy(float), np.stack(own.sums), np.stack(own.xy)
+    gram = np.zeros((len(own), size, size))
+    gram[(slice(None), *np.triu_indices(size))] = np.stack(own.gram)
+    gram = gram + np.triu(gram, 1).transpose(0, 2, 1)
+    theta = np.einsum("kij,kj->ki", np.linalg.pinv(gram), xy)
+    if len(own) == 1:
+        return theta[0]
+    spread = gram - np.einsum("ki,kj->kij", sums, sums) / n[:, None, None]
+    spread = np.where(n[:, None, None] > 1, spread / np.maximum(n - 1, 1)[:, None, None], 0.0)
+    gap = theta[:, None] - theta[None]
+    pulled = np.einsum("kla,lab->klb", gap, spread)  # by the other group's covariance
+    # the published code takes an elementwise product, and the median over all its numbers
+    values = (pulled * gap).sum(axis=2, keepdims=True) if distance == "mahalanobis" else pulled * (theta[:, None] + theta[None])
+    others = values[~np.eye(len(own), dtype=bool)].reshape(len(own), -1)
+    return theta[np.argmin(np.median(others, axis=1))]
 
 
 def htr_fit(samples: DataFrame, size: int, k: int | str, seed: int = 0, distance: str = "mahalanobis") -> DataFrame:
