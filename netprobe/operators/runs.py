@@ -50,6 +50,20 @@ def gain_table(final: DataFrame, key: str, value: str, others: Mapping[str, str]
     return final.select(key, *gains)
 
 
+def gain_extremes(gains: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(measure, least, most, least_at, most_at): the ends of each gain over all networks; ties to the first name."""
+    key = gains.columns[0]
+    long = gains.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("gain")) for c in columns])))
+    ends = long.filter("gain IS NOT NULL").groupBy("measure").agg(F.min(F.struct("gain", key)).alias("lo"), F.min(F.struct((-F.col("gain")).alias("gain"), key)).alias("hi"))
+    return ends.select("measure", F.col("lo.gain").alias("least"), (-F.col("hi.gain")).alias("most"), F.col(f"lo.{key}").alias("least_at"), F.col(f"hi.{key}").alias("most_at"))
+
+
+def curve_maxima(bands: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, top, at): the highest mean of each curve, and its first x."""
+    best = bands.groupBy(*keys).agg(F.min(F.struct((-F.col("avg")).alias("top"), "x")).alias("b"))
+    return best.select(*keys, (-F.col("b.top")).alias("top"), F.col("b.x").alias("at"))
+
+
 def curve_bands(curves: DataFrame, keys: Sequence[str], low: int, high: int, every: int = 10, nodes: int | None = None) -> DataFrame:
     """Every tenth probe of a range with avg - std and avg + std; x is the probe, over the nodes if given."""
     x = F.col("probe") / nodes if nodes else F.col("probe").cast("double")

@@ -521,6 +521,21 @@ def curve_bands(spark, sf_dir):
     return out.select("grp", "k", "probe", "x", *[F.round(c, 4).alias(c) for c in ("avg", "low", "high")])
 
 
+@query
+def gain_extremes(spark, sf_dir):
+    p = v.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("name")).agg(F.max("l_extendedprice").alias("htr"), F.avg("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("rand"))
+    gains = runs.gain_table(p, "name", "htr", {"gain_high": "high", "gain_rand": "rand"})
+    out = runs.gain_extremes(gains, ["gain_high", "gain_rand"])
+    return out.select("measure", F.round("least", 4).alias("least"), F.round("most", 4).alias("most"), "least_at", "most_at")
+
+
+@query
+def curve_maxima(spark, sf_dir):
+    """Of the thinned curves over the share of 2,000 nodes."""
+    out = runs.curve_maxima(runs.curve_bands(_curves(spark, sf_dir), ["grp", "k"], 0, 5000, 2, 2000), ["grp", "k"])
+    return out.select("grp", "k", F.round("top", 4).alias("top"), F.round("at", 6).alias("at"))
+
+
 @query
 def run_grid(spark, sf_dir):
     """All supplier nations crossed with event types, as run ids."""

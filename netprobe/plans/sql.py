@@ -173,6 +173,10 @@ ORACLE: dict[str, str] = {
     "embedding_file": "SELECT vec_id, len(embedding)::INT AS n, round(embedding[1]::DOUBLE, 3) AS first, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 2) AS total FROM embeddings",
     "step_log_file": "SELECT 3 AS run_id, event_id::INT AS seq, round(value, 4) AS reward, 1 AS jump, 0.25::DOUBLE AS p, round(value * 2, 4) AS w0, round(-value, 4) AS w1 FROM events",
     "curve_file": f"WITH {_RUNS} SELECT 'm-' || CAST(grp AS VARCHAR) AS model, k::INT AS alpha, count(*) AS n, round(sum(avg), 3) AS total FROM curves GROUP BY grp, k",
+    "gain_extremes": """WITH p AS (SELECT l_suppkey AS name, max(l_extendedprice) AS htr, avg(l_extendedprice) AS high, min(l_extendedprice) AS rand FROM lineitem GROUP BY l_suppkey),
+ g AS (SELECT name, 'gain_high' AS measure, 100 * (htr - high) / high AS gain FROM p UNION ALL SELECT name, 'gain_rand', 100 * (htr - rand) / rand FROM p)
+ SELECT measure, round(min(gain), 4) AS least, round(max(gain), 4) AS most, first(name ORDER BY gain, name) AS least_at, first(name ORDER BY gain DESC, name) AS most_at FROM g GROUP BY measure""",
+    "curve_maxima": f"WITH {_RUNS} SELECT grp::INT AS grp, k::INT AS k, round(max(avg), 4) AS top, round(first(probe ORDER BY avg DESC, probe) / 2000.0::DOUBLE, 6) AS at FROM curves WHERE probe < 5000 AND probe % 2 = 0 GROUP BY grp, k",
     "grow_high": _with("ga sa sn", "SELECT seq::INT AS seq, node, new_nodes FROM steps WHERE seq >= 0", """steps AS (
  SELECT -1 AS seq, NULL::BIGINT AS node, []::BIGINT[] AS probed, 0.0::DOUBLE AS new_nodes
  UNION ALL

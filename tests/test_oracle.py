@@ -10,7 +10,7 @@ import pytest
 
 from netprobe.plans import registry
 
-NAMES = ["canonical_edges", "node_neighbors", "complete_attrs", "node_sample", "walk_path", "weighted_pick", "probe_batch", "replay_rewards", "clustering", "egonet_counts", "knn_features", "log_bins", "epsilon_greedy", "htr_gram", "regularize", "error_curves", "modularity", "power_law", "stream_rewards", "refresh_knn", "refresh_refex", "stream_probes", "stream_counts", "clustering_all_lines", "transitivity_all_lines", "network_file", "edge_list_file", "attribute_file", "embedding_file", "step_log_file", "curve_file", "probe_lines", "grow_high", "components_all_lines", "cubic_features", "ols_errors", "curve_text_file", "appended_samples", "stored_stats", "linear_topk"]
+NAMES = ["canonical_edges", "node_neighbors", "complete_attrs", "node_sample", "walk_path", "weighted_pick", "probe_batch", "replay_rewards", "clustering", "egonet_counts", "knn_features", "log_bins", "epsilon_greedy", "htr_gram", "regularize", "error_curves", "modularity", "power_law", "stream_rewards", "refresh_knn", "refresh_refex", "stream_probes", "stream_counts", "clustering_all_lines", "transitivity_all_lines", "network_file", "edge_list_file", "attribute_file", "embedding_file", "step_log_file", "curve_file", "probe_lines", "grow_high", "components_all_lines", "cubic_features", "ols_errors", "curve_text_file", "appended_samples", "stored_stats", "linear_topk", "gain_extremes", "curve_maxima"]
 
 
 @pytest.mark.parametrize("name", NAMES)
