@@ -427,11 +427,11 @@ def _samples(spark, sf_dir):
 
 @query
 def linreg_score(spark, sf_dir):
-    """Least squares of each run: the sums that the solution is made from."""
+    """Each sample's value by its run's least squares, without the intercept."""
     rows = _samples(spark, sf_dir)
     plain = rows.select("run_id", "seq", F.slice("features", 2, 2).alias("features"), "reward")
     out = learning.score_linreg(plain, plain, 2)
-    return out.select("run_id", "seq", "value")
+    return out.select("run_id", "seq", F.round("value", 4).alias("value"))
 
 
 @query

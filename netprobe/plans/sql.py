@@ -177,6 +177,8 @@ ORACLE: dict[str, str] = {
  g AS (SELECT name, 'gain_high' AS measure, 100 * (htr - high) / high AS gain FROM p UNION ALL SELECT name, 'gain_rand', 100 * (htr - rand) / rand FROM p)
  SELECT measure, round(min(gain), 4) AS least, round(max(gain), 4) AS most, first(name ORDER BY gain, name) AS least_at, first(name ORDER BY gain DESC, name) AS most_at FROM g GROUP BY measure""",
     "curve_maxima": f"WITH {_RUNS} SELECT grp::INT AS grp, k::INT AS k, round(max(avg), 4) AS top, round(first(probe ORDER BY avg DESC, probe) / 2000.0::DOUBLE, 6) AS at FROM curves WHERE probe < 5000 AND probe % 2 = 0 GROUP BY grp, k",
+    "linreg_score": f"""WITH {_SAMPLES}, m AS (SELECT run_id, covar_pop(x[2], x[2]) AS a, covar_pop(x[2], x[3]) AS b, covar_pop(x[3], x[3]) AS c, covar_pop(x[2], reward) AS d, covar_pop(x[3], reward) AS e FROM samples GROUP BY run_id)
+ SELECT run_id, seq::INT AS seq, round((c * d - b * e) / (a * c - b * b) * x[2] + (a * e - b * d) / (a * c - b * b) * x[3], 4) AS value FROM samples JOIN m USING (run_id)""",
     "grow_high": _with("ga sa sn", "SELECT seq::INT AS seq, node, new_nodes FROM steps WHERE seq >= 0", """steps AS (
  SELECT -1 AS seq, NULL::BIGINT AS node, []::BIGINT[] AS probed, 0.0::DOUBLE AS new_nodes
  UNION ALL
