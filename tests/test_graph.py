@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -506,3 +507,16 @@ def test_run_tables(spark):
     assert rows(curves, "probe", "avg", "std", "n_runs") == [(0, 2.0, 1.0, 2), (1, 3.0, 0.0, 1)]
     grid = runs.run_grid(spark, {"k": [1, 2], "eps": [0.0, 0.1, 0.2]}, 2)
     assert grid.count() == 12 == grid.select("run_id").distinct().count()
+
+
+def test_triangles_send_lists_and_not_wedges(spark):
+    """Before, each wedge was a row of a join of its own, sorted and sent."""
+    clique = [(i, j) for i in range(1, 9) for j in range(i + 1, 9)]
+    df = spark.createDataFrame([*clique, *[(0, i) for i in range(1, 40)]], "src long, dst long")
+    found = features.triangles(df)
+    assert sorted(tuple(sorted(r)) for r in found.collect()) == sorted([*combinations(range(1, 9), 3), *[(0, *e) for e in clique]])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and "LeftSemi" not in plan
+    runs = df.withColumn("run", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    runs = runs.filter("run = 'a' OR src <> 0")
+    assert {tuple(r) for r in features.triangles(runs, ["run"]).groupBy("run").count().collect()} == {("a", 84), ("b", 56)}
