@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netprobe.functions.hashing import hash_key
-from netprobe.operators.graph import canonical_edges, node_set
+from netprobe.operators.graph import node_set
 
 TARGET_BRAND = "Brand#13"
 
@@ -27,16 +27,28 @@ def co_purchases(spark: SparkSession, sf_dir: str, least: float | None = None, f
     return one.join(two, "l_orderkey").select("src", "dst")
 
 
+#: Order lines for each part of a table of pairs; so many make about four times as many pairs.
+PAIR_LINES = 200_000
+
+
+def _pairs(spark: SparkSession, sf_dir: str, *options: object) -> DataFrame:
+    """The distinct pairs of ``co_purchases``, src < dst. Pairs are dealt before they are compared, into parts whose
+    number grows with the table, so what a task holds does not."""
+    pairs = co_purchases(spark, sf_dir, *options).filter("src < dst")  # the other direction is there as well
+    parts = table(spark, sf_dir, "lineitem").count() // PAIR_LINES
+    return pairs.repartition(parts, "src", "dst").distinct() if parts > 1 else pairs.distinct()
+
+
 def complete_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical_edges(co_purchases(spark, sf_dir))
+    return _pairs(spark, sf_dir)
 
 
 def all_lines_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical_edges(co_purchases(spark, sf_dir, flag=None))
+    return _pairs(spark, sf_dir, None, None)
 
 
 def observed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical_edges(co_purchases(spark, sf_dir, 35))
+    return _pairs(spark, sf_dir, 35)
 
 
 def observed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netprobe.functions.tables import materialize
+from netprobe.operators.graph import symmetrize
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -14,22 +15,26 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     Each round, a node that has a neighbour of a lower hash (drawn anew each round) joins the lowest one, and the edges
     are drawn between what is left; so a round leaves a fixed share at most of the nodes that still have edges, in
     expectation, and a hub is gone after a few. The rounds' tables shrink, and are joined from the last to the first."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = materialize(both.filter("src <> dst").distinct(), "cc-edges")
+    whole = materialize(edges.filter("src <> dst").select("src", "dst"), "cc-edges")
     rounds: list[DataFrame] = []
-    while not both.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("n"))
-        lowest = both.groupBy("src").agg(F.min(rank("dst")).alias("_low"))
-        to = materialize(lowest.select(F.col("src").alias("node"), F.least("_low", rank("src"))["n"].alias("to")), "cc-round")
+    while not whole.isEmpty():
+        rank = lambda c: F.xxhash64(F.lit(len(rounds)), c)
+        both = symmetrize(whole)
+        # plain columns are kept in hash tables of one row a node; a struct would have all edges sorted
+        lowest = both.groupBy("src").agg(F.min_by("dst", rank("dst")).alias("_low"))
+        ranked = lambda c: F.struct(rank(c).alias("h"), F.col(c).alias("n"))
+        to = materialize(lowest.select(F.col("src").alias("node"), F.least(ranked("_low"), ranked("src"))["n"].alias("to")), "cc-round")
         rounds.append(to)
-        ends = both.join(to.select(F.col("node").alias("src"), F.col("to").alias("a")), "src").join(to.select(F.col("node").alias("dst"), F.col("to").alias("b")), "dst")
-        both = materialize(ends.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "cc-edges")
+        for end in ("src", "dst"):  # the nodes are what is held, the edges pass by
+            whole = whole.join(to.withColumnRenamed("node", end).hint("shuffle_hash"), end).drop(end).withColumnRenamed("to", end)
+        whole = whole.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        whole = materialize(whole.distinct(), "cc-edges")
     if not rounds:
-        labels = both.select(F.col("src").alias("node"), F.col("src").alias("comp"))
+        labels = whole.select(F.col("src").alias("node"), F.col("src").alias("comp"))
     else:
         labels = rounds[-1].withColumnRenamed("to", "root")
         for to in reversed(rounds[:-1]):  # what joined in an earlier round goes where its target went later
-            later = labels.select(F.col("node").alias("to"), F.col("root").alias("_later"))
+            later = labels.select(F.col("node").alias("to"), F.col("root").alias("_later")).hint("shuffle_hash")
             labels = materialize(to.join(later, "to", "left").select("node", F.coalesce("_later", "to").alias("root")), "cc-labels")
         least = labels.groupBy("root").agg(F.min("node").alias("comp"))
         labels = labels.join(least, "root").select("node", "comp")

@@ -520,3 +520,24 @@ def test_triangles_send_lists_and_not_wedges(spark):
     runs = df.withColumn("run", F.explode(F.array(F.lit("a"), F.lit("b"))))
     runs = runs.filter("run = 'a' OR src <> 0")
     assert {tuple(r) for r in features.triangles(runs, ["run"]).groupBy("run").count().collect()} == {("a", 84), ("b", 56)}
+
+
+def test_components_hold_nodes_and_sort_no_edges(spark, monkeypatch):
+    """Before, the least neighbour was a struct, for which all edges were sorted."""
+    from netprobe.operators import components as module
+
+    plans, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, label))[1])
+    df = spark.createDataFrame([(3, 2), (2, 1), (2, 3), (5, 5), (9, 8)], "src long, dst long")
+    assert rows(connected_components(df), "node", "comp") == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    assert len(plans) > 2 and not any("SortAggregate" in p for p in plans)
+
+
+def test_pairs_are_dealt_to_more_parts_of_a_larger_table(spark, sf_dir, monkeypatch):
+    from netprobe.functions import views
+
+    plain = rows(views.complete_graph(spark, sf_dir), "src", "dst")
+    monkeypatch.setattr(views, "PAIR_LINES", 1000)
+    dealt = views.complete_graph(spark, sf_dir)
+    assert rows(dealt, "src", "dst") == plain
+    assert dealt.rdd.getNumPartitions() == views.table(spark, sf_dir, "lineitem").count() // 1000
