@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netprobe.functions.tables import materialize
+from netprobe.functions.tables import materialize, shuffled
 from netprobe.operators.graph import symmetrize
 
 
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         to = materialize(lowest.select(F.col("src").alias("node"), F.least(ranked("_low"), ranked("src"))["n"].alias("to")), "cc-round")
         rounds.append(to)
         for end in ("src", "dst"):  # the nodes are what is held, the edges pass by
-            whole = whole.join(to.withColumnRenamed("node", end).hint("shuffle_hash"), end).drop(end).withColumnRenamed("to", end)
+            whole = whole.join(shuffled(to.withColumnRenamed("node", end)), end).drop(end).withColumnRenamed("to", end)
         whole = whole.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
         whole = materialize(whole.distinct(), "cc-edges")
     if not rounds:
@@ -34,10 +34,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     else:
         labels = rounds[-1].withColumnRenamed("to", "root")
         for to in reversed(rounds[:-1]):  # what joined in an earlier round goes where its target went later
-            later = labels.select(F.col("node").alias("to"), F.col("root").alias("_later")).hint("shuffle_hash")
+            later = shuffled(labels.select(F.col("node").alias("to"), F.col("root").alias("_later")))
             labels = materialize(to.join(later, "to", "left").select("node", F.coalesce("_later", "to").alias("root")), "cc-labels")
         least = labels.groupBy("root").agg(F.min("node").alias("comp"))
-        labels = labels.join(least, "root").select("node", "comp")
+        labels = labels.join(shuffled(least), "root").select("node", "comp")
     if nodes is None:
         return labels
-    return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    return nodes.select("node").distinct().join(shuffled(labels), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))

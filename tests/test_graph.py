@@ -541,3 +541,12 @@ def test_pairs_are_dealt_to_more_parts_of_a_larger_table(spark, sf_dir, monkeypa
     dealt = views.complete_graph(spark, sf_dir)
     assert rows(dealt, "src", "dst") == plain
     assert dealt.rdd.getNumPartitions() == views.table(spark, sf_dir, "lineitem").count() // 1000
+
+
+def test_communities_send_no_table_of_nodes_through_the_driver(spark, monkeypatch):
+    plans, write = [], netstats.materialize
+    monkeypatch.setattr(netstats, "materialize", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, label))[1])
+    df = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)], "src long, dst long")
+    parts = dict(rows(netstats.communities(df, 2, 1), "node", "comm"))
+    assert sorted(parts) == [1, 2, 3, 4, 5, 6]
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
