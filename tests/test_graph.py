@@ -550,3 +550,21 @@ def test_communities_send_no_table_of_nodes_through_the_driver(spark, monkeypatc
     parts = dict(rows(netstats.communities(df, 2, 1), "node", "comm"))
     assert sorted(parts) == [1, 2, 3, 4, 5, 6]
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_nearest_samples_by_one_product(monkeypatch):
+    """Before, the distances of all pairs were made one by one and sorted."""
+    rng = np.random.default_rng(3)
+    q, x, ids = rng.normal(size=(40, 16)), rng.normal(size=(3000, 16)), rng.permutation(3000)
+    x[100:110], q[3] = x[5], x[5]  # copies: ties by id
+    gap = np.round(((q[:, None] - x[None]) ** 2).sum(axis=2), 9)
+    want = np.lexsort((np.broadcast_to(ids, gap.shape), gap), axis=1)[:, :5]
+    exact, plain = [], np.round
+    monkeypatch.setattr(learning.np, "round", lambda a, n: (exact.append(len(a)), plain(a, n))[1])
+    i, j, near = learning._nearest(q, x, ids, 5)
+    assert sum(exact) < 0.01 * gap.size
+    assert (i.reshape(40, 5) == np.arange(40)[:, None]).all() and (j.reshape(40, 5) == want).all()
+    assert (near.reshape(40, 5) == np.take_along_axis(gap, want, axis=1)).all()
+    x[7] = np.inf
+    assert 7 not in learning._nearest(q, x, ids, 5)[1]
+    assert sorted(learning._nearest(q[:1], x[:2], ids[:2], 5)[1]) == [0, 1]
