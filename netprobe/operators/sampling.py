@@ -61,14 +61,16 @@ def _mover(edges: DataFrame, jump: float, seed: int, nodes: DataFrame | None) ->
     n = places.count()
 
     def move(now: DataFrame, step: int) -> DataFrame:
-        drawn = now.join(counts.select("node", F.col("degree").alias("k")), "node")
         leave = (uniform(seed, "jump", F.col("walker"), step) < jump) | (F.col("k") == 0)
         place = (hash_int(seed, "to", F.col("walker"), step) % n).cast("int")
         pick = hash_int(seed, "nbr", F.col("walker"), step) % F.greatest("k", F.lit(1))
-        drawn = drawn.select("walker", "node", leave.cast("int").alias("jumped"), F.when(leave, place).alias("to"), F.when(~leave, pick).alias("place"))
-        moved = drawn.join(nbrs, ["node", "place"], "left").select("walker", "jumped", "to", "nbr")
-        moved = moved.join(places.select(F.col("place").alias("to"), F.col("node").alias("landed")), "to", "left")
-        return materialize(moved.select("walker", F.coalesce("nbr", "landed").alias("node"), F.lit(step).alias("step"), "jumped"), "walk-step")
+        drawn = now.select("walker", "node").join(counts.select("node", F.col("degree").alias("k")), "node")
+        drawn = drawn.select("walker", "node", leave.cast("int").alias("jumped"), F.when(leave, place).otherwise(pick).alias("place"))
+        drawn = materialize(drawn, "walk-drawn")
+        # inner joins, each once: Spark may send few walkers to the neighbours' rows, instead of dealing all of these anew
+        stays = drawn.filter("jumped = 0").join(nbrs, ["node", "place"]).select("walker", F.col("nbr").alias("node"), "jumped")
+        leaves = drawn.filter("jumped = 1").select("walker", "jumped", "place").join(places, "place").select("walker", "node", "jumped")
+        return materialize(stays.unionByName(leaves).select("walker", "node", F.lit(step).alias("step"), "jumped"), "walk-step")
 
     return move
 

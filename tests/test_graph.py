@@ -568,3 +568,16 @@ def test_nearest_samples_by_one_product(monkeypatch):
     x[7] = np.inf
     assert 7 not in learning._nearest(q, x, ids, 5)[1]
     assert sorted(learning._nearest(q[:1], x[:2], ids[:2], 5)[1]) == [0, 1]
+
+
+def test_walk_steps_may_send_walkers_to_the_neighbours(spark, monkeypatch):
+    """Before, an outer join kept the neighbours' rows from staying where they are."""
+    plans, write = {}, sampling.materialize
+    monkeypatch.setattr(sampling, "materialize", lambda df, label: (plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()), write(df, label))[1])
+    edges = spark.createDataFrame(COMPLETE, "src long, dst long")
+    starts = spark.createDataFrame([(i, i) for i in range(1, 11)] + [(11, 11)], "walker long, node long")
+    path = rows(sampling.walk(edges, starts, 5, 0.3, nodes=spark.createDataFrame([(11,)], "node long")), "walker", "step", "node", "jumped")
+    assert len(path) == 11 * 6 and any(j == 0 for _, s, _, j in path if s) and (11, 0, 11, 1) in path
+    where, near = {(w, s): n for w, s, n, _ in path}, {frozenset(e) for e in COMPLETE}
+    assert all(frozenset((where[w, s - 1], n)) in near for w, s, n, j in path if not j)
+    assert "Outer" not in plans["walk-step"]
