@@ -27,25 +27,31 @@ def node2vec_walks(edges: DataFrame, length: int = 3, per_node: int = 2, p: floa
     now = walkers.select(F.concat_ws(":", "node", "turn").alias("walker"), F.array("node").alias("path"), "node", F.lit(None).cast(counts.schema["node"].dataType).alias("prev"))
     top = max(1.0, 1 / q)
     extra = max(0.0, 1 / p - top)
+    sure = q == 1 and p <= 1  # all weights are the largest one, so the first draw is taken
+    tries = 1 if sure else TRIES
     draw = lambda f, what, step: f(seed, what, F.col("walker"), step, F.col("t"))
     for step in range(1, length + 1):
         here = materialize(now.join(counts, "node"), "walk-here")
         left, found, t = here, None, 0
         while found is None or not left.isEmpty():
-            own = left.withColumn("t", F.explode(F.sequence(F.lit(t), F.lit(t + TRIES - 1))))
+            own = left.withColumn("t", F.explode(F.sequence(F.lit(t), F.lit(t + tries - 1))))
             back = F.col("prev").isNotNull() & (draw(uniform, "back", step) * (extra + top * F.col("degree")) < extra)
             own = own.select("walker", "node", "prev", "t", F.when(~back, draw(hash_int, "place", step) % F.col("degree")).alias("place"))
-            own = own.join(places, ["node", "place"], "left")
+            moved = own.join(places, ["node", "place"])  # inner, so few walkers may go to the neighbours' rows
+            own = moved.unionByName(own.filter("place IS NULL"), allowMissingColumns=True)
             other = F.lit(1.0)
             if q != 1:
                 own = own.join(adjacent, ["prev", "nbr"], "left")
                 other = F.when(F.col("near"), 1.0).otherwise(1 / q)
             weight = F.when(F.col("prev").isNull() | F.col("nbr").isNull(), top).when(F.col("nbr") == F.col("prev"), min(1 / p, top)).otherwise(other)
             taken = own.filter(draw(uniform, "take", step) * top < weight)
+            if sure:
+                now = taken.select("walker", F.coalesce("nbr", "prev").alias("next"))
+                break
             taken = taken.groupBy("walker").agg(F.min(F.struct("t", F.coalesce("nbr", "prev").alias("next")))["next"].alias("next"))
             found = Parts(edges.sparkSession, "walk-taken").add(taken) if found is None else found.add(taken)
-            left, t = materialize(here.join(found.read(), "walker", "left_anti"), "walk-left"), t + TRIES
-        now = here.join(found.read(), "walker").select("walker", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("node"), F.col("node").alias("prev"))
+            left, t = materialize(here.join(found.read(), "walker", "left_anti"), "walk-left"), t + tries
+        now = here.join(now if sure else found.read(), "walker").select("walker", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("node"), F.col("node").alias("prev"))
     return now.select("walker", "path")
 
 

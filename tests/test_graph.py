@@ -581,3 +581,12 @@ def test_walk_steps_may_send_walkers_to_the_neighbours(spark, monkeypatch):
     where, near = {(w, s): n for w, s, n, _ in path}, {frozenset(e) for e in COMPLETE}
     assert all(frozenset((where[w, s - 1], n)) in near for w, s, n, j in path if not j)
     assert "Outer" not in plans["walk-step"]
+
+
+def test_node2vec_takes_the_first_draw_where_weights_are_equal(spark, monkeypatch):
+    """Before, four draws were made for each step, and the rest looked for in another round."""
+    monkeypatch.setattr(embeddings, "Parts", None)  # the table of further rounds
+    edges = spark.createDataFrame(COMPLETE, "src long, dst long")
+    paths = [r["path"] for r in embeddings.node2vec_walks(edges, seed=1).collect()]
+    near = {frozenset(e) for e in COMPLETE}
+    assert len(paths) == 20 and all(len(p) == 4 and all(frozenset(e) in near for e in zip(p, p[1:], strict=False)) for p in paths)
