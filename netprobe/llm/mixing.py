@@ -112,7 +112,7 @@ def takes(sources: DataFrame) -> DataFrame:
 
     The planner sees only the small table of sources that all slots grow from, and would broadcast the
     slots; hence the join hints here and where blocks are joined."""
-    counts = draw_counts(sources)
+    counts = materialize(draw_counts(sources), "mix-draws")  # read five times below: each would draw again, in one large plan
     drawn = counts.groupBy("skey").agg(F.sum("n").alias("drawn"))
     slack = F.ceil(F.col("quota") * TOLERANCE)
     total = F.least(F.greatest(F.coalesce("drawn", F.lit(0).cast("long")), F.col("quota") - slack), F.col("quota") + slack, 2 * F.col("n_blocks"))
@@ -127,7 +127,7 @@ def takes(sources: DataFrame) -> DataFrame:
     scaled = lambda x: F.when(x >= drawn_n, F.col("total")).otherwise(F.floor(x * (F.col("total") / drawn_n)))
     runs = runs.select("skey", "shard", "n_blocks", scaled(F.col("first")).alias("begin"), scaled(F.col("first") + F.col("n")).alias("end")).filter("begin < end")
     tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = runs.repartition(tasks, "skey", "shard")  # a few bytes that grow to thousands of rows each
+    runs = materialize(runs, "mix-runs").repartition(tasks, "skey", "shard")  # a few bytes that grow to thousands of rows each
     slots = runs.select("skey", "shard", "n_blocks", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("j"))
     slots = slots.withColumn("pass", F.floor(F.col("j") / F.col("n_blocks"))).withColumn("block", F.col("j") % F.col("n_blocks"))
     slots = permuted(slots.withColumn("_key", F.xxhash64(F.lit(SEED), "skey", "pass")), "block", "n_blocks", "_key")

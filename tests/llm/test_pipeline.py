@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netprobe.functions.tables import materialize
-from netprobe.llm import neardup, quality
+from netprobe.llm import mixing, neardup, quality
 
 
 def test_stages(spark, sf_dir):
@@ -50,3 +50,10 @@ def test_odd_rows(spark, sf_dir):
             assert out.columns == rows.columns and out.filter("size <> -7 OR kept <> 'k' OR comp <> 'c'").isEmpty()
             assert out.filter("doc_id IN (-1, -2)").isEmpty()
         rows = out
+
+
+def test_the_mix_draws_its_slots_once(spark, sf_dir):
+    """The draws are a table of their own, not five copies in one plan."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan and plan.count("Window [") <= 10
