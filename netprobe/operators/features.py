@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from netprobe.functions.tables import materialize
 from netprobe.operators.components import connected_components
-from netprobe.operators.graph import ego_nodes, symmetrize
+from netprobe.operators.graph import ego_nodes, node_set, symmetrize
 from netprobe.operators.probing import probed_neighbors
 
 
@@ -26,7 +26,7 @@ def min_max(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), zero:
     """Adds (x - min) / (max - min) of each column; ``zero`` where all values are equal. One row for each
     value of ``by`` goes back to the rows."""
     ends = df.groupBy(*by).agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))])
-    out = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))  # without keys: one row
+    out = df.join(materialize(ends, "ends"), list(by)) if by else df.crossJoin(F.broadcast(ends))  # without keys: one row
     for c in columns:
         span = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
         out = out.withColumn(c + suffix, F.when(span == 0, zero).otherwise((F.col(c) - F.col(f"_lo_{c}")) / span))
@@ -67,18 +67,21 @@ def clustering(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> Da
 def component_sizes(comps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(node, comp, size, size_norm): 1 for all where sizes do not differ."""
     sizes = comps.groupBy(*by, "comp").agg(F.count("*").alias("size"))
-    return comps.join(min_max(sizes, ["size"], by, 1.0), [*by, "comp"]).select(*by, "node", "comp", "size", "size_norm")
+    sizes = materialize(min_max(sizes, ["size"], by, 1.0), "component-sizes")  # as a table, Spark sees how small it is
+    return comps.join(sizes, [*by, "comp"]).select(*by, "node", "comp", "size", "size_norm")
 
 
 def merge_components(comps: DataFrame, new_edges: DataFrame, new_nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Components after new edges and nodes: only labels that the new edges touch are joined anew."""
     known = comps.select(*by, "node", "comp").unionByName(new_nodes.select(*by, "node", F.col("node").alias("comp")))
-    label = lambda c: F.struct(*by, F.col(c).alias("comp"))  # noqa: E731  a run's labels are its own
-    one = known.select(*by, F.col("node").alias("src"), F.col("comp").alias("a"))
-    two = known.select(*by, F.col("node").alias("dst"), F.col("comp").alias("b"))
+    own = materialize(node_set(new_edges, by=by), "cc-ends")
+    own = materialize(known.join(own, [*by, "node"], "left_semi"), "cc-ends")  # few of all nodes
+    one = own.select(*by, F.col("node").alias("src"), F.col("comp").alias("a"))
+    two = own.select(*by, F.col("node").alias("dst"), F.col("comp").alias("b"))
     ends = new_edges.select(*by, "src", "dst").join(one, [*by, "src"]).join(two, [*by, "dst"])
-    links = ends.filter("a <> b").select(label("a").alias("src"), label("b").alias("dst")).distinct()
-    moved = connected_components(links).select("node.*", F.col("comp.comp").alias("to"))
+    links = ends.filter("a <> b").select(*by, F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    moved = connected_components(links, by=by).select(*by, F.col("node").alias("comp"), F.col("comp").alias("to"))
+    moved = materialize(moved, "cc-moved")
     return known.join(moved, [*by, "comp"], "left").select(*by, "node", F.coalesce("to", "comp").alias("comp"))
 
 

@@ -10,6 +10,7 @@ Component labels are joined along the new edges. Every state equals a full recom
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,9 +87,7 @@ class Maintained:
         return self.kind in ("default", "netdisc", "plain")
 
     def _components(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-        label = lambda c: F.struct(*BY, F.col(c).alias("node"))  # noqa: E731  runs stay apart
-        found = connected_components(edges.select(label("src").alias("src"), label("dst").alias("dst")))
-        found = found.select("node.*", F.col("comp.node").alias("comp"))
+        found = connected_components(edges, by=BY)
         return materialize(nodes.select(*BY, "node").join(found, [*BY, "node"], "left").select(*BY, "node", F.coalesce("comp", "node").alias("comp")), "grow-components")
 
     def _counts(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -129,11 +128,14 @@ class Maintained:
             changes["target_nbrs"] = to(both.join(self.targets.select(F.col("node").alias("src")), "src", "left_semi"), "target_nbrs")
         if self.kind != "plain":
             ends = materialize(both.select(*BY, F.col("src").alias("node")).distinct(), "grow-ends")
-            now = old.join(degree.withColumnRenamed("degree", "_more"), [*BY, "node"], "left").select(*BY, "node", (F.col("degree") + F.coalesce("_more", F.lit(0))).alias("degree"))
-            changes["triangles"] = new_triangles(new_edges, now.join(ends, [*BY, "node"], "left_semi"), self.graph.at(ends), since)
-        for c, change in changes.items():
-            old = old.join(change.withColumnRenamed(c, f"_{c}"), [*BY, "node"], "left")
-        more = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0)).cast("long") if c in changes else F.lit(0)
+            now = materialize(old.join(ends, [*BY, "node"], "left_semi").select(*BY, "node", "degree"), "grow-touched")
+            now = now.join(degree.withColumnRenamed("degree", "_more"), [*BY, "node"], "left").select(*BY, "node", (F.col("degree") + F.coalesce("_more", F.lit(0))).alias("degree"))
+            changes["triangles"] = new_triangles(new_edges, now, materialize(self.graph.at(ends), "grow-adjacent"), since)
+        # the changed nodes are few: one small table of them goes to all nodes, which stay where they are
+        every = reduce(DataFrame.unionByName, [d.select(*BY, "node", *[(F.col(k) if k == c else F.lit(0)).cast("long").alias(k) for k in COUNTS]) for c, d in changes.items()])
+        every = materialize(every.groupBy(*BY, "node").agg(*[F.sum(c).alias(f"_{c}") for c in COUNTS]), "grow-changes")
+        old = old.join(every, [*BY, "node"], "left")
+        more = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0))
         return old.select(*BY, "node", *[(F.col(c) + more(c)).cast("long").alias(c) for c in COUNTS])
 
     def _reach(self, nodes: DataFrame, hops: int) -> DataFrame:

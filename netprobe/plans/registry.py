@@ -37,8 +37,9 @@ class State:
         self.targets = v.targets(spark, sf_dir)
         self.probes = v.probe_log(self.nodes.join(self.targets, "node", "left_semi"))
 
-    def stored(self) -> State:
-        for name in ("complete", "sample", "nodes", "probes"):
+    def stored(self, *names: str) -> State:
+        """With these tables written out, or with all."""
+        for name in names or ("complete", "sample", "nodes", "probes"):
             setattr(self, name, materialize(getattr(self, name), f"state-{name}"))
         return self
 
@@ -547,7 +548,7 @@ def run_grid(spark, sf_dir):
 
 @query
 def grow_small(spark, sf_dir):
-    s = State(spark, sf_dir).stored()
+    s = State(spark, sf_dir).stored("complete", "sample")
     out = growth.grow(s.complete, s.sample, 8, 4, "high")
     return out.select("seq", "node", "reward")
 
@@ -555,14 +556,14 @@ def grow_small(spark, sf_dir):
 @query
 def grow_high(spark, sf_dir):
     """One probe after another, each at the node of the highest degree."""
-    s = State(spark, sf_dir).stored()
+    s = State(spark, sf_dir).stored("complete", "sample")
     return growth.grow(s.complete, s.sample, 6, 1, "high").select("seq", "node", F.col("reward").alias("new_nodes"))
 
 
 @query
 def grow_logit(spark, sf_dir):
     """Three runs of other samples, each with a model of its own, fitted in one job a round."""
-    s = State(spark, sf_dir).stored()
+    s = State(spark, sf_dir).stored("complete", "sample")
     runs = F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)]))
     sample = s.sample.withColumn("run_id", runs).filter(F.xxhash64("run_id", "src", "dst") % 4 != 0)
     return growth.grow(s.complete, sample, 6, 3, "logit", by=["run_id"], burn_in=3, targets=s.targets).select("run_id", "seq", "node", "reward")
@@ -571,7 +572,7 @@ def grow_logit(spark, sf_dir):
 @query
 def grow_learned(spark, sf_dir):
     """Three runs side by side, each learning its own weights."""
-    s = State(spark, sf_dir).stored()
+    s = State(spark, sf_dir).stored("complete", "sample")
     sample = s.sample.withColumn("run_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
     return growth.grow(s.complete, sample, 4, 2, "linear", by=["run_id"]).select("run_id", "seq", "node", "reward")
 

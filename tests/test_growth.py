@@ -296,3 +296,24 @@ def test_streamed_state_is_keyed(spark, tmp_path):
     assert got == want
     assert {(r.run_id, r.src, r.dst) for r in spark.read.parquet(f"{state}/edges").collect()} == edges
     assert {(r.run_id, r.node) for r in spark.read.parquet(f"{state}/nodes").collect()} == nodes
+
+
+def test_components_of_runs_stay_apart(spark):
+    edges = spark.createDataFrame([(1, 5, 6), (1, 6, 7), (2, 6, 8), (2, 9, 10), (3, 4, 4)], "run_id long, src long, dst long")
+    got = {tuple(r) for r in connected_components(edges, by=BY).collect()}
+    assert got == {(1, 5, 5), (1, 6, 5), (1, 7, 5), (2, 6, 6), (2, 8, 6), (2, 9, 9), (2, 10, 9)}
+
+
+def test_a_round_joins_all_nodes_to_one_table_of_changes(spark, monkeypatch):
+    complete, sample = random_graph(spark, 5)
+    edges, nodes = (materialize(x, "t") for x in probing.init_state(sample, by=BY))
+    g = maintain.Graph(spark, edges, nodes)
+    kept = maintain.Maintained("default", g, spark.createDataFrame([], "run_id long, node long"), None)
+    chosen = materialize(nodes.groupBy("run_id").agg(F.min("node").alias("node")).withColumn("seq", F.lit(0)), "t")
+    revealed = probing.reveal(complete, chosen, BY)
+    new_edges, new_nodes = materialize(probing.first_edges(revealed, edges, BY), "t"), materialize(probing.first_nodes(revealed, nodes, BY), "t")
+    g.add(new_edges.select(*BY, "src", "dst", "seq"), new_nodes)
+    plans = {}
+    monkeypatch.setattr(maintain, "materialize", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()) and materialize(df, label))
+    kept.update(new_edges, new_nodes, chosen, 0)
+    assert plans["grow-raw"].count("Join LeftOuter") == 1
