@@ -590,3 +590,49 @@ def test_node2vec_takes_the_first_draw_where_weights_are_equal(spark, monkeypatc
     paths = [r["path"] for r in embeddings.node2vec_walks(edges, seed=1).collect()]
     near = {frozenset(e) for e in COMPLETE}
     assert len(paths) == 20 and all(len(p) == 4 and all(frozenset(e) in near for e in zip(p, p[1:], strict=False)) for p in paths)
+
+
+def _triangles_of_nodes(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    found = {n: sum(b in near[a] for a, b in combinations(sorted(near[n]), 2)) for n in near}
+    return {n: t for n, t in found.items() if t}
+
+
+@pytest.mark.parametrize("kind", ["near", "far", "hub"])
+def test_triangles_in_parts_are_counted_once(spark, monkeypatch, kind):
+    import random
+
+    from netprobe.operators import triangles
+
+    rng = random.Random(kind)
+    if kind == "near":  # copies of one graph with shifted keys
+        one = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(120)}
+        pairs = {(a + 30 * i - 200, b + 30 * i - 200) for a, b in one for i in range(20)}
+    else:
+        pairs = {tuple(sorted(rng.sample(range(-50, 90), 2))) for _ in range(1500)} | {(200, 200 + i) for i in range(1, 300 if kind == "hub" else 2)} | {(200 + i, 201 + i) for i in range(1, 299)}
+    monkeypatch.setattr(triangles, "EDGES", 300)
+    monkeypatch.setattr(triangles, "DEALT", 500)
+    plans, plan = [], triangles._plan
+    monkeypatch.setattr(triangles, "_plan", lambda sizes: (plans.append(plan(sizes)), plans[-1])[1])
+    edges = spark.createDataFrame([e if rng.random() < 0.5 else e[::-1] for e in pairs], "src int, dst int")
+    got = triangles.node_triangles(edges)
+    assert got.schema["node"].dataType == edges.schema["src"].dataType
+    assert {r.node: r.triangles for r in got.collect()} == _triangles_of_nodes(pairs)
+    _, ranges, parts, sizes = plans[0]
+    assert ranges > 2 and len(parts) > 3
+    if kind == "near":  # an edge goes to few parts, though there are many ranges
+        assert ranges > 8 and sizes.sum() < 5 * len(pairs)
+    counted = features.clustering(edges, None, found=got)
+    assert rows(counted, "node", "degree", "triangles", "cc") == rows(features.clustering(edges, graph.node_set(edges)), "node", "degree", "triangles", "cc")
+    assert triangles.node_triangles(edges.filter("false")).count() == 0
+
+
+def test_clustering_of_all_lines_sends_no_lists(spark, sf_dir):
+    """Before, each node's list went to each of its higher neighbours: ten times the input at 60 copies of sf0.1."""
+    from netprobe.plans import registry
+
+    plan = registry.clustering_all_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "collect_list" not in plan
