@@ -636,3 +636,20 @@ def test_clustering_of_all_lines_sends_no_lists(spark, sf_dir):
 
     plan = registry.clustering_all_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and "collect_list" not in plan
+
+
+def test_transitivity_of_all_lines_sends_no_lists(spark, sf_dir):
+    """Before, each node's list went to each of its higher neighbours, and the nodes were made once more for their degrees."""
+    from netprobe.plans import registry
+
+    plan = registry.transitivity_all_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "collect_list" not in plan and "Join LeftOuter" not in plan
+
+
+def test_transitivity_of_counted_triangles(spark):
+    edges = spark.createDataFrame([(i, j) for i in range(5) for j in range(i + 1, 5)] + [(4, 9)], "src long, dst long")
+    from netprobe.operators.triangles import node_triangles
+
+    assert netstats.transitivity(edges, node_triangles(edges)).first() == netstats.transitivity(edges).first()
+    none = edges.filter("dst = 9")
+    assert tuple(netstats.transitivity(none, node_triangles(none)).first()) == (0, 0, 0.0)
